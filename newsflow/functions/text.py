@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsflow.functions.arrays import bind, empty_strings, string_map
 
 # --- fixed values: character classes and patterns -----------------------------
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 WORD = WORD_CHAR + "+"
 CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]"

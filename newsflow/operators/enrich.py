@@ -20,7 +20,7 @@ from newsflow.functions.text import WORD_CHAR, words
 TOKEN = rf"(?<!{WORD_CHAR})[a-z][a-z0-9]*+(?!{WORD_CHAR})"
 AMOUNT = (
     r"\$[\p{Nd},]+(?:\.\p{Nd}+)?"
-    r"(?:[\s\x1c-\x1f\x85   -     　]*"
+    r"(?:[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
     r"(?:million|billion|M|B|m|b))?"
 )
 LOW_CONFIDENCE = 0.1
