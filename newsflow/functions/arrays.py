@@ -18,6 +18,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind_sql(value: Column, body: str) -> Column:
+    """``bind`` with the body as SQL text over ``x``.  Long expressions are
+    parsed in one go instead of being built call by call."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
+
+
 def _constant(value, schema: str) -> Column:
     """Literal of a nested type; the optimizer folds it into a constant."""
     return F.from_json(F.lit(json.dumps(value)), schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsflow.functions.arrays import bind
 from newsflow.functions.text import SPACE, strip
 
 # --- fixed values: accepted layouts, tried in this order ----------------------
@@ -32,15 +33,20 @@ def _one_blank(text: Column) -> Column:
     return F.regexp_replace(strip(text), SPACE + "+", " ")
 
 
-def _loose_date(text: Column) -> Column:
-    """First layout that fits the whole text; a weekday only before a full
-    feed date."""
-    t = _one_blank(text)
-    dated = F.when(
+def _weekday_date(t: Column) -> Column:
+    """A full feed date; a weekday is accepted in this layout only."""
+    return F.when(
         F.rlike(t, F.lit(WEEKDAY)),
         F.try_to_timestamp(F.regexp_replace(t, WEEKDAY, ""), F.lit(RSS_FORMAT)),
     )
-    return F.coalesce(_first_format(t, DATE_FORMATS), dated)
+
+
+def _loose_date(text: Column) -> Column:
+    """First layout that fits the whole text."""
+    return bind(
+        _one_blank(text),
+        lambda t: F.coalesce(_first_format(t, DATE_FORMATS), _weekday_date(t)),
+    )
 
 
 def article_date_text(c: Column) -> Column:
@@ -50,13 +56,16 @@ def article_date_text(c: Column) -> Column:
     it is cut at the first ``+`` and closed with ``Z`` -- a positive offset is
     dropped, not applied.
     """
-    t = strip(c)
-    iso = F.when(F.endswith(t, F.lit("Z")), t).otherwise(
-        F.concat(F.substring_index(t, "+", 1), F.lit("Z"))
-    )
-    return F.when(F.rlike(t, F.lit(ISO_PREFIX)), iso).otherwise(
-        F.date_format(_loose_date(t), ISO_TEXT)
-    )
+
+    def iso(t: Column) -> Column:
+        kept = F.when(F.endswith(t, F.lit("Z")), t).otherwise(
+            F.concat(F.substring_index(t, "+", 1), F.lit("Z"))
+        )
+        return F.when(F.rlike(t, F.lit(ISO_PREFIX)), kept).otherwise(
+            F.date_format(_loose_date(t), ISO_TEXT)
+        )
+
+    return bind(strip(c), iso)
 
 
 def stored_timestamp(iso_text: Column) -> Column:
@@ -83,20 +92,20 @@ def article_date(c: Column, apply_offset: bool = False) -> Column:
 
 def ingest_date_text(c: Column) -> Column:
     """Dates as accepted at ingest: ISO texts in full, or a plain layout."""
-    t = _one_blank(c)
-    parsed = _first_format(t, INGEST_ISO_FORMATS + DATE_FORMATS)
-    has_micros = F.date_format(parsed, "SSSSSS") != "000000"
-    return F.when(
-        has_micros, F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    ).otherwise(F.date_format(parsed, ISO_TEXT))
+
+    def text(parsed: Column) -> Column:
+        has_micros = F.date_format(parsed, "SSSSSS") != "000000"
+        return F.when(
+            has_micros, F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        ).otherwise(F.date_format(parsed, ISO_TEXT))
+
+    formats = INGEST_ISO_FORMATS + DATE_FORMATS
+    return bind(bind(_one_blank(c), lambda t: _first_format(t, formats)), text)
 
 
 def feed_date_text(c: Column) -> Column:
     """Feed item date: the last word (the zone) is cut, not converted."""
-    t = strip(c)
-    cut = _one_blank(F.regexp_replace(t, " [^ ]*$", ""))
-    dated = F.when(
-        F.rlike(cut, F.lit(WEEKDAY)),
-        F.try_to_timestamp(F.regexp_replace(cut, WEEKDAY, ""), F.lit(RSS_FORMAT)),
+    cut = _one_blank(F.regexp_replace(strip(c), " [^ ]*$", ""))
+    return F.coalesce(
+        F.date_format(bind(cut, _weekday_date), ISO_TEXT), ingest_date_text(c)
     )
-    return F.coalesce(F.date_format(dated, ISO_TEXT), ingest_date_text(t))

@@ -11,7 +11,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsflow.functions.arrays import bind, empty_strings, string_map
+from newsflow.functions.arrays import bind, bind_sql, empty_strings, rows, string_map
 
 # --- fixed values: character classes and patterns -----------------------------
 SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -30,10 +30,13 @@ TAG = (
 
 # Names that are references even without the closing semicolon.
 _OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
-# Code points with a meaning of their own: 0x80-0x9f are read as Windows-1252.
-_SPECIAL_POINTS = {
-    str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)
-} | {"0": "\ufffd", "13": "\r"}
+# References by name, and by number the code points with a meaning of their own:
+# 0x80-0x9f are read as Windows-1252.
+_REFERENCES = (
+    html5
+    | {f"#{n}": bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    | {"#0": "\ufffd", "#13": "\r"}
+)
 
 
 def is_blank(c: Column) -> Column:
@@ -62,65 +65,41 @@ def default_if_empty(c: Column, default: str) -> Column:
 
 def first_matching(text: Column, rules, otherwise: Column) -> Column:
     """Name of the first rule with a substring of ``text``, in rule order."""
-    chain = None
-    for name, needles in rules:
-        hit = F.lit(False)
-        for needle in needles:
-            hit = hit | F.contains(text, F.lit(needle))
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return otherwise if chain is None else chain.otherwise(otherwise)
-
+    table = rows([{"name": n, "needles": list(k)} for n, k in rules],
+                 "name string, needles array<string>")
 
-# ---------------------------------------------------------------- references
-def _code_point(number: Column) -> Column:
-    """Character of a numeric reference under the HTML rules."""
-
-    def char(n: Column) -> Column:
-        dropped = (
-            ((n < 0x20) & ~n.isin(0x9, 0xA, 0xC, 0xD))
-            | (n == 0x7F)
-            | n.between(0xFDD0, 0xFDEF)
-            | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-        )
-        return (
-            F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
-            .when(dropped, "")
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    def hits(t: Column) -> Column:
+        return F.filter(
+            table, lambda r: F.exists(r["needles"], lambda needle: F.contains(t, needle))
         )
 
-    special = string_map(_SPECIAL_POINTS)
-    return bind(
-        F.coalesce(number, F.lit(0x110000)),
-        lambda n: F.coalesce(F.try_element_at(special, n.cast("string")), char(n)),
-    )
+    return F.coalesce(F.get(bind(text, hits), F.lit(0))["name"], otherwise)
 
 
-def _reference(piece: Column, loose: bool) -> Column:
-    digits = F.regexp_replace(piece, r"\A&#[xX]?0*|;\z", "")
-    # more digits than these are past the last code point anyway
-    number = F.when(
-        F.rlike(piece, F.lit(r"\A&#[xX]")),
-        F.when(F.length(digits) <= 8, F.conv(F.concat(F.lit("0"), digits), 16, 10)),
-    ).otherwise(F.when(F.length(digits) <= 9, F.concat(F.lit("0"), digits)))
-    name = F.substring(piece, 2, 40)
-    table = string_map(html5)
-    if loose:
-        opened = F.regexp_extract(piece, rf"\A&({'|'.join(_OPEN_NAMES)})", 1)
-        second = F.concat(
-            F.try_element_at(table, opened),
-            F.substring(piece, F.length(opened) + 2, F.length(piece)),
-        )
-    else:
-        second = F.try_element_at(table, F.concat(name, F.lit(";")))
-    return (
-        F.when(piece == "&amp;", "&")
-        .when(piece == "&lt;", "<")
-        .when(piece == "&gt;", ">")
-        .when(piece == "&quot;", '"')
-        .when(F.startswith(piece, F.lit("&#")), _code_point(number.try_cast("bigint")))
-        .when(F.length(piece) > 1, F.coalesce(F.try_element_at(table, name), second, piece))
-        .otherwise(piece)
-    )
+# ---------------------------------------------------------------- references
+# Value of a numeric reference p; more digits than these lie past the last code
+# point anyway, as does 0x110000.
+_NUMBER = r"""
+coalesce(try_cast(
+  CASE WHEN rlike(p, r'\A&#[xX]') THEN
+    CASE WHEN length(regexp_replace(p, r'\A&#[xX]0*|;\z', '')) <= 8
+         THEN conv(concat('0', regexp_replace(p, r'\A&#[xX]|;\z', '')), 16, 10) END
+  WHEN length(regexp_replace(p, r'\A&#0*|;\z', '')) <= 9
+  THEN regexp_replace(p, r'\A&#|;\z', '') END AS bigint), 1114112)
+"""
+_CHARACTER = """
+CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN '\ufffd'
+     WHEN n < 32 AND n NOT IN (9, 10, 12, 13) OR n = 127
+          OR n BETWEEN 64976 AND 65007 OR n & 65534 = 65534 THEN ''
+     ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END
+"""
+# A name that is no reference as a whole: its longest historic prefix, or the
+# name with the semicolon it lacks.
+_PREFIX = rf"""
+transform(array(regexp_extract(p, r'\A&({"|".join(_OPEN_NAMES)})', 1)),
+          o -> concat(try_element_at(x.names, o), substring(p, length(o) + 2)))[0]
+"""
+_CLOSED = "try_element_at(x.names, concat(substring(p, 2), ';'))"
 
 
 def decode_references(c: Column, loose: bool = True) -> Column:
@@ -129,21 +108,32 @@ def decode_references(c: Column, loose: bool = True) -> Column:
     ``loose`` also accepts the historic names without semicolon as a prefix
     (``&copy2024``), as browsers do.  Text without ``&`` is left alone.
     """
-    pieces = F.regexp_extract_all(c, F.lit(REFERENCE_OR_TEXT), F.lit(0))
-    decoded = F.transform(
-        pieces,
-        lambda p: F.when(F.startswith(p, F.lit("&")), _reference(p, loose)).otherwise(p),
-    )
-    return F.when(F.contains(c, F.lit("&")), F.array_join(decoded, "")).otherwise(c)
+    decoded = f"""
+    CASE WHEN contains(x.s, '&') THEN array_join(
+      transform(regexp_extract_all(x.s, r'{REFERENCE_OR_TEXT}', 0), p ->
+        CASE WHEN NOT startswith(p, '&') OR length(p) = 1 THEN p
+             WHEN p = '&amp;' THEN '&' WHEN p = '&lt;' THEN '<'
+             WHEN p = '&gt;' THEN '>' WHEN p = '&quot;' THEN '"'
+             WHEN startswith(p, '&#') THEN transform(array({_NUMBER}),
+               n -> coalesce(try_element_at(x.names, concat('#', n)), {_CHARACTER}))[0]
+             ELSE coalesce(try_element_at(x.names, substring(p, 2)),
+                           {_PREFIX if loose else _CLOSED}, p) END), '')
+    ELSE x.s END
+    """
+    return bind_sql(F.struct(c.alias("s"), string_map(_REFERENCES).alias("names")), decoded)
 
 
 # -------------------------------------------------------------------- markup
 def strip_tags(c: Column, joiner: str = "\n") -> Column:
     """Drop markup and hidden elements; ``joiner`` stands between text nodes."""
-    marked = F.regexp_replace(F.regexp_replace(c, COMMENT, "<!>"), HIDDEN, "<!>")
-    return F.when(
-        F.contains(c, F.lit("<")), F.regexp_replace(marked, rf"(?:{TAG})+", joiner)
-    ).otherwise(c)
+
+    def stripped(text: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(text, COMMENT, "<!>"), HIDDEN, "<!>")
+        return F.when(
+            F.contains(text, F.lit("<")), F.regexp_replace(marked, rf"(?:{TAG})+", joiner)
+        ).otherwise(text)
+
+    return bind(c, stripped)
 
 
 def normalize_text(c: Column) -> Column:
@@ -201,12 +191,15 @@ def clean_tag_list(tags: Column, limit: int) -> Column:
 
 def compact_count(c: Column) -> Column:
     """``"1,234"`` -> 1234, ``"1.2k"`` -> 1200, anything else -> 0."""
-    text = F.lower(F.regexp_replace(strip(c), ",", ""))
-    number = F.when(
-        F.contains(text, F.lit("k")),
-        (F.regexp_replace(text, "k", "").try_cast("double") * 1000).try_cast("bigint"),
-    ).otherwise(F.when(F.rlike(text, F.lit(r"\A[+-]?[0-9]+\z")), text.try_cast("bigint")))
-    return F.coalesce(number, F.lit(0).cast("bigint"))
+
+    def number(text: Column) -> Column:
+        thousands = F.regexp_replace(text, "k", "").try_cast("double") * 1000
+        return F.when(F.contains(text, F.lit("k")), thousands.try_cast("bigint")).when(
+            F.rlike(text, F.lit(r"\A[+-]?[0-9]+\z")), text.try_cast("bigint")
+        )
+
+    plain = F.lower(F.regexp_replace(strip(c), ",", ""))
+    return F.coalesce(bind(plain, number), F.lit(0).cast("bigint"))
 
 
 # --------------------------------------------------------------- presentation

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow import rules as R
-from newsflow.functions.arrays import empty_strings
+from newsflow.functions.arrays import bind, empty_strings, string_map
 from newsflow.functions.dates import article_date, article_date_text, stored_timestamp
 from newsflow.functions.text import (
     clean_tag_list,
@@ -122,14 +122,14 @@ def standard_category(c: Column, mapping: dict[str, str] | None = None) -> Colum
     """Exact entry of the map, else the first entry contained in the text, else
     the text in title case."""
     mapping = R.CATEGORY_MAP if mapping is None else mapping
-    key = strip(F.lower(c))
-    exact, part = None, None
-    for name, value in mapping.items():
-        hit = key == name
-        exact = F.when(hit, value) if exact is None else exact.when(hit, value)
-    part = first_matching(key, [(v, (k,)) for k, v in mapping.items()], title_case(strip(c)))
+
+    def mapped(key: Column) -> Column:
+        exact = F.try_element_at(string_map(mapping), key)
+        part = first_matching(key, [(v, (k,)) for k, v in mapping.items()], title_case(key))
+        return F.coalesce(exact, part)
+
     return F.when(F.coalesce(c, F.lit("")) == "", R.DEFAULT_CATEGORY).otherwise(
-        F.coalesce(exact, part)
+        bind(strip(F.lower(c)), mapped)
     )
 
 

@@ -48,7 +48,7 @@ def run_batch(
     counting, merging and pruning don't repeat the text work and a lost
     executor costs only its own tasks.
     """
-    started = datetime.now(timezone.utc).replace(tzinfo=None)
+    started = datetime.now(timezone.utc)
     stamp = F.lit(now or started)
     records = staged(prepare_records(raw, stamp, overwrite_scraped), "batch")
     if sources is not None:
@@ -68,7 +68,7 @@ def run_batch(
     result = {"source": source, "scraped": scraped, **counts, "pruned": pruned}
     if log_path is not None:
         entry = run_entry(
-            table.spark, source, started, datetime.now(timezone.utc).replace(tzinfo=None),
+            table.spark, source, started, datetime.now(timezone.utc),
             scraped=scraped, added=counts["added"], updated=counts["updated"],
             skipped=counts["skipped"], pruned=pruned,
         )

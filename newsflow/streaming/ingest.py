@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ def ingest_batch(
             max_articles=max_articles, overwrite_scraped=True,
         )
     except Exception as error:
-        now = datetime.utcnow()
+        now = datetime.now(timezone.utc)
         entry = run_entry(table.spark, source, now, now, "failed", str(error)[:1000])
         log_run(log_path, entry, batch_id)
         return {"source": source, "error": str(error)}

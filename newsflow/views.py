@@ -44,6 +44,13 @@ def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("junk"))
     )
     title = F.substring(F.regexp_extract("text", r"^([^.\n]*)", 1), 1, 120)
+    escaped = F.replace("text", F.lit("&"), F.lit("&amp;"))
+    content = F.when(
+        F.col("doc_id") % 3 == 0,
+        F.concat(
+            F.lit("<p>"), F.replace(escaped, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p>")
+        ),
+    ).otherwise(F.concat(escaped, F.lit("&nbsp; &lt;b&gt;caf&eacute;&lt;/b&gt; ")))
     return documents(spark, sf_dir).select(
         F.col("source"),
         title.alias("title"),
@@ -56,7 +63,7 @@ def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("author"),
         published.alias("published_at"),
         F.lit("2024-03-01T00:00:00.000000+00:00Z").alias("scraped_at"),
-        F.col("text").alias("content"),
+        content.alias("content"),
         F.substring("text", 1, 300).alias("summary"),
         _pick(CATEGORY_CASES, F.col("doc_id") % len(CATEGORY_CASES)).alias("category"),
         F.array("lang", F.upper("source"), F.lit("C++"), F.lit("News Desk"), "lang").alias("tags"),
