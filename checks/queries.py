@@ -227,7 +227,7 @@ def listing_pages(spark, sf):
         F.lit(" </p><span itemprop='programmingLanguage'>"), "source",
         F.lit("</span><a href='/x/stargazers'> "),
         F.format_number(F.col("n_chars") * 3, 0), F.lit("</a><a href='/x/forks'>"),
-        F.format_number(F.col("n_chars") / 1000, 1), F.lit("k</a><span class='a'><b>+</b>"),
+        F.format_number(F.floor(F.col("n_chars") / 100) / 10, 1), F.lit("k</a><span class='a'><b>+</b>"),
         (F.col("n_chars") % 70).cast("string"), F.lit(" stars today</span>"),
         F.lit("<a class='avatar' href='/user"), d, F.lit("'></a>"),
         F.lit("<div class='byline'>By <b>"), "source", F.lit("</b></div>"),
@@ -698,7 +698,7 @@ def q_article_feed(spark, sf):
 
 def q_article_feed_filtered(spark, sf):
     page = A.article_feed(
-        articles(spark, sf), source="src3", category="AI/ML", page_size=5, order_by="scraped_at"
+        articles(spark, sf), source="src3", category="Ask Hn", page_size=5, order_by="scraped_at"
     )
     return _view(page, "total", "filtered_total", "has_more")
 

@@ -46,7 +46,7 @@ def is_blank(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Cut Unicode whitespace at both ends (``trim`` cuts spaces only)."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def words(c: Column) -> Column:
@@ -153,7 +153,7 @@ def joined_text(c: Column) -> Column:
     """Visible text of an HTML fragment, each text node stripped, no joiner."""
     c = F.coalesce(c, F.lit(""))
     marked = F.regexp_replace(F.regexp_replace(c, COMMENT, "<!>"), HIDDEN, "<!>")
-    bare = F.regexp_replace(marked, rf"{SPACE}*(?:{TAG}{SPACE}*)+", "")
+    bare = F.regexp_replace(marked, rf"(?<!{SPACE}){SPACE}*+(?:{TAG}{SPACE}*+)+", "")
     return strip(decode_references(bare))
 
 
@@ -231,7 +231,12 @@ def paragraphs(c: Column, group: int = 4) -> Column:
             )
         )
 
-    sentences = F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]+"), F.lit(0))
+    # the text after the last mark is matched too, so that it is read only once,
+    # and dropped
+    sentences = F.filter(
+        F.regexp_extract_all(text, F.lit(r"[^.!?]++[.!?]*+"), F.lit(0)),
+        lambda s: F.rlike(s, F.lit(r"[.!?]\z")),
+    )
     return (
         F.when(text == "", empty_strings())
         .when(F.contains(text, F.lit("<p>")) | F.contains(text, F.lit("<br")), F.array(text))

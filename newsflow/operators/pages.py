@@ -23,6 +23,7 @@ BOILERPLATE = (
 CONTAINERS = ("article", "main", "body")
 BLOCK_TAG = r"(?i)</?(?:p|br|h[1-6]|div|li|ul|ol|tr|table|blockquote|pre|section)\b[^>]*>"
 ANY_TAG = r"<[^>]*>"
+IN_LINE = rf"[{SPACE}&&[^\n]]"
 
 
 def _meta_content(html: Column, attribute: str, value: str) -> Column:
@@ -85,7 +86,8 @@ def main_text(html: Column) -> Column:
     text = F.regexp_replace(bind(body, container), BLOCK_TAG, "\n")
     text = decode_references(F.regexp_replace(text, ANY_TAG, ""))
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    return strip(F.regexp_replace(text, rf"{SPACE}*\n{SPACE}*", "\n"))
+    line_end = rf"(?<!{IN_LINE}){IN_LINE}*+\n{SPACE}*+"
+    return strip(F.regexp_replace(text, line_end, "\n"))
 
 
 def page_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
