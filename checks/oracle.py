@@ -558,6 +558,11 @@ SELECT doc_id, label, CAST(positive AS INTEGER) AS positive, CAST(negative AS IN
 SELECT ord AS doc_id, category AS ai_category, round(v.confidence, 6) AS ai_confidence, keywords AS ai_keywords,
   label AS sentiment, round(m.confidence, 6) AS sentiment_score
 FROM verdict v JOIN keyworded USING (ord) JOIN mood m USING (ord)"""),
+    "article_table": q(ARTICLES, """
+SELECT id, hash_id, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at,
+  strftime(generated_at, '%Y-%m-%d %H:%M:%S') AS generated_at, category, tags, ai_category,
+  round(ai_confidence, 6) AS ai_confidence, array_to_string(ai_keywords, '|') AS ai_keywords, sentiment,
+  round(sentiment_score, 6) AS sentiment_score FROM articles"""),
     "confident_count": q(f"{RAW}, {categorized('raw', 'title', FULL, CORPUS_RULES)}", """
 SELECT count(*) AS n_articles, count(*) FILTER (confidence > 0.5) AS n_confident FROM verdict"""),
     # -------------------------------------------------------------------- joins

@@ -15,8 +15,10 @@ from newsflow.functions.arrays import bind, bind_sql, empty_strings, rows, strin
 
 # --- fixed values: character classes and patterns -----------------------------
 SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(chr(n) for n in range(0x3001) if chr(n).isspace())  # the same, listed
 WORD_CHAR = r"[\p{L}\p{N}_]"
 WORD = WORD_CHAR + "+"
+BLANK_RUN = r"[ \t]{2,}|\t"
 CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]"
 # an HTML character reference, or the text around it
 REFERENCE_OR_TEXT = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
@@ -46,7 +48,7 @@ def is_blank(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Cut Unicode whitespace at both ends (``trim`` cuts spaces only)."""
-    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:
@@ -144,7 +146,7 @@ def normalize_text(c: Column) -> Column:
     """
     plain = strip_tags(decode_references(F.coalesce(c, F.lit(""))))
     plain = decode_references(plain, loose=False)
-    plain = F.regexp_replace(plain, r"[ \t]+", " ")
+    plain = F.regexp_replace(plain, BLANK_RUN, " ")
     plain = F.regexp_replace(plain, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(plain, CONTROL, ""))
 
@@ -153,8 +155,8 @@ def joined_text(c: Column) -> Column:
     """Visible text of an HTML fragment, each text node stripped, no joiner."""
     c = F.coalesce(c, F.lit(""))
     marked = F.regexp_replace(F.regexp_replace(c, COMMENT, "<!>"), HIDDEN, "<!>")
-    bare = F.regexp_replace(marked, rf"(?<!{SPACE}){SPACE}*+(?:{TAG}{SPACE}*+)+", "")
-    return strip(decode_references(bare))
+    nodes = F.transform(F.split(marked, TAG), strip)
+    return strip(decode_references(F.array_join(nodes, "")))
 
 
 # --------------------------------------------------------------- normal forms

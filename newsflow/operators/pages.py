@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions.arrays import bind
-from newsflow.functions.text import SPACE, decode_references, strip
+from newsflow.functions.text import BLANK_RUN, decode_references, strip
 from newsflow.functions.urls import url_host
 
 # --- fixed values: markup that carries no body text, body containers ----------
@@ -23,7 +23,6 @@ BOILERPLATE = (
 CONTAINERS = ("article", "main", "body")
 BLOCK_TAG = r"(?i)</?(?:p|br|h[1-6]|div|li|ul|ol|tr|table|blockquote|pre|section)\b[^>]*>"
 ANY_TAG = r"<[^>]*>"
-IN_LINE = rf"[{SPACE}&&[^\n]]"
 
 
 def _meta_content(html: Column, attribute: str, value: str) -> Column:
@@ -85,9 +84,9 @@ def main_text(html: Column) -> Column:
 
     text = F.regexp_replace(bind(body, container), BLOCK_TAG, "\n")
     text = decode_references(F.regexp_replace(text, ANY_TAG, ""))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    line_end = rf"(?<!{IN_LINE}){IN_LINE}*+\n{SPACE}*+"
-    return strip(F.regexp_replace(text, line_end, "\n"))
+    text = F.regexp_replace(text, BLANK_RUN, " ")
+    lines = F.transform(F.split(text, "\n"), strip)
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def page_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

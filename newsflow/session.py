@@ -35,11 +35,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{scratch_dir(spark)}/newsflow/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that several
     later jobs neither recompute it nor depend on executor memory."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/newsflow/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

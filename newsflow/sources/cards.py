@@ -136,13 +136,14 @@ def _explode_cards(
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for order, page in zip(batch[ORD], batch[column]):
-                cards = [
+            yield pd.DataFrame(
+                [
                     {**card, ORD: (int(order) << POSITION_BITS) + i}
+                    for order, page in zip(batch[ORD], batch[column])
                     for i, card in enumerate(find(tree(page)))
-                ]
-                if cards:
-                    yield pd.DataFrame(cards, columns=[*names, ORD])
+                ],
+                columns=[*names, ORD],
+            )
 
     return pages.select(ORD, column).mapInPandas(task, f"{schema}, {ORD} bigint")
 
