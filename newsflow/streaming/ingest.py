@@ -28,12 +28,14 @@ def ingest_batch(
     log_path: str,
     sources: DataFrame | None = None,
     max_articles: int | None = R.MAX_ARTICLES,
+    skip_failed: bool = False,
 ) -> dict:
     """One micro-batch: parse, clean, stamp (the scrape date too), upsert, prune, log.
 
     A repeated batch finds its articles in the table and updates them to the
     same content; its log entry replaces the earlier one.  A batch that fails is
-    logged as failed and does not stop the stream; its files count as read.
+    logged as failed and stops the stream, which takes it up again when it is
+    restarted; ``skip_failed`` goes on without it instead.
     """
     try:
         return run_batch(
@@ -44,6 +46,8 @@ def ingest_batch(
         now = datetime.now(timezone.utc)
         entry = run_entry(table.spark, source, now, now, "failed", str(error)[:1000])
         log_run(log_path, entry, batch_id)
+        if not skip_failed:
+            raise
         return {"source": source, "error": str(error)}
 
 
@@ -60,6 +64,7 @@ def stream_ingest(
     interval: str | None = None,
     max_articles: int | None = R.MAX_ARTICLES,
     sources: DataFrame | None = None,
+    skip_failed: bool = False,
 ) -> StreamingQuery:
     """Watch a folder of JSON files and keep the article table up to date.
 
@@ -71,7 +76,7 @@ def stream_ingest(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(
-            batch, batch_id, source, table, parse, log_path, sources, max_articles
+            batch, batch_id, source, table, parse, log_path, sources, max_articles, skip_failed
         )
 
     writer: DataStreamWriter = rows.writeStream.foreachBatch(each).option(
