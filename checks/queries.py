@@ -791,7 +791,7 @@ def q_log_runs(spark, sf):
 def q_run_feeds(spark, sf):
     """Two feeds ingested into a new table, then the second one again."""
     folder = fresh_path(spark, "table")
-    table = M.init_tables(spark, folder)
+    table = M.init_tables(spark, folder).articles
     pages = V.articles_from_pages(spark, sf).withColumn("metadata", F.parse_json(F.lit("{}")))
     docs = raw(spark, sf)
     feeds_ = {"documents": docs, "pages": pages}
@@ -833,7 +833,7 @@ def q_stream_ingest(spark, sf):
     folder = fresh_path(spark, "stream")
     items = story_payloads(spark, sf).select(F.from_json("payload", STORY).alias("i")).select("i.*")
     items.repartition(4).write.json(f"{folder}/in")
-    table = M.init_tables(spark, f"{folder}/table")
+    table = M.init_tables(spark, f"{folder}/table").articles
     query = stream_ingest(
         spark, f"{folder}/in", table, f"{folder}/check", f"{folder}/log", max_files=2,
         max_articles=None,

@@ -24,6 +24,16 @@ def bind_sql(value: Column, body: str) -> Column:
     return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _constant(value, schema: str) -> Column:
     """Literal of a nested type; the optimizer folds it into a constant."""
     return F.from_json(F.lit(json.dumps(value)), schema)
@@ -46,17 +56,3 @@ def rows(values: Iterable[dict], schema: str) -> Column:
 
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
-
-
-def value_runs(ordered: Column) -> Column:
-    """Start positions (1-based) of the runs of equal ``word`` in a sorted
-    ``array<struct<word, pos>>``, closed by ``size + 1``."""
-    n = F.size(ordered)
-    starts = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: (i == 1)
-        | (F.get(ordered, i - 1)["word"] != F.get(ordered, i - 2)["word"]),
-    )
-    return F.when(n > 0, F.concat(starts, F.array(n + 1))).otherwise(
-        F.array().cast("array<int>")
-    )

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow import rules as R
-from newsflow.functions.arrays import bind, empty_strings, rows, strings, value_runs
-from newsflow.functions.text import WORD_CHAR, words
+from newsflow.functions.arrays import bind_sql, empty_strings, let, quoted, rows, strings
+from newsflow.functions.text import WORD, WORD_CHAR
 
 # --- fixed values: token and amount patterns ----------------------------------
 TOKEN = rf"(?<!{WORD_CHAR})[a-z][a-z0-9]*+(?!{WORD_CHAR})"
@@ -27,11 +27,6 @@ LOW_CONFIDENCE = 0.1
 HIGH_CONFIDENCE = 0.5
 
 
-def _occurrences(text: Column, needle: Column, size: Column) -> Column:
-    """Number of non-overlapping occurrences."""
-    return ((F.length(text) - F.length(F.replace(text, needle))) / size).cast("int")
-
-
 def categorize(
     title: Column,
     content: Column,
@@ -61,58 +56,40 @@ def categorize(
         "cat int, name string, top int",
     )
     own = F.nullif(current, F.lit("")) if current is not None else F.lit(None).cast("string")
-    fallback = F.struct(
-        F.coalesce(own, F.lit(R.DEFAULT_CATEGORY)).alias("category"),
-        F.lit(0.0).alias("confidence"),
-    )
-
-    def points(text: Column, head: Column) -> Column:
-        return F.transform(
-            F.filter(table, lambda r: F.contains(text, r["kw"])),
-            lambda r: F.struct(
-                r["cat"].alias("cat"),
-                (
-                    _occurrences(text, r["kw"], r["n"])
-                    * F.when(F.contains(head, r["kw"]), 2).otherwise(1)
-                    * r["w"]
-                ).alias("points"),
-            ),
-        )
-
-    def best(found: Column) -> Column:
-        return F.array_max(
-            F.transform(
-                categories,
-                lambda c: F.struct(
-                    F.aggregate(
-                        F.filter(found, lambda p: p["cat"] == c["cat"]),
-                        F.lit(0.0),
-                        lambda total, p: total + p["points"],
-                    ).alias("score"),
-                    (-c["cat"]).alias("rank"),
-                    c["name"].alias("name"),
-                    c["top"].alias("top"),
-                ),
-            )
-        )
-
-    def verdict(b: Column) -> Column:
-        confidence = F.least(b["score"] / b["top"], F.lit(1.0))
-        keep_own = (confidence < LOW_CONFIDENCE) & own.isNotNull()
-        return F.when(
-            b["score"] > 0,
+    # keywords of the text with their points; occurrences don't overlap, so
+    # their number is what their removal saves
+    found = """
+      transform(filter(x.rules, r -> contains(d.text, r.kw)), r -> named_struct(
+        'cat', r.cat,
+        'points', cast((d.size - length(replace(d.text, r.kw))) / r.n AS int)
+                  * if(contains(d.head, r.kw), 2, 1) * r.w))"""
+    best = """
+      array_max(transform(x.categories, c -> named_struct(
+        'score', aggregate(filter(found, p -> p.cat = c.cat), 0.0D, (sum, p) -> sum + p.points),
+        'rank', -c.cat, 'name', c.name, 'top', c.top)))"""
+    verdict = f"""
+      CASE WHEN b.score > 0 THEN named_struct(
+        'category', CASE WHEN b.score / b.top < {LOW_CONFIDENCE}D AND x.own IS NOT NULL
+                         THEN x.own ELSE b.name END,
+        'confidence', least(b.score / b.top, 1.0D))
+      ELSE x.fallback END"""
+    document = "named_struct('text', t, 'size', length(t), 'head', lower(x.title))"
+    body = let("d", document, let("found", found, let("b", best, verdict)))
+    return bind_sql(
+        F.struct(
+            title.alias("title"),
+            F.coalesce(content, F.lit("")).alias("content"),
+            own.alias("own"),
             F.struct(
-                F.when(keep_own, own).otherwise(b["name"]).alias("category"),
-                confidence.alias("confidence"),
-            ),
-        ).otherwise(fallback)
-
-    lowered = F.lower(F.concat(title, F.lit(" "), F.coalesce(content, F.lit(""))))
-    scored = bind(
-        lowered, lambda t: bind(F.lower(title), lambda h: bind(points(t, h), best))
-    )
-    return F.when(F.coalesce(title, F.lit("")) == "", fallback).otherwise(
-        bind(scored, verdict)
+                F.coalesce(own, F.lit(R.DEFAULT_CATEGORY)).alias("category"),
+                F.lit(0.0).alias("confidence"),
+            ).alias("fallback"),
+            table.alias("rules"),
+            categories.alias("categories"),
+        ),
+        "CASE WHEN coalesce(x.title, '') = '' THEN x.fallback ELSE "
+        + let("t", "lower(concat(x.title, ' ', x.content))", body)
+        + " END",
     )
 
 
@@ -125,38 +102,26 @@ def keywords(
 ) -> Column:
     """The ``k`` most frequent words, ties by first appearance; the count of
     boosted terms is doubled."""
-    stop, boost = list(stop_words), list(boosted)
-    tokens = F.filter(
-        F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)),
-        lambda w: (F.length(w) >= min_length) & ~w.isin(stop),
-    )
-    placed = F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
-
-    def ranked(ordered: Column) -> Column:
-        """One struct per word, the most frequent first."""
-        return F.sort_array(
-            bind(
-                value_runs(ordered),
-                lambda starts: F.transform(
-                    F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))),
-                    lambda start, i: bind(
-                        F.get(ordered, start - 1),
-                        lambda first: F.struct(
-                            (
-                                (start - F.get(starts, i + 1))
-                                * F.when(first["word"].isin(boost), 2).otherwise(1)
-                            ).alias("minus_count"),
-                            first["pos"].alias("pos"),
-                            first["word"].alias("word"),
-                        ),
-                    ),
-                ),
-            )
-        )
-
-    return F.transform(
-        F.slice(bind(F.sort_array(placed), ranked), 1, k), lambda r: r["word"]
-    )
+    def listed(values: Iterable[str]) -> str:
+        return ", ".join(map(quoted, values)) or "''"
+
+    tokens = f"""
+      filter(regexp_extract_all(lower(x), r'{TOKEN}', 0),
+             w -> length(w) >= {min_length} AND w NOT IN ({listed(stop_words)}))"""
+    placed = f"sort_array(transform({tokens}, (w, i) -> named_struct('word', w, 'pos', i)))"
+    # where each word starts in the sorted list, and the end of the list
+    starts = """
+      concat(filter(sequence(1, size(o)), i -> i = 1 OR get(o, i - 1).word <> get(o, i - 2).word),
+             array(size(o) + 1))"""
+    counted = f"""
+      transform(slice(s, 1, size(s) - 1), (start, i) -> named_struct(
+        'minus_count', (start - get(s, i + 1))
+                       * if(get(o, start - 1).word IN ({listed(boosted)}), 2, 1),
+        'pos', get(o, start - 1).pos,
+        'word', get(o, start - 1).word))"""
+    ranked = let("s", starts, f"transform(slice(sort_array({counted}), 1, {k}), c -> c.word)")
+    found = let("o", placed, f"CASE WHEN size(o) = 0 THEN array() ELSE {ranked} END")
+    return bind_sql(F.coalesce(text, F.lit("")), found)
 
 
 def entities(text: Column, companies: Iterable[str] = R.COMPANIES) -> Column:
@@ -182,26 +147,21 @@ def sentiment(text: Column, lexicon: R.Lexicon = R.Lexicon()) -> Column:
     """``struct<label, positive, negative, confidence>`` by distinct lexicon
     words; the confidence is the unsigned surplus per distinct word."""
 
-    def counted(distinct: Column) -> Column:
-        return F.struct(
-            F.size(F.array_intersect(distinct, strings(lexicon.positive))).alias("p"),
-            F.size(F.array_intersect(distinct, strings(lexicon.negative))).alias("n"),
-            F.greatest(F.size(distinct), F.lit(1)).alias("size"),
-        )
-
-    def labelled(c: Column) -> Column:
-        return F.struct(
-            F.when(c["p"] > c["n"], "positive")
-            .when(c["n"] > c["p"], "negative")
-            .otherwise("neutral")
-            .alias("label"),
-            c["p"].alias("positive"),
-            c["n"].alias("negative"),
-            (F.abs(c["p"] - c["n"]) / c["size"]).alias("confidence"),
-        )
-
-    distinct = F.array_distinct(words(F.coalesce(text, F.lit(""))))
-    return bind(bind(distinct, counted), labelled)
+    distinct = f"array_distinct(regexp_extract_all(lower(x.text), r'{WORD}', 0))"
+    counts = """named_struct('p', size(array_intersect(w, x.positive)),
+                             'n', size(array_intersect(w, x.negative)), 'size', size(w))"""
+    labelled = """named_struct(
+      'label', CASE WHEN c.p > c.n THEN 'positive' WHEN c.n > c.p THEN 'negative' ELSE 'neutral' END,
+      'positive', c.p, 'negative', c.n,
+      'confidence', abs(c.p - c.n) / greatest(c.size, 1))"""
+    return bind_sql(
+        F.struct(
+            F.coalesce(text, F.lit("")).alias("text"),
+            strings(lexicon.positive).alias("positive"),
+            strings(lexicon.negative).alias("negative"),
+        ),
+        let("w", distinct, let("c", counts, labelled)),
+    )
 
 
 # ------------------------------------------------------------ DataFrame steps
@@ -255,20 +215,23 @@ def enrich(
 ) -> DataFrame:
     """All analytics columns; a row whose analysis yields nothing falls back to
     its own category, no keywords and a neutral mood."""
-    df = df.transform(add_category, rules).transform(add_keywords, **keyword_options)
-    df = df.transform(add_sentiment, lexicon)
-    return df.withColumns(
+    text = article_text()
+    own = [F.col("category")] if "category" in df.columns else []
+    analysed = df.withColumns(
         {
-            "ai_category": F.coalesce(
-                "ai_category", *([F.col("category")] if "category" in df.columns else []),
-                F.lit(R.DEFAULT_CATEGORY),
-            ),
-            "ai_confidence": F.coalesce("ai_confidence", F.lit(0.0)),
-            "ai_keywords": F.coalesce("ai_keywords", empty_strings()),
-            "sentiment": F.coalesce("sentiment", F.lit("neutral")),
-            "sentiment_score": F.coalesce("sentiment_score", F.lit(0.0)),
+            "_verdict": categorize(F.col("title"), text, rules=rules),
+            "_words": keywords(text, **{"k": 5, **keyword_options}),
+            "_mood": sentiment(text, lexicon),
         }
     )
+    return analysed.select(
+        *df.columns,
+        F.coalesce("_verdict.category", *own, F.lit(R.DEFAULT_CATEGORY)).alias("ai_category"),
+        F.coalesce("_verdict.confidence", F.lit(0.0)).alias("ai_confidence"),
+        F.coalesce("_words", empty_strings()).alias("ai_keywords"),
+        F.coalesce("_mood.label", F.lit("neutral")).alias("sentiment"),
+        F.coalesce("_mood.confidence", F.lit(0.0)).alias("sentiment_score"),
+    )
 
 
 def confident_count(df: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Table maintenance: keyed upsert, newest-N retention, run log.
 
 Plain Parquet has no MERGE.  An upsert is therefore a query from (target,
-batch) to the new table; ``ArticleTable`` writes it as a new version.
+batch) to the new table; ``StoredTable`` writes it as a new version.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from newsflow import rules as R
 from newsflow.functions.arrays import empty_strings
 from newsflow.operators.cleaning import ORD
 from newsflow.operators.joins import match_existing
-from newsflow.schemas import ARTICLE_TABLE, SCRAPE_LOG
+from newsflow.schemas import ARTICLE_TABLE, SCRAPE_LOG, SOURCE
+from newsflow.sources.registry import default_sources, register_sources
 
 PROTECTED = frozenset({"id", "created_at", "source_id"})
 TOP_K_LIMIT = 10_000  # larger n is found by histograms, not by one task's heap
@@ -70,10 +72,11 @@ def upsert_articles(target: DataFrame, batch: DataFrame, now: datetime | Column)
     to be broadcast at run time.
     """
     now = F.lit(now) if isinstance(now, datetime) else now
-    return _merge(target, prepare_batch(batch, target), now)
+    return merge_prepared(target, prepare_batch(batch, target), now)
 
 
-def _merge(target: DataFrame, prepared: DataFrame, now: Column) -> DataFrame:
+def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column) -> DataFrame:
+    """``upsert_articles`` for a batch that went through ``prepare_batch``."""
     types = {f.name: f.dataType for f in target.schema.fields}
     incoming = [c for c in prepared.columns if c in types]
     taken = [c for c in incoming if c not in PROTECTED]
@@ -112,7 +115,11 @@ def _merge(target: DataFrame, prepared: DataFrame, now: Column) -> DataFrame:
 def upsert_stats(target: DataFrame, batch: DataFrame) -> DataFrame:
     """One row: added, updated, skipped (earlier rows of an article that comes
     twice in the batch), errors (rows without URL or title)."""
-    prepared = prepare_batch(batch, target)
+    return count_prepared(batch, prepare_batch(batch, target))
+
+
+def count_prepared(batch: DataFrame, prepared: DataFrame) -> DataFrame:
+    """``upsert_stats`` for a batch that went through ``prepare_batch``."""
     totals = batch.select(
         F.lit("all").alias("kind"),
         (F.col("url").isNull() | F.col("title").isNull()).alias("bad"),
@@ -223,18 +230,20 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
 
 # ------------------------------------------------------------- stored versions
 @dataclass
-class ArticleTable:
-    """Article table as a folder of complete Parquet versions.
+class StoredTable:
+    """A table as a folder of complete Parquet versions.
 
     A version counts once Spark has written its ``_SUCCESS`` mark, which is the
     last thing a write does; readers take the newest such version.  A failed
-    write leaves the table as it was.  With a lakehouse format the same upsert
-    is one MERGE statement.
+    write leaves the table as it was.  The last ``keep`` versions stay for
+    readers that are still at work.  With a lakehouse format the same upsert is
+    one MERGE statement, which also spares rewriting untouched files.
     """
 
     spark: SparkSession
     path: str
     schema: str = ARTICLE_TABLE
+    keep: int = 3
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -254,7 +263,7 @@ class ArticleTable:
                 found.append(int(name[2:]))
         return sorted(found)
 
-    def create(self) -> "ArticleTable":
+    def create(self) -> "StoredTable":
         """Create an empty table if there is none."""
         if not self.versions():
             self.write(self.spark.createDataFrame([], self.schema))
@@ -270,7 +279,30 @@ class ArticleTable:
         fields = self.spark.createDataFrame([], self.schema).schema
         ordered = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
         ordered.write.mode("overwrite").parquet(f"{self.path}/v={number:08d}")
+        fs, path = self._fs()
+        for old in self.versions()[: -self.keep]:
+            fs.delete(path(f"{self.path}/v={old:08d}"), True)
+
+
+class Tables(NamedTuple):
+    articles: StoredTable
+    sources: StoredTable
+
+
+def init_tables(spark: SparkSession, path: str) -> Tables:
+    """Open the tables under ``path``; what is missing is created, and default
+    sources that are not registered yet are added."""
+    articles = StoredTable(spark, f"{path}/articles").create()
+    sources = StoredTable(spark, f"{path}/sources", SOURCE).create()
+    registered = sources.read()
+    missing = default_sources(spark).join(registered.select("name"), "name", "left_anti")
+    if not missing.isEmpty():
+        sources.write(register_sources(registered))
+    return Tables(articles, sources)
 
 
-def init_tables(spark: SparkSession, path: str) -> ArticleTable:
-    return ArticleTable(spark, path).create()
+def write_raw(raw: DataFrame, path: str, stamp: datetime) -> str:
+    """Dump a raw feed as JSON, one folder per run and source."""
+    folder = f"{path}/{stamp:%Y%m%d_%H%M%S}"
+    raw.write.partitionBy("source").json(folder)
+    return folder

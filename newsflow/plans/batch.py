@@ -12,12 +12,13 @@ from newsflow import rules as R
 from newsflow.operators.cleaning import ORD, to_records
 from newsflow.operators.joins import resolve_source
 from newsflow.operators.tables import (
-    ArticleTable,
+    StoredTable,
+    count_prepared,
     log_run,
+    merge_prepared,
+    prepare_batch,
     prune_newest,
     run_entry,
-    upsert_articles,
-    upsert_stats,
 )
 from newsflow.plans.clean import clean_articles
 from newsflow.session import staged
@@ -34,7 +35,7 @@ def prepare_records(
 def run_batch(
     source: str,
     raw: DataFrame,
-    table: ArticleTable,
+    table: StoredTable,
     sources: DataFrame | None = None,
     log_path: str | None = None,
     run_id: int | str | None = None,
@@ -44,9 +45,9 @@ def run_batch(
 ) -> dict:
     """Ingest one feed and return its counts.
 
-    The cleaned batch and the merged table are written once and read back, so
-    counting, merging and pruning don't repeat the text work and a lost
-    executor costs only its own tasks.
+    The cleaned batch, its match against the table and the merged table are
+    written once and read back, so counting, merging and pruning repeat neither
+    the text work nor the joins, and a lost executor costs only its own tasks.
     """
     started = datetime.now(timezone.utc)
     stamp = F.lit(now or started)
@@ -54,9 +55,10 @@ def run_batch(
     if sources is not None:
         records = resolve_source(records, sources)
     target = table.create().read()
-    counts = upsert_stats(target, records).first().asDict()
+    prepared = staged(prepare_batch(records, target), "prepared")
+    counts = count_prepared(records, prepared).first().asDict()
     scraped = raw.count()
-    merged = upsert_articles(target, records, stamp)
+    merged = merge_prepared(target, prepared, stamp)
     pruned = 0
     if max_articles is None:
         table.write(merged)
@@ -76,7 +78,7 @@ def run_batch(
     return result
 
 
-def run_one(feeds: Mapping[str, DataFrame], source: str, table: ArticleTable, **options) -> dict:
+def run_one(feeds: Mapping[str, DataFrame], source: str, table: StoredTable, **options) -> dict:
     """Ingest the named feed; an unknown name is an error entry, as is a failure."""
     if source not in feeds:
         return {"error": f"Unknown source: {source}"}
@@ -86,7 +88,7 @@ def run_one(feeds: Mapping[str, DataFrame], source: str, table: ArticleTable, **
         return {"source": source, "error": str(error)}
 
 
-def run_all(feeds: Mapping[str, DataFrame], table: ArticleTable, **options) -> list[dict]:
+def run_all(feeds: Mapping[str, DataFrame], table: StoredTable, **options) -> list[dict]:
     """Ingest all feeds in order."""
     return [run_one(feeds, source, table, **options) for source in feeds]
 

@@ -24,7 +24,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     source = tmp_path / "in"
     for k in range(3):
         write_stories(source, 10 * k, 10)
-    table = M.init_tables(spark, str(tmp_path / "table"))
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
     where = dict(checkpoint=str(tmp_path / "check"), log_path=str(tmp_path / "log"), max_files=1)
 
     def ingest():
@@ -36,7 +36,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert log.count() == 3 and log.agg(F.sum("articles_added")).first()[0] == 24
     write_stories(source, 30, 10)
     ingest()
-    whole = M.init_tables(spark, str(tmp_path / "whole"))
+    whole = M.init_tables(spark, str(tmp_path / "whole")).articles
     run_batch("hackernews", read_stories(spark, str(source)), whole, max_articles=None)
     columns = ["hash_id", "url", "title", "category", "ai_category", "sentiment"]
     assert sorted(table.read().select(columns).collect()) == sorted(whole.read().select(columns).collect())
@@ -47,7 +47,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     source = tmp_path / "in"
     write_stories(source, 0, 10)
-    table = M.init_tables(spark, str(tmp_path / "table"))
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
     stories = read_stories(spark, str(source))
     results = [
         ingest_batch(stories, 0, "hackernews", table, lambda df: df, str(tmp_path / "log")) for _ in range(2)
@@ -57,7 +57,7 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
 
 
 def test_failed_batch_is_logged(spark, tmp_path):
-    table = M.init_tables(spark, str(tmp_path / "table"))
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
     broken = spark.range(3)
     args = (broken, 4, "s", table, lambda df: df, str(tmp_path / "log"))
     assert "error" in ingest_batch(*args, skip_failed=True)

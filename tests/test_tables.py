@@ -23,7 +23,7 @@ def batch(spark, *rows):
 
 
 def stored(spark, tmp_path, *rows):
-    table = M.init_tables(spark, str(tmp_path / "table"))
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
     table.write(M.upsert_articles(table.read(), batch(spark, *rows), NOW))
     return table
 
@@ -54,7 +54,7 @@ def test_match_by_hash_then_by_url(spark, tmp_path):
 
 
 def test_twice_in_a_batch_the_last_wins(spark, tmp_path):
-    empty = M.init_tables(spark, str(tmp_path / "t")).read()
+    empty = M.init_tables(spark, str(tmp_path / "t")).articles.read()
     both = batch(spark, ("h", "u", "first", "A"), ("h", "u", "second", "B"), (None, "v", "x", "C"),
                  (None, "v", "y", "D"), ("k", None, "no url", "E"), ("l", "w", None, "F"))
     assert sorted((r.url, r.title) for r in M.upsert_articles(empty, both, NOW).collect()) == [
@@ -75,10 +75,33 @@ def test_second_run_adds_nothing(spark, tmp_path):
 
 def test_unfinished_version_is_not_read(spark, tmp_path):
     table = stored(spark, tmp_path, ("h", "u", "t", "A"))
-    (tmp_path / "table" / "v=00000099").mkdir()
+    (tmp_path / "table" / "articles" / "v=00000099").mkdir()
     assert table.versions() == [1, 2] and table.read().count() == 1
 
 
+def test_old_versions_go(spark, tmp_path):
+    table = stored(spark, tmp_path, ("h", "u", "t", "A"))
+    for _ in range(3):
+        table.write(table.read())
+    assert table.versions() == [3, 4, 5] and table.read().count() == 1
+
+
+def test_init_twice(spark, tmp_path):
+    first = M.init_tables(spark, str(tmp_path))
+    again = M.init_tables(spark, str(tmp_path))
+    assert first.sources.versions() == again.sources.versions() == [1, 2]
+    assert again.sources.read().count() == 5 and again.articles.read().count() == 0
+
+
+def test_write_raw(spark, tmp_path):
+    df = with_metadata(raw(spark, feed_rows(3, source="a") + feed_rows(2, start=5, source="b")))
+    folder = M.write_raw(df, str(tmp_path), NOW)
+    assert folder.endswith("/20240601_000000")
+    back = spark.read.json(folder)
+    assert back.groupBy("source").count().orderBy("source").collect() == [("a", 3), ("b", 2)]
+    assert back.select("metadata.score").distinct().collect() == [(3,)]
+
+
 def test_split_new_vs_existing(spark, tmp_path):
     table = stored(spark, tmp_path, ("h1", "u1", "one", "A"))
     new, known = J.split_new_vs_existing(
@@ -152,7 +175,7 @@ def with_metadata(df):
 
 
 def test_run_all_ingests_counts_prunes_and_logs(spark, tmp_path):
-    table = M.init_tables(spark, str(tmp_path / "table"))
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
     log = str(tmp_path / "log")
     feeds = {"hackernews": with_metadata(raw(spark, feed_rows(12))),
              "techcrunch": with_metadata(raw(spark, feed_rows(6, start=9)))}
