@@ -190,32 +190,26 @@ def article_feed(
 
     Filters reach the scan; the page is one top-k over list-view rows.  Every
     row carries ``total`` (all articles, whatever the filter),
-    ``filtered_total`` and ``has_more``, taken from one more row than the page.
+    ``filtered_total`` and ``has_more``, from one count over the filter columns.
     """
     _check("page", page, 1)
     _check("page_size", page_size, 1, R.MAX_PAGE_SIZE)
     order = order_by if order_by in df.columns else "published_at"
-    rows = df
-    if source:
-        rows = rows.where(F.col("source_name") == source)
-    if category:
-        rows = rows.where(F.col("category") == category)
     start = (page - 1) * page_size
+    rows, chosen = df, F.lit(True)
+    for column, value in (("source_name", source), ("category", category)):
+        if value:
+            rows = rows.where(F.col(column) == value)
+            chosen = chosen & F.col(column).eqNullSafe(value)
     view = to_summary(rows)
     if order not in view.columns:
         view = to_summary(rows, order)
-    fetched = view.orderBy(*newest_first(order)).offset(start).limit(page_size + 1)
-    more = fetched.agg(F.count(F.lit(1)) > page_size).scalar()
-    filtered = F.lit(True)
-    if source:
-        filtered = filtered & F.coalesce(F.col("source_name") == source, F.lit(False))
-    if category:
-        filtered = filtered & F.coalesce(F.col("category") == category, F.lit(False))
-    return fetched.orderBy(*newest_first(order)).limit(page_size).withColumns(
+    filtered = df.agg(F.count_if(chosen)).scalar()
+    return view.orderBy(*newest_first(order)).offset(start).limit(page_size).withColumns(
         {
             "total": df.agg(F.count(F.lit(1))).scalar(),
-            "filtered_total": df.agg(F.count_if(filtered)).scalar(),
-            "has_more": more,
+            "filtered_total": filtered,
+            "has_more": filtered > start + page_size,
         }
     )
 

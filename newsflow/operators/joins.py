@@ -101,25 +101,28 @@ def match_existing(batch: DataFrame, target: DataFrame) -> DataFrame:
     """``_target``: hash of the stored article a batch row updates -- by hash,
     else by URL, null for a new article.
 
-    Both joins use narrow keys of the target.  A batch row without hash cannot
-    match by hash; it gets a key of its own, so such rows don't pile up in one
-    task.
+    The target is first cut to the keys the batch asks for.  Against a batch
+    below the broadcast threshold that is a scan of two narrow columns without
+    a shuffle, however large the table.  Batch rows without a key to look up
+    get one of their own, so they don't pile up in one task.
     """
-    keys = target.select("hash_id", "url")
-    by_hash = keys.where(F.col("hash_id").isNotNull()).select(
+    own: Column = F.concat(F.lit("\n"), F.col(ORD).cast("string"))
+    wanted = batch.where(F.col("hash_id").isNotNull()).select("hash_id").distinct()
+    by_hash = target.select("hash_id").join(wanted, "hash_id", "left_semi").select(
         F.col("hash_id").alias("_key"), F.col("hash_id").alias("_by_hash")
     )
+    hashed = batch.withColumn("_key", F.coalesce("hash_id", own)).join(by_hash, "_key", "left")
+    open_url = F.when(F.col("_by_hash").isNull(), F.col("url"))
+    asked = hashed.select(open_url.alias("url")).where(F.col("url").isNotNull()).distinct()
     # several stored rows with one url: the smallest hash stands for them
     by_url = (
-        keys.where(F.col("url").isNotNull() & F.col("hash_id").isNotNull())
+        target.select("url", "hash_id")
+        .join(asked, "url", "left_semi")
         .groupBy(F.col("url").alias("_url"))
         .agg(F.min("hash_id").alias("_by_url"))
     )
-    own: Column = F.concat(F.lit("\n"), F.col(ORD).cast("string"))
-    matched = batch.withColumn("_key", F.coalesce("hash_id", own)).join(by_hash, "_key", "left")
-    open_url = F.when(F.col("_by_hash").isNull(), F.col("url"))
     return (
-        matched.withColumn("_url", F.coalesce(open_url, own))
+        hashed.withColumn("_url", F.coalesce(open_url, own))
         .join(by_url, "_url", "left")
         .withColumn("_target", F.coalesce("_by_hash", "_by_url"))
         .drop("_key", "_url", "_by_hash", "_by_url")

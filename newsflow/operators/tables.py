@@ -238,12 +238,17 @@ class StoredTable:
     write leaves the table as it was.  The last ``keep`` versions stay for
     readers that are still at work.  With a lakehouse format the same upsert is
     one MERGE statement, which also spares rewriting untouched files.
+
+    ``partition_by`` lays large tables out by column, so that a filter on it
+    prunes folders; the rebalance splits a value that holds most of the rows
+    and merges small ones.
     """
 
     spark: SparkSession
     path: str
     schema: str = ARTICLE_TABLE
     keep: int = 3
+    partition_by: tuple[str, ...] = ()
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -270,15 +275,19 @@ class StoredTable:
         return self
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(
-            f"{self.path}/v={self.versions()[-1]:08d}"
-        )
+        fields = self.spark.createDataFrame([], self.schema).columns
+        version = f"{self.path}/v={self.versions()[-1]:08d}"
+        return self.spark.read.schema(self.schema).parquet(version).select(*fields)
 
     def write(self, df: DataFrame) -> None:
         number = (self.versions() or [0])[-1] + 1
         fields = self.spark.createDataFrame([], self.schema).schema
         ordered = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
-        ordered.write.mode("overwrite").parquet(f"{self.path}/v={number:08d}")
+        if self.partition_by:
+            ordered = ordered.hint("rebalance", *self.partition_by)
+        ordered.write.mode("overwrite").partitionBy(*self.partition_by).parquet(
+            f"{self.path}/v={number:08d}"
+        )
         fs, path = self._fs()
         for old in self.versions()[: -self.keep]:
             fs.delete(path(f"{self.path}/v={old:08d}"), True)

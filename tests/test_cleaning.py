@@ -140,3 +140,21 @@ def test_hot_keys(spark):
     )
     got = sorted(r._ord for r in C.surviving_ords(df).collect())
     assert got == sorted([1] + list(range(2, n, 3)))
+
+
+def test_bucketed_raw_table_is_not_shuffled(spark, sf_dir, tmp_path):
+    """With raw articles bucketed by ``_ord`` only keys are exchanged."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sql("DROP TABLE IF EXISTS raw_bucketed")
+    try:
+        rows = _gappy(spark, sf_dir).drop("metadata")
+        rows.write.bucketBy(8, "_ord").option("path", str(tmp_path / "raw")).saveAsTable("raw_bucketed")
+        out = clean_articles(spark.table("raw_bucketed"), ai=False)
+        plan = out._jdf.queryExecution().executedPlan()
+        exchanges = [line for line in plan.toString().split("\n") if "Exchange" in line]
+        assert len(exchanges) == 3, exchanges  # URL key, title key, surviving orders
+        assert not any("content" in line for line in exchanges)
+        assert out.count() == clean_articles(rows, ai=False).count()
+    finally:
+        spark.sql("DROP TABLE IF EXISTS raw_bucketed")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

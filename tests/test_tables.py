@@ -86,6 +86,24 @@ def test_old_versions_go(spark, tmp_path):
     assert table.versions() == [3, 4, 5] and table.read().count() == 1
 
 
+def test_partitioned_table(spark, tmp_path):
+    rows = stored(spark, tmp_path, *[(f"h{i}", f"u{i}", "t", "AB"[i % 2]) for i in range(9)]).read()
+    table = M.StoredTable(spark, str(tmp_path / "by"), partition_by=("category",))
+    table.write(rows)
+    assert table.read().columns == rows.columns and rows_of(table.read()) == rows_of(rows)
+    plan = table.read().where("category = 'A'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(category" in plan
+
+
+def test_small_batch_does_not_shuffle_the_table(spark, tmp_path):
+    table = stored(spark, tmp_path, *[(f"h{i}", f"u{i}", "t", "A") for i in range(50)])
+    M.StoredTable(spark, str(tmp_path / "b"), "hash_id string, url string, title string, category string, _ord bigint",
+                  ).write(batch(spark, ("h1", "u1", "x", "B"), ("n", "u2", "y", "C")))
+    small = spark.read.parquet(str(tmp_path / "b" / "v=00000001"))
+    plan = M.upsert_articles(table.read(), small, LATER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Cartesian" not in plan
+
+
 def test_init_twice(spark, tmp_path):
     first = M.init_tables(spark, str(tmp_path))
     again = M.init_tables(spark, str(tmp_path))
