@@ -106,11 +106,13 @@ def confidence_by_category(df: DataFrame) -> DataFrame:
 
 
 def top_keywords(df: DataFrame, limit: int = 20, sample: int | None = None) -> DataFrame:
-    """Most frequent keywords over all articles; ``sample`` looks at the first
-    so many articles by arrival instead."""
+    """Most frequent keywords over all articles; ``sample`` looks at a fixed
+    choice of so many articles instead: the first to arrive, where that is
+    known, else by hash."""
     rows = df.where(F.col("ai_keywords").isNotNull())
     if sample is not None:
-        rows = rows.select("_ord", "ai_keywords").orderBy("_ord").limit(sample)
+        order = "_ord" if "_ord" in df.columns else "hash_id"
+        rows = rows.select(order, "ai_keywords").orderBy(order).limit(sample)
     return (
         rows.select(F.explode("ai_keywords").alias("keyword"))
         .groupBy("keyword")

@@ -96,9 +96,13 @@ def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column) -> DataF
         ]
     )
     defaults = _insert_defaults(now)
+    numbered = "id" in target.columns
+    last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if numbered else None
 
     def inserted(c: str) -> Column:
-        if c in ("created_at", "updated_at"):
+        if c == "id":  # unique and above all ids in use, not without gaps
+            value = last_id + 1 + F.monotonically_increasing_id()
+        elif c in ("created_at", "updated_at"):
             value = now
         elif c not in incoming:
             value = defaults.get(c, F.lit(None))

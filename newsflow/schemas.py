@@ -21,7 +21,7 @@ CLEAN_ARTICLE = (
 
 # stored article: what the clean article gains in the table
 ARTICLE_TABLE = (
-    CLEAN_ARTICLE.removesuffix(", _ord BIGINT")
+    "id BIGINT, " + CLEAN_ARTICLE.removesuffix(", _ord BIGINT")
     + ", source_id INT, generated_at TIMESTAMP, created_at TIMESTAMP, updated_at TIMESTAMP"
 )
 

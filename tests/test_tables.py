@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from newsflow.operators import joins as J
+from newsflow.operators.analytics import article_by_id
 from newsflow.operators import tables as M
 from newsflow.plans.batch import interleave_sources, run_all, run_one
 from newsflow.sources.registry import default_sources
@@ -39,6 +40,18 @@ def test_insert_defaults(spark, tmp_path):
     assert row.generated_at == row.created_at == row.scraped_at is not None
 
 
+def test_ids_stay_and_new_ones_follow(spark, tmp_path):
+    table = stored(spark, tmp_path, ("h1", "u1", "one", "A"), ("h2", "u2", "two", "B"))
+    before = {r.url: r.id for r in table.read().collect()}
+    table.write(M.upsert_articles(
+        table.read(), batch(spark, ("h1", "u1", "x", "A"), ("h3", "u3", "y", "B"), ("h4", "u4", "z", "B")), LATER))
+    after = {r.url: r.id for r in table.read().collect()}
+    assert min(before.values()) >= 1 and len(set(after.values())) == 4
+    assert {u: after[u] for u in before} == before
+    assert min(after["u3"], after["u4"]) > max(before.values())
+    assert article_by_id(table.read(), after["u3"]).first().title == "y"
+
+
 def test_match_by_hash_then_by_url(spark, tmp_path):
     table = stored(spark, tmp_path, ("h1", "u1", "one", "A"), ("h2", "u2", "two", "B"))
     second = batch(spark, ("h1", "u1", "ONE", "C"), ("hx", "u2", "TWO", None), ("h3", "u3", "three", "D"),
