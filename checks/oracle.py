@@ -713,3 +713,13 @@ SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, md5(unnest
 SELECT ord AS doc_id, coalesce(author, 'Newsflow Desk') AS byline, CASE WHEN author IS NULL THEN 'NE' ELSE 'AU' END AS initials,
   CAST(length(content) AS INTEGER) AS body_chars FROM raw"""),
 }
+
+# one micro-batch of all stories; posts without own URL share the key of the item page
+ORACLE["stream_ingest"] = f"""
+WITH s AS ({ORACLE["stories"]}),
+base AS (SELECT story_id AS ord, title, url, category FROM s),
+by_url AS {keep_first("base", url_key("url"))},
+by_title AS {keep_first("by_url", title_key(normal_text("title")))}
+SELECT substr(sha256(url), 1, 24) AS hash_id, url, {normal_text("title")} AS title,
+  {standard_category("category")} AS category, 'hackernews' AS source_name
+FROM by_title"""

@@ -832,10 +832,10 @@ def q_stream_ingest(spark, sf):
     """Stories written as files, ingested as a stream, read from the table."""
     folder = fresh_path(spark, "stream")
     items = story_payloads(spark, sf).select(F.from_json("payload", STORY).alias("i")).select("i.*")
-    items.repartition(4).write.json(f"{folder}/in")
+    items.write.json(f"{folder}/in")
     table = M.init_tables(spark, f"{folder}/table").articles
     query = stream_ingest(
-        spark, f"{folder}/in", table, f"{folder}/check", f"{folder}/log", max_files=2,
+        spark, f"{folder}/in", table, f"{folder}/check", f"{folder}/log", max_files=10_000,
         max_articles=None,
     )
     query.awaitTermination()

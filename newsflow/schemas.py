@@ -1,16 +1,5 @@
 """Canonical schemas as DDL strings."""
 
-METRICS = (
-    "score BIGINT, upvotes BIGINT, stars BIGINT, today_stars BIGINT, forks BIGINT, "
-    "comments_count BIGINT"
-)
-
-RAW_ARTICLE = (
-    "source STRING, title STRING, url STRING, author STRING, published_at STRING, "
-    "scraped_at STRING, content STRING, summary STRING, category STRING, "
-    "tags ARRAY<STRING>, metadata VARIANT, _ord BIGINT"
-)
-
 CLEAN_ARTICLE = (
     "source_name STRING, title STRING, url STRING, author STRING, published_at TIMESTAMP, "
     "scraped_at TIMESTAMP, content STRING, summary STRING, category STRING, "

@@ -151,3 +151,11 @@ def test_enrich_adds_all_columns_without_a_shuffle(spark, sf_dir):
     assert out.columns[-5:] == ["ai_category", "ai_confidence", "ai_keywords", "sentiment", "sentiment_score"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "EvalPython" not in plan
+
+
+def test_enrich_equals_the_single_steps(spark, sf_dir):
+    df = V.articles_from_documents(spark, sf_dir)
+    whole = E.enrich(df, CORPUS_RULES, CORPUS_LEXICON)
+    steps = E.add_sentiment(E.add_keywords(E.add_category(df, CORPUS_RULES)), CORPUS_LEXICON)
+    columns = ["_ord", *whole.columns[-5:]]
+    assert sorted(whole.select(columns).collect()) == sorted(steps.select(columns).collect())

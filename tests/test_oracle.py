@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__ as entry_point
 
 QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
-WITHOUT_SQL = {"stream_ingest"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +29,7 @@ def rows(columns, records):
 
 
 def test_all_queries_have_sql():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -41,10 +40,5 @@ def test_query_equals_sql(spark, tables, sf_dir, name):
     assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_without_sql(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
-
-
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0

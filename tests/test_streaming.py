@@ -8,6 +8,7 @@ from newsflow.operators import tables as M
 from newsflow.plans.batch import run_batch
 from newsflow.sources.stories import read_stories
 from newsflow.streaming.ingest import ingest_batch, stream_dedup, stream_ingest
+from newsflow.streaming.monitor import stream_progress
 
 
 def write_stories(folder, first, n):
@@ -78,3 +79,5 @@ def test_stream_dedup_within_the_delay(spark, tmp_path):
     )
     query.awaitTermination()
     assert spark.table("distinct_urls").count() == 4
+    progress = stream_progress(query)
+    assert not progress["is_running"] and progress["batch_id"] >= 0
