@@ -525,6 +525,10 @@ FROM cleaned c JOIN verdict v USING (ord) JOIN keyworded k USING (ord) JOIN mood
 SELECT ord AS doc_id, category, round(confidence, 6) AS confidence FROM verdict"""),
     "categorize_corpus_rules": q(f"{RAW}, {categorized('raw', 'title', 'content', CORPUS_RULES, 'category')}", """
 SELECT ord AS doc_id, category, round(confidence, 6) AS confidence FROM verdict"""),
+    "categorize_news_items": q(f"{RAW}, {categorized('raw', 'title', 'summary', R.CATEGORY_RULES)}", """
+SELECT ord AS doc_id, category, round(confidence, 6) AS confidence FROM verdict"""),
+    "keywords_news_items": q(f"{RAW}, {keyworded('raw', 'ord', 'title || chr(32) || summary', 5)}",
+                             "SELECT ord AS doc_id, keywords FROM keyworded"),
     "categorize_cleaned": q(f"{RAW}, {categorized('raw', 'title', FULL, R.CATEGORY_RULES)}", """
 SELECT ord AS doc_id, category AS ai_category, round(confidence, 6) AS ai_confidence FROM verdict"""),
     "recategorize": q(

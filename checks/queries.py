@@ -546,6 +546,16 @@ def q_categorize_corpus_rules(spark, sf):
     return _verdicts(raw(spark, sf), CORPUS_RULES, F.col("category"))
 
 
+def q_categorize_news_items(spark, sf):
+    """Short items: title and summary only."""
+    return _verdicts(raw(spark, sf).withColumn("content", F.col("summary")), R.CATEGORY_RULES)
+
+
+def q_keywords_news_items(spark, sf):
+    words = E.keywords(F.concat_ws(" ", "title", "summary"), 5)
+    return raw(spark, sf).select(F.col(ORD).alias("doc_id"), F.array_join(words, "|").alias("keywords"))
+
+
 def q_categorize_cleaned(spark, sf):
     out = E.add_category(raw(spark, sf))
     return out.select(

@@ -167,15 +167,19 @@ def insights(df: DataFrame, keyword_limit: int = 20) -> DataFrame:
 
 
 def dashboard_kpis(df: DataFrame) -> DataFrame:
-    """Articles, sources, categories (a missing one counts) and generated ones."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_articles"),
+    """Articles, sources, categories (a missing one counts) and generated ones.
+
+    Distinct values are counted over the few (source, category) pairs.
+    """
+    pairs = df.groupBy("source_name", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count("generated_at").alias("generated")
+    )
+    unnamed = F.max(F.when(F.col("category").isNull(), 1).otherwise(0))
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_articles"),
         F.count_distinct("source_name").alias("active_sources"),
-        (
-            F.count_distinct("category")
-            + F.max(F.when(F.col("category").isNull(), 1).otherwise(0))
-        ).alias("categories"),
-        F.count("generated_at").alias("generated"),
+        (F.count_distinct("category") + F.coalesce(unnamed, F.lit(0))).alias("categories"),
+        F.coalesce(F.sum("generated"), F.lit(0)).alias("generated"),
     )
 
 

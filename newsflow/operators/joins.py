@@ -130,9 +130,8 @@ def match_existing(batch: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def split_new_vs_existing(batch: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new rows, rows that update a stored article)."""
-    matched = match_existing(batch, target)
-    return (
-        matched.where(F.col("_target").isNull()).drop("_target"),
-        matched.where(F.col("_target").isNotNull()),
-    )
+    """(new rows, rows that update a stored article, with its ``_target``)."""
+    matched = match_existing(batch.select(ORD, "hash_id", "url"), target)
+    found = F.col("_target").isNotNull()
+    new = batch.join(matched.where(~found).select(ORD), ORD, "left_semi")
+    return new, batch.join(matched.where(found).select(ORD, "_target"), ORD)

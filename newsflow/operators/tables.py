@@ -18,6 +18,7 @@ from newsflow.functions.arrays import empty_strings
 from newsflow.operators.cleaning import ORD
 from newsflow.operators.joins import match_existing
 from newsflow.schemas import ARTICLE_TABLE, SCRAPE_LOG, SOURCE
+from newsflow.session import staged
 from newsflow.sources.registry import default_sources, register_sources
 
 PROTECTED = frozenset({"id", "created_at", "source_id"})
@@ -47,32 +48,33 @@ def _insert_defaults(now: Column) -> dict[str, Column]:
 _NEVER_NULL = frozenset({"scraped_at", "generated_at", "extra_data"})
 
 
-def last_of(df: DataFrame, key: str) -> DataFrame:
-    """Last row, by arrival, of every key: narrow maximum, then a semi join."""
-    last = df.select(key, ORD).groupBy(key).agg(F.max(ORD).alias(ORD)).select(ORD)
-    return df.join(last, ORD, "left_semi")
-
-
 def prepare_batch(batch: DataFrame, target: DataFrame) -> DataFrame:
-    """Usable batch rows with ``_target`` (see ``match_existing``) and
-    ``_article``, the article they end up in; the last row of an article wins."""
-    usable = batch.where(F.col("url").isNotNull() & F.col("title").isNotNull())
-    matched = match_existing(usable, target)
-    keyed = matched.withColumn(
-        "_article", F.coalesce("_target", "hash_id", F.concat(F.lit("\n"), "url"))
+    """Batch rows that change the table, with ``_target`` (see
+    ``match_existing``): rows with URL and title, the last one of each article.
+
+    Matching and choosing work on keys; whole rows take part in one join only.
+    """
+    usable = F.col("url").isNotNull() & F.col("title").isNotNull()
+    matched = match_existing(batch.where(usable).select(ORD, "hash_id", "url"), target)
+    article = F.coalesce("_target", "hash_id", F.concat(F.lit("\n"), "url"))
+    last = (
+        matched.groupBy(article.alias("_article"), "_target")
+        .agg(F.max(ORD).alias(ORD))
+        .select(ORD, "_target")
     )
-    return last_of(keyed, "_article")
+    return batch.join(last, ORD)
 
 
 def upsert_articles(target: DataFrame, batch: DataFrame, now: datetime | Column) -> DataFrame:
     """The target after the batch: matched articles take every column the batch
     has (keys and creation data stay), new ones are added with defaults.
 
-    Untouched target rows stay where they are when the batch is small enough
-    to be broadcast at run time.
+    The matched batch is written to the shared folder first.  Its size is then
+    known, so a small batch is broadcast and the target is read in place, and
+    the merge does not repeat the matching.
     """
     now = F.lit(now) if isinstance(now, datetime) else now
-    return merge_prepared(target, prepare_batch(batch, target), now)
+    return merge_prepared(target, staged(prepare_batch(batch, target), "prepared"), now)
 
 
 def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column) -> DataFrame:

@@ -45,9 +45,10 @@ def run_batch(
 ) -> dict:
     """Ingest one feed and return its counts.
 
-    The cleaned batch, its match against the table and the merged table are
-    written once and read back, so counting, merging and pruning repeat neither
-    the text work nor the joins, and a lost executor costs only its own tasks.
+    The cleaned batch and its match against the table are written once and read
+    back, so counting and merging repeat neither the text work nor the look-up,
+    and a lost executor costs only its own tasks.  The table is written once:
+    the retention cutoff is taken from the dates of the merge alone.
     """
     started = datetime.now(timezone.utc)
     stamp = F.lit(now or started)
@@ -59,14 +60,9 @@ def run_batch(
     counts = count_prepared(records, prepared).first().asDict()
     scraped = raw.count()
     merged = merge_prepared(target, prepared, stamp)
-    pruned = 0
-    if max_articles is None:
-        table.write(merged)
-    else:
-        merged = staged(merged, "merged")
-        kept = prune_newest(merged, max_articles)
-        table.write(kept)
-        pruned = merged.count() - table.read().count()
+    present = target.count() + counts["added"]
+    table.write(merged if max_articles is None else prune_newest(merged, max_articles))
+    pruned = 0 if max_articles is None else present - table.read().count()
     result = {"source": source, "scraped": scraped, **counts, "pruned": pruned}
     if log_path is not None:
         entry = run_entry(

@@ -113,8 +113,15 @@ def test_small_batch_does_not_shuffle_the_table(spark, tmp_path):
     M.StoredTable(spark, str(tmp_path / "b"), "hash_id string, url string, title string, category string, _ord bigint",
                   ).write(batch(spark, ("h1", "u1", "x", "B"), ("n", "u2", "y", "C")))
     small = spark.read.parquet(str(tmp_path / "b" / "v=00000001"))
-    plan = M.upsert_articles(table.read(), small, LATER)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "Cartesian" not in plan
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    lookup = plan(M.prepare_batch(small, table.read()))
+    assert "BroadcastHashJoin [hash_id" in lookup and "BroadcastHashJoin [url" in lookup
+    merge = plan(M.upsert_articles(table.read(), small, LATER))
+    assert "BroadcastHashJoin [hash_id" in merge
+    assert "SortMergeJoin" not in merge and "hashpartitioning" not in merge
 
 
 def test_init_twice(spark, tmp_path):
