@@ -39,8 +39,9 @@ def find_json_posts(
     """Articles for all objects with ``name``, ``tagline`` and ``slug`` down to
     ten levels below the root (a list counts as a level).
 
-    Each step replaces a node by itself and its children, so the whole search
-    is one chain of narrow generate steps over a single parse of the payload.
+    Each step replaces a node by its children, and by itself if it is a post,
+    so the whole search is one chain of narrow generate steps over a single
+    parse of the payload, and only posts travel on.
     """
     nodes = payloads.select(
         F.col(ORD).alias("_page"),
@@ -48,29 +49,31 @@ def find_json_posts(
         F.lit(False).alias("seen"),
         F.array(F.lit(0)).alias("path"),
     ).where(F.col("node").isNotNull())
-    for _ in range(MAX_DEPTH):
-        members = F.map_values(F.try_variant_get("node", "$", "map<string,variant>"))
-        children = F.coalesce(
-            members,
-            F.try_variant_get("node", "$", "array<variant>"),
-            F.array().cast("array<variant>"),
-        )
-        itself = F.array(F.struct(F.col("node"), F.lit(True).alias("seen"), F.col("path")))
-        below = F.transform(
-            children,
-            lambda c, i: F.struct(
-                c.alias("node"), F.lit(False).alias("seen"),
-                F.concat(F.col("path"), F.array(i)).alias("path"),
-            ),
-        )
-        step = F.when(F.col("seen"), itself).otherwise(F.concat(itself, below))
-        nodes = nodes.select("_page", F.explode(step).alias("n")).select("_page", "n.*")
     members = F.try_variant_get("node", "$", "map<string,variant>")
-    posts = nodes.where(
+    is_post = (
         F.map_contains_key(members, "name")
         & F.map_contains_key(members, "tagline")
         & F.map_contains_key(members, "slug")
     )
+    children = F.coalesce(
+        F.map_values(members),
+        F.try_variant_get("node", "$", "array<variant>"),
+        F.array().cast("array<variant>"),
+    )
+    itself = F.array(F.struct(F.col("node"), F.lit(True).alias("seen"), F.col("path")))
+    below = F.transform(
+        children,
+        lambda c, i: F.struct(
+            c.alias("node"), F.lit(False).alias("seen"),
+            F.concat(F.col("path"), F.array(i)).alias("path"),
+        ),
+    )
+    step = F.when(F.col("seen"), itself).otherwise(
+        F.when(is_post, F.concat(itself, below)).otherwise(below)
+    )
+    for _ in range(MAX_DEPTH):
+        nodes = nodes.select("_page", F.explode(step).alias("n")).select("_page", "n.*")
+    posts = nodes.where(is_post)
     topics = F.try_variant_get("node", "$.topics", "array<string>")
     articles = posts.select(
         _text("$.name").alias("title"),
