@@ -7,9 +7,11 @@ texts; counts, categories, defaults and metadata are Spark expressions.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from newsflow.operators.cleaning import ORD
 from newsflow.sources.conform import conform_article
 from newsflow.sources.html import Node, tree
 
+# The card readers travel with the tasks, so executors need no copy of the package.
+for _module in ("newsflow.sources.html", __name__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
+
 # --- fixed values: site addresses and class patterns --------------------------
 PRODUCT_SITE = "https://www.producthunt.com"
 REPO_SITE = "https://github.com"

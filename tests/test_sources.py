@@ -1,5 +1,8 @@
 import os
+import subprocess
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from newsflow.operators.pages import main_text, page_metadata
@@ -191,3 +194,16 @@ def test_page_extraction(spark):
     )
     assert r.text == "Head\nOne two\nThree <x>"
     assert column(spark, [None, "", "plain"], main_text) == ["", "", "plain"]
+
+
+def test_card_readers_need_no_package_on_executors(tmp_path):
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((cards.article_cards, cards.tree)))
+    code = (
+        "import pickle; find, tree = pickle.load(open('f.pkl', 'rb'));"
+        "print(len(list(find(tree('<article><h2><a href=x>t</a></h2></article>')))))"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True
+    )
+    assert out.stdout.strip() == "1", out.stderr
