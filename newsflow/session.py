@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,17 @@ def get_spark(app_name: str = "newsflow", master: str | None = None, **conf: str
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.  Only where the
-    session names none -- a local test run -- a temporary folder is set."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Only where the session names none and all of Spark is one local process -- a
+    test run -- a temporary folder is set.  On a cluster each machine would have
+    its own, so there the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"name a folder that all machines of {master} share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="newsflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

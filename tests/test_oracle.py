@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -40,5 +41,9 @@ def test_query_equals_sql(spark, tables, sf_dir, name):
     assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
 
 
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
