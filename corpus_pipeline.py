@@ -1,4 +1,72 @@
-"""Corpus pipeline (its stages follow with their operators)."""
+"""Corpus pipeline: rules, near duplicates, repeated passages, mixing, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir), is written as Parquet and read again as
+the next one's documents.  All but the last return the columns of ``documents``.
+
+1. quality rules: documents that fail, or whose host fails, go
+2. n-gram Jaccard join: the first document of each group stays
+   (five-word shingles, similarity 0.8)
+3. suffix-array dedup: passages of 100 bytes that occurred before go
+4. mixing: documents are drawn towards flatter source, language and topic shares
+5. packing: sequences in length buckets and batches
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsflow.llm.common import stage
+from newsflow.llm.jaccard import first_of_groups
+from newsflow.llm.mixing import mix_sources
+from newsflow.llm.packing import pack
+from newsflow.llm.quality import quality_rules
+from newsflow.llm.suffix_dedup import suffix_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(quality_rules(docs.select(*COLUMNS)).where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(first_of_groups(docs, width=5, percent=80))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(docs.select(*COLUMNS), length=100)
+    return _documents(cut.withColumn("n_chars", F.length("text").cast("bigint")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(mix_sources(docs.select(*COLUMNS)).where("sampled"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+# Segments, run-length index and raking are no SQL: the tests compare with
+# brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each staged for the next one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

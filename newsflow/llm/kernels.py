@@ -42,7 +42,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse mod 2**64."""
-    if len(_POWERS.get("up", ())) < n:
+    if len(_POWERS.get("up", ())) <= n:
         size = max(n, BLOCK) + 1
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             out = np.full(size, base & _MASK, np.uint64)
