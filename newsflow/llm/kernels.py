@@ -7,6 +7,7 @@ corpus of ``n`` distinct ones share a hash with probability ``n**2 / 2**65``.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse mod 2**64."""
     if len(_POWERS.get("up", ())) <= n:
+        if not _POWERS:  # a task's first call: what earlier tasks of this worker left hangs in cycles
+            gc.collect()
         size = max(n, BLOCK) + 1
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             out = np.full(size, base & _MASK, np.uint64)
