@@ -158,20 +158,21 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), text.alias("text"))
-    base = rows.where("doc IS NOT NULL").select(
-        "doc", "text", F.length("text").cast("bigint").alias("n_chars"), order_minhash(F.col("text")).alias("sketch"))
+    # both joins below read exactly these columns, so Spark sketches and shuffles the texts once for both
+    base = rows.where("doc IS NOT NULL").select("doc", "text", order_minhash(F.col("text")).alias("sketch"))
     third = F.expr("cast(n_chars div 3 as int)")
     needs = rows.where("doc IS NOT NULL").groupBy("doc").agg(F.max(F.length("text")).alias("n_chars"))
     needs = stage(needs.select("doc", third.alias("need")), "needs")
     following = stage(next_ids(needs.select("doc")).join(needs, "doc"), "following")
     owners = following.select(F.col("doc").alias("owner"), F.col("next_doc").alias("doc"), "need")
-    heads = base.join(owners, "doc").select(
+    heads = base.join(owners.hint("merge"), "doc").select(
         F.col("owner").alias("doc"), F.expr("left(text, need)").alias("head"), F.col("sketch").alias("next_sketch"))
     if needs.count() < rows.where("doc IS NOT NULL").count():  # ids repeat: the smallest text counts
         heads = heads.groupBy("doc").agg(F.min(F.struct("head", "next_sketch")).alias("h")).select("doc", "h.*")
     edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 3 as int))"),
                       F.expr("left(head, cast(n_chars div 3 as int))"))
-    joined = base.join(heads, "doc").withColumn("edited", edited)
+    joined = base.join(heads.hint("merge"), "doc").withColumn("n_chars", F.length("text").cast("bigint")).withColumn(
+        "edited", edited)
     both = joined.select(
         "doc", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch",
         F.explode(F.array(order_minhash(F.col("edited")))).alias("edited_sketch"))
