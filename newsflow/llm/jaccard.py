@@ -183,7 +183,7 @@ def jaccard_components(
         .where("hub <> last").select("s", "hub"),
         "hubs",
     )
-    shared = signs.join(small_side(hubs), "s").select("hub", "doc").distinct()
+    shared = signs.join(hubs, "s").select("hub", "doc").distinct()
     lone = small_side(copies.select(F.col("u").alias("doc")))
     members = stage(shared.where("hub <> doc").join(lone, "doc", "left_anti"), "members")
     # a hub may be a copy: its representative shares the same segments
