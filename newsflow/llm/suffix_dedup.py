@@ -2,14 +2,17 @@
 
 Every window of ``length`` bytes is named by the smallest hash of the ``GRAM``-
 byte strings in it; equal windows have the same name at the same place, so
-neighbouring windows with one anchor are handled together.  Anchors that occur
-once in the corpus cannot be part of a repeat.  For the others, the bytes of
-their windows -- some 130 -- go to the bucket of the anchor's hash, where a
-run-length index marks the windows that occur earlier.
-
-An anchor with very many occurrences (a frequent line) is not gathered in one
-bucket: its windows are compared by hash in an aggregation that is reduced
-before it is shuffled.
+neighbouring windows with one anchor are handled together: their bytes, some
+130, are the anchor's context.
+
+Anchors that occur once in the corpus cannot be part of a repeat.  Where all
+contexts of an anchor are equal, all but the first repeat as a whole.  Only
+anchors with different contexts need their bytes; these go to the bucket of the
+anchor's hash, where a run-length index marks the windows that occur earlier.
+
+An anchor with different contexts and very many occurrences (a frequent line)
+is not gathered in one bucket: its windows are compared by hash in an
+aggregation that is reduced before it is shuffled.
 """
 
 from __future__ import annotations
@@ -44,14 +47,15 @@ def _variants(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int):
-    """For each run of windows with the same anchor: anchor hash, document,
-    first window, place of the anchor after it, and bytes the windows cover."""
+    """For each run of windows with the same anchor: anchor hash, hash of its
+    context, document, first window, place of the anchor after it, and bytes of
+    the context."""
     grams = min(GRAM, length)
     span = length - grams + 1  # anchors to choose from in a window
     n = len(data) - length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty.astype(np.uint64), empty, empty, empty, empty
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
     sums = K.prefix_hash(data)
     begin = np.arange(len(data) - grams + 1)
     hashes = K.span_hash(sums, begin, begin + grams)
@@ -67,7 +71,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int):
     sizes = (np.diff(offsets) - length + 1).clip(0)
     window = np.repeat(offsets[:-1], sizes) + K.run_lengths(sizes)
     if not len(window):
-        return empty.astype(np.uint64), empty, empty, empty, empty
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
     place = (best[window] & low).astype(np.int64)
     new = np.ones(len(window), bool)
     new[1:] = place[1:] != place[:-1]
@@ -75,7 +79,9 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int):
     first, place = window[heads], place[heads]
     last = window[np.append(heads[1:], len(window)) - 1]
     doc = np.searchsorted(offsets, first, "right") - 1
-    return hashes[place], doc, first - offsets[doc], place - first, last - first + length
+    size = last - first + length
+    context = K.span_hash(sums, first, first + size) ^ K.mix((place - first << 32 | size).astype(np.uint64))
+    return hashes[place], context, doc, first - offsets[doc], place - first, size
 
 
 def _anchors(length: int):
@@ -86,19 +92,24 @@ def _anchors(length: int):
             for a, z in K.blocks(offsets):
                 own = offsets[a : z + 1] - offsets[a]
                 block = data[offsets[a] : offsets[z]]
-                name, doc, first, place, size = anchor_runs(block, own, length)
+                name, context, doc, first, place, size = anchor_runs(block, own, length)
                 if len(name):
                     at = _variants(block, own)[doc] << VARIANT | first
+                    # a context that its own document had before
+                    order = np.lexsort((first, context, doc))
+                    again = np.zeros(len(name), bool)
+                    again[order[1:]] = (context[order[1:]] == context[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(name.view(np.int64)), pa.array(ids[a:z][doc], pa.int64()), pa.array(at),
-                         pa.array((place << 32 | size).astype(np.int64))],
-                        names=["h", "doc", "at", "shape"],
+                        [pa.array(name.view(np.int64)), pa.array(context.view(np.int64)),
+                         pa.array(ids[a:z][doc], pa.int64()), pa.array(at),
+                         pa.array((again.astype(np.int64) << 48 | place << 32 | size).astype(np.int64))],
+                        names=["h", "context", "doc", "at", "shape"],
                     )
 
     return run
 
 
-ANCHOR = "h bigint, doc bigint, at bigint, shape bigint"
+ANCHOR = "h bigint, context bigint, doc bigint, at bigint, shape bigint"
 
 
 def _contexts(batches):
@@ -126,7 +137,7 @@ def _contexts(batches):
                 pa.binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(raw.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(field["h"][part][use]), pa.array(ids[a:z][row], pa.int64()), pa.array(at),
-                 pa.array(field["shape"][part][use] >> 32), pa.array(field["copies"][part][use]), text],
+                 pa.array(field["shape"][part][use] >> 32 & 0xFFFF), pa.array(field["copies"][part][use]), text],
                 names=["h", "doc", "at", "place", "copies", "text"],
             )
 
@@ -210,20 +221,64 @@ def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, length: int)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
     anchors = rows.mapInArrow(_anchors(length), ANCHOR)
-    names = stage(anchors.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "anchors")
-    wanted = stage(anchors.join(names, "h"), "wanted")
-    ids = small_side(stage(wanted.select("doc").distinct(), "wanted-docs"))
-    runs = wanted.groupBy("doc").agg(F.collect_set(F.struct("h", "at", "shape", "copies")).alias("runs"))
+    names = stage(
+        anchors.groupBy("h").agg(
+            F.count("*").alias("copies"), F.min("doc").alias("first"),
+            (F.min("context") == F.max("context")).alias("uniform"),
+        ).where("copies > 1"),
+        "anchors",
+    )
+    found = anchors.drop("context").join(names, "h")
+    wanted = stage(
+        found.where("NOT uniform OR doc > first OR shape >= 1L << 48").select(
+            "doc", "at", "shape", F.when(~F.col("uniform"), F.col("h")).alias("h"),
+            F.when(~F.col("uniform"), F.col("copies")).alias("copies")),
+        "wanted",
+    )
+    whole = wanted.where("h IS NULL").select(
+        "doc", F.col("at").alias("start"), (F.col("at") + F.col("shape").bitwiseAND(F.lit(0xFFFFFFFF))).alias("stop"))
+    mixed = wanted.where("h IS NOT NULL")
+    ids = small_side(stage(mixed.select("doc").distinct(), "mixed-docs"))
+    runs = mixed.groupBy("doc").agg(F.collect_set(F.struct("h", "at", "shape", "copies")).alias("runs"))
     contexts = rows.join(ids, "doc", "left_semi").join(runs, "doc").select("doc", "text", "runs").mapInArrow(
         _contexts, CONTEXT)
-    buckets = max(1, -(-wanted.where(F.col("copies") <= HOT).count() // BUCKET))
+    buckets = max(1, -(-mixed.where(F.col("copies") <= HOT).count() // BUCKET))
     cold = contexts.where(F.col("copies") <= HOT).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket"))
-    spans = cold.applyInArrow(lambda t: _bucket(length)(t), SPANS)
-    if wanted.where(F.col("copies") > HOT).limit(1).count():
+    spans = whole.unionByName(cold.applyInArrow(lambda t: _bucket(length)(t), SPANS))
+    if mixed.where(F.col("copies") > HOT).limit(1).count():
         spans = spans.unionByName(_hot_spans(stage(contexts.where(F.col("copies") > HOT), "hot"), length))
-    return stage(
-        spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans"
-    )
+    listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return stage(listed.mapInArrow(_merged_spans, listed.schema), "spans")
+
+
+def _merged_spans(batches):
+    """Spans of each document in order, overlapping and touching ones joined."""
+    for batch in batches:
+        spans = batch.column(1)
+        start = spans.values.field("start").to_numpy(zero_copy_only=False)
+        stop = spans.values.field("stop").to_numpy(zero_copy_only=False)
+        ends = spans.offsets.to_numpy()
+        row = np.repeat(np.arange(len(batch)), np.diff(ends))
+        start, stop = start[ends[0] : ends[-1]], stop[ends[0] : ends[-1]]
+        order = np.lexsort((start, row))
+        row, start, stop = row[order], start[order], stop[order]
+        reach = _reach(row, stop)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:] - 1, len(row) - 1)
+        cuts = np.searchsorted(row[first], np.arange(len(batch) + 1)).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(reach[last])], names=["start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), values)], names=["doc", "spans"])
+
+
+def _reach(row: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Running maximum of ``stop`` within each row."""
+    out = stop.copy()
+    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
+    for a, b in zip(heads, np.append(heads[1:], len(row)), strict=True) if len(row) else ():
+        np.maximum.accumulate(stop[a:b], out=out[a:b])
+    return out
 
 
 def _cut(batches):
