@@ -30,7 +30,7 @@ def suffix_ranks(symbols: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndar
         key = key << np.uint64(bits) | padded[k : k + n]
     kept = {}
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties have equal ranks in any order
         ordered = key[order]
         new = np.ones(n, bool)
         new[1:] = ordered[1:] != ordered[:-1]

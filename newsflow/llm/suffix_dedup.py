@@ -37,6 +37,7 @@ HOT = 2000  # occurrences from which an anchor's windows are compared by hash
 BUCKET = 20_000  # windows' contexts indexed together
 PLACE = 31  # bits of a position within a text
 VARIANT = 40  # a position has the document's variant above this bit
+AGAIN = 1 << 48  # marks, in a shape, a context that its own document had before
 
 
 def _variants(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -102,7 +103,7 @@ def _anchors(length: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(name.view(np.int64)), pa.array(context.view(np.int64)),
                          pa.array(ids[a:z][doc], pa.int64()), pa.array(at),
-                         pa.array((again.astype(np.int64) << 48 | place << 32 | size).astype(np.int64))],
+                         pa.array((again * np.int64(AGAIN) | place << 32 | size).astype(np.int64))],
                         names=["h", "context", "doc", "at", "shape"],
                     )
 
@@ -155,26 +156,17 @@ def _bucket(length: int):
     """Windows of a bucket that occur earlier, as spans of (variant and) bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        # few contexts of few anchors repeat as a whole: only the first of each goes into the index
         order = np.lexsort((table.column("at").to_numpy(), table.column("doc").to_numpy()))
         doc, at = table.column("doc").to_numpy()[order], table.column("at").to_numpy()[order]
         single = np.ones(len(doc), bool)  # a repeated row brings its windows twice
         single[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
         table, doc, at = table.take(pa.array(order[single])), doc[single], at[single]
         data, offsets = K.buffers(table.column("text"))
-        sums = K.prefix_hash(data)
-        size = np.diff(offsets)
-        name = table.column("h").to_numpy().view(np.uint64)
-        place = table.column("place").to_numpy().astype(np.uint64)
-        # equal bytes around an anchor that is equal already: hash and sizes tell them apart
-        whole = K.span_hash(sums, offsets[:-1], offsets[1:]) ^ K.mix(name + K.mix(place << np.uint64(32) | size.astype(np.uint64)))
-        _, first, again = np.unique(whole, return_index=True, return_inverse=True)
-        repeat = first[again] != np.arange(len(doc))
-        doc_out, start_out, stop_out = [doc[repeat]], [at[repeat]], [(at + size)[repeat]]
+        name = table.column("h").to_numpy()
+        doc_out, start_out, stop_out = [doc[:0]], [at[:0]], [at[:0]]
         # anchors with more than one distinct context
-        kept = np.flatnonzero(~repeat)
-        _, group, n = np.unique(name[kept], return_inverse=True, return_counts=True)
-        kept = kept[n[group] > 1]
+        _, group, n = np.unique(name, return_inverse=True, return_counts=True)
+        kept = np.flatnonzero(n[group] > 1)
         raw = data.tobytes()
         index = RunIndex([raw[offsets[i] : offsets[i + 1]] for i in kept], length) if len(kept) else None
         for i, starts in zip(kept, index.long_matches() if index else (), strict=True):
@@ -190,28 +182,21 @@ def _bucket(length: int):
 
 
 def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many occurrences, by aggregation."""
-    where = F.struct("doc", "at").alias("where")
-    distinct = stage(
-        hot.groupBy("h", "place", "text").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")),
-        "hot-contexts",
-    )
-    copies = hot.join(distinct.where("n > 1"), ["h", "place", "text"]).where(
-        F.struct("doc", "at") != F.col("first")
-    ).select("doc", F.col("at").alias("start"), (F.col("at") + F.octet_length("text")).alias("stop"))
+    """Repeated windows of anchors with very many occurrences, by aggregation.
+    Their contexts are distinct already."""
+    where = F.struct("doc", "at")
     shift = F.explode(F.sequence(F.lit(0), F.octet_length("text") - length)).alias("o")
-    window = distinct.select("h", "place", "first", "text", shift).select(
-        "h", (F.col("place") - F.col("o")).alias("place"), F.col("first.doc").alias("doc"),
-        (F.col("first.at") + F.col("o")).alias("at"),
-        F.xxhash64(F.expr(f"substring(text, o + 1, {length})")).alias("a"),
-        F.xxhash64(F.lit(1), F.expr(f"substring(text, o + 1, {length})")).alias("b"),
+    own = F.expr(f"substring(text, o + 1, {length})")
+    window = stage(
+        hot.select("h", "place", "doc", "at", "text", shift).select(
+            "h", (F.col("place") - F.col("o")).alias("place"), "doc", (F.col("at") + F.col("o")).alias("at"),
+            F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b")),
+        "hot-windows",
     )
-    window = stage(window, "hot-windows")
     keys = ["h", "place", "a", "b"]
     first = window.groupBy(*keys).agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = window.join(first.drop("n"), keys).where(F.struct("doc", "at") != F.col("first")).select(
+    return window.join(first.drop("n"), keys).where(where != F.col("first")).select(
         "doc", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    return copies.unionByName(again)
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -228,25 +213,34 @@ def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, length: int)
         ).where("copies > 1"),
         "anchors",
     )
-    found = anchors.drop("context").join(names, "h")
-    wanted = stage(
-        found.where("NOT uniform OR doc > first OR shape >= 1L << 48").select(
+    found = stage(
+        anchors.join(names, "h").where(f"NOT uniform OR doc > first OR shape >= {AGAIN}").select(
             "doc", "at", "shape", F.when(~F.col("uniform"), F.col("h")).alias("h"),
+            F.when(~F.col("uniform"), F.col("context")).alias("context"),
             F.when(~F.col("uniform"), F.col("copies")).alias("copies")),
-        "wanted",
+        "repeated-anchors",
+    )
+    span = ["doc", F.col("at").alias("start"),
+            (F.col("at") + F.col("shape").bitwiseAND(F.lit(0xFFFFFFFF))).alias("stop")]
+    # of an anchor with different contexts, equal ones again repeat as a whole but for the first
+    mixed = found.where("h IS NOT NULL")
+    first = mixed.groupBy("h", "context").agg(F.min("doc").alias("first"))
+    placed = stage(
+        mixed.join(first, ["h", "context"]).withColumn("whole", F.expr(f"doc > first OR shape >= {AGAIN}"))
+        .drop("first", "context"),
+        "mixed-anchors",
     )
-    whole = wanted.where("h IS NULL").select(
-        "doc", F.col("at").alias("start"), (F.col("at") + F.col("shape").bitwiseAND(F.lit(0xFFFFFFFF))).alias("stop"))
-    mixed = wanted.where("h IS NOT NULL")
-    ids = small_side(stage(mixed.select("doc").distinct(), "mixed-docs"))
-    runs = mixed.groupBy("doc").agg(F.collect_set(F.struct("h", "at", "shape", "copies")).alias("runs"))
+    whole = found.where("h IS NULL").select(*span).unionByName(placed.where("whole").select(*span))
+    wanted = placed.where("NOT whole")
+    ids = small_side(stage(wanted.select("doc").distinct(), "mixed-docs"))
+    runs = wanted.groupBy("doc").agg(F.collect_set(F.struct("h", "at", "shape", "copies")).alias("runs"))
     contexts = rows.join(ids, "doc", "left_semi").join(runs, "doc").select("doc", "text", "runs").mapInArrow(
         _contexts, CONTEXT)
-    buckets = max(1, -(-mixed.where(F.col("copies") <= HOT).count() // BUCKET))
+    buckets = max(1, -(-wanted.where(F.col("copies") <= HOT).count() // BUCKET))
     cold = contexts.where(F.col("copies") <= HOT).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket"))
     spans = whole.unionByName(cold.applyInArrow(lambda t: _bucket(length)(t), SPANS))
-    if mixed.where(F.col("copies") > HOT).limit(1).count():
-        spans = spans.unionByName(_hot_spans(stage(contexts.where(F.col("copies") > HOT), "hot"), length))
+    if wanted.where(F.col("copies") > HOT).limit(1).count():
+        spans = spans.unionByName(_hot_spans(contexts.where(F.col("copies") > HOT), length))
     listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return stage(listed.mapInArrow(_merged_spans, listed.schema), "spans")
 
@@ -282,40 +276,35 @@ def _reach(row: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches):
-    """Remaining bytes of each text, and what was taken out."""
+    """Remaining bytes of each text, and what was taken out; the spans are in
+    order and apart."""
     for batch in batches:
         data, offsets = K.buffers(batch.column("text"))
-        raw = data.tobytes()
         spans = batch.column("spans")
         ends = spans.offsets.to_numpy()
+        has = spans.is_valid().to_numpy(zero_copy_only=False) & (np.diff(ends) > 0)
         start_all = spans.values.field("start").to_numpy(zero_copy_only=False)
         stop_all = spans.values.field("stop").to_numpy(zero_copy_only=False)
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        variants = _variants(data, offsets) if len(data) else np.zeros(len(batch), np.int64)
         low = (1 << VARIANT) - 1
         for i in range(len(batch)):
-            text = raw[offsets[i] : offsets[i + 1]]
-            part = slice(ends[i], ends[i + 1]) if spans.is_valid()[i].as_py() else slice(0, 0)
-            start, stop = start_all[part], stop_all[part]
-            own = start >> VARIANT == variants[i]
-            start, stop = start[own] & low, stop[own] & low
-            order = np.argsort(start, kind="stable")
-            start, stop = start[order], stop[order]
-            pieces, removed, n, at = [], 0, 0, 0
-            if len(start):
-                reach = np.maximum.accumulate(stop)
-                new = np.append(True, start[1:] > reach[:-1])
-                first = start[new]
-                last = reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
-                n, removed = len(first), int((last - first).sum())
-                for x, y in zip(first.tolist(), last.tolist(), strict=True):
-                    pieces.append(text[at:x])
-                    at = y
+            own_bytes = data[offsets[i] : offsets[i + 1]]
+            text = own_bytes.tobytes()
+            start = stop = ends[:0]
+            if has[i]:
+                part = slice(ends[i], ends[i + 1])
+                own = start_all[part] >> VARIANT == _variants(own_bytes, np.array([0, len(text)]))[0]
+                start, stop = start_all[part][own] & low, stop_all[part][own] & low
+            pieces, at = [], 0
+            for x, y in zip(start.tolist(), stop.tolist(), strict=True):
+                pieces.append(text[at:x])
+                at = y
             pieces.append(text[at:])
             kept = b"".join(pieces)
-            for k, v in (("n_bytes", len(text)), ("n_removed", removed), ("n_spans", n),
+            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("n_spans", len(start)),
                          ("kept_sha256", hashlib.sha256(kept).hexdigest()),
-                         ("kept", b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode())):
+                         ("kept", b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode()
+                          if at else text.decode())):
                 out[k].append(v)
         plain = [batch.column(i) for i, k in enumerate(batch.schema.names) if k not in ("text", "spans")]
         names = [k for k in batch.schema.names if k not in ("text", "spans")]
