@@ -41,6 +41,7 @@ def main() -> None:
         "bench", f"local[{CPUS}]",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=CPUS, spark__driver__memory="16g",
+        newsflow__view__partitions=str(2 * int(CPUS)),  # the test tables are single row groups
     )
     spark.sparkContext.setLogLevel("ERROR")
     docs, chars = spark.read.parquet(f"{SF_DIR}/documents.parquet").selectExpr(

@@ -289,7 +289,7 @@ def linked_items(extra: str) -> str:
     return f"""{PAGE_TEXTS},
 first_page AS {keep_first("page_texts", "url")},
 linked AS (
-  SELECT d.doc_id, p.url, substr(d.text, 1, CAST(d.doc_id % 900 AS INTEGER)) AS body
+  SELECT d.doc_id, p.url, CASE d.doc_id % 4 WHEN 1 THEN '' WHEN 2 THEN 'Note ' || d.doc_id ELSE d.text END AS body
   FROM documents d JOIN pages p
     ON p.page_id = CASE WHEN d.doc_id % 3 = 0 THEN 0 ELSE d.doc_id % (SELECT count(*) FROM pages) END)
 SELECT l.doc_id, {extra} FROM linked l JOIN first_page f USING (url)"""
@@ -297,7 +297,7 @@ SELECT l.doc_id, {extra} FROM linked l JOIN first_page f USING (url)"""
 
 # -------------------------------------------------------------------- sources
 def _feed(category: str, author: str, tags: str) -> str:
-    body = "replace(substr(text, 1, 900), '&', '&amp;')"
+    body = "replace(text, '&', '&amp;')"
     shown = strip(decoded(body))
     return rf"""
 SELECT * FROM (
@@ -308,7 +308,7 @@ SELECT * FROM (
     CASE WHEN doc_id % 2 = 0 THEN 'https://img.example.com/' || doc_id || '.png' END AS image_url,
     md5(substr({shown}, 1, 500)) AS summary_md5,
     md5({shown} || 'end') AS content_md5
-  FROM (SELECT *, {strip(f"substr({FIRST_LINE}, 1, 80) || CASE WHEN doc_id % 5 = 0 THEN ' gaming' ELSE '' END")} AS title FROM documents))
+  FROM (SELECT *, {strip(f"{FIRST_LINE} || CASE WHEN doc_id % 5 = 0 THEN ' gaming' ELSE '' END")} AS title FROM documents))
 WHERE url <> '' AND title <> ''"""
 
 
@@ -320,7 +320,7 @@ def first_matching(c: str, rules, otherwise: str) -> str:
     return f"CASE {whens} ELSE {otherwise} END"
 
 
-CARD_TEXT = r"trim(regexp_extract(text, '^([^.\n&]*)', 1))"
+CARD_TEXT = "replace(replace(text, '&', 'and'), '<', '(')"
 
 # -------------------------------------------------------- upsert test frames
 UPSERT = f"""{ARTICLES},
@@ -337,9 +337,11 @@ incoming AS (
 matched AS (
   SELECT i.*, coalesce(h.hash_id, u.hash_id) AS target
   FROM incoming i LEFT JOIN stored h ON h.hash_id = i.hash_id LEFT JOIN stored u ON u.url = i.url),
-prepared AS (
+latest AS (
   SELECT * FROM matched WHERE title IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY coalesce(target, hash_id) ORDER BY ord DESC) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY coalesce(target, hash_id) ORDER BY ord DESC) = 1),
+prepared AS (
+  SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY coalesce(target, chr(10) || url) ORDER BY ord DESC) = 1)"""
 
 GENERATED = "strftime(generated_at, '%Y-%m-%d %H:%M:%S')"
 
@@ -381,7 +383,7 @@ SELECT doc_id AS story_id, CASE WHEN {is_blank("title")} THEN 'Untitled' ELSE ti
     ELSE CASE WHEN contains(lower(title), 'hiring') OR contains(lower(title), 'job') THEN 'Jobs' ELSE 'General' END
     END AS category,
   strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 61), '%Y-%m-%dT%H:%M:%SZ') AS published_at,
-  md5(CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END) AS content_md5,
+  md5(CASE WHEN {is_blank('text')} THEN '' ELSE text END) AS content_md5,
   CASE WHEN doc_id % 8 <> 0 THEN n_chars ELSE 0 END AS score, n_chars % 50 AS comments_count
 FROM (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'Ask HN: ' WHEN 1 THEN 'Show HN: ' WHEN 2 THEN 'Tell HN: '
     WHEN 4 THEN 'ask hn: ' ELSE '' END || substr({FIRST_LINE}, 1, 120)
@@ -399,21 +401,20 @@ WHERE doc_id % 7 <> 0""",
     ),
     "article_cards": f"""
 SELECT doc_id, 'name' AS title, '/' || lang || '/repo' || doc_id AS url, 'By' || source AS author,
-  '2024-02-03T00:00:00Z' AS published_at, 'Tech News' AS category, md5({CARD_TEXT}) AS summary_md5
+  '2024-02-03T00:00:00Z' AS published_at, 'Tech News' AS category, md5({strip(CARD_TEXT)}) AS summary_md5
 FROM documents""",
     "product_cards": f"""
 SELECT doc_id, 'Product ' || doc_id AS title, 'https://www.producthunt.com/posts/p' || doc_id AS url,
   'm' || doc_id AS author, lang || '|' || source AS tags, 'Product Launch' AS category,
   md5(CASE WHEN length(blurb) > 20 THEN substr(blurb, 1, 300) ELSE '' END) AS summary_md5, n_chars % 90 AS upvotes
-FROM (SELECT *, ltrim(regexp_extract(text, '^([^.\\n&]*)', 1) || ' and enough words') AS blurb FROM documents)""",
+FROM (SELECT *, {strip(CARD_TEXT + " || ' and enough words'")} AS blurb FROM documents)""",
     "repo_rows": f"""
 SELECT doc_id, lang || ' / repo' || doc_id AS title, 'https://github.com/' || lang || '/repo' || doc_id AS url,
   'user' || doc_id AS author, source AS tags,
   {first_matching("lower(description)", R.REPO_RULES, "'Open Source'")} AS category,
   md5(description) AS content_md5, n_chars * 3 AS stars,
   CAST(trunc((n_chars // 100) / 10 * 1000) AS BIGINT) AS forks, n_chars % 70 AS today_stars
-FROM (SELECT *, trim(regexp_extract(text, '^([^.\\n&]*)', 1)
-    || CASE WHEN doc_id % 3 = 0 THEN ' web server' ELSE '' END) AS description FROM documents)""",
+FROM (SELECT *, {strip(CARD_TEXT + " || CASE WHEN doc_id % 3 = 0 THEN ' web server' ELSE '' END")} AS description FROM documents)""",
     "json_posts": """
 SELECT doc_id, 'Post ' || doc_id AS title, 'https://www.producthunt.com/posts/p' || doc_id AS url, source AS author,
   CASE WHEN doc_id % 2 = 0 THEN '2024-01-05T00:00:00Z' ELSE '2024-01-06T00:00:00Z' END AS published_at,
@@ -591,10 +592,6 @@ SELECT ai_category, count(*) AS n_articles FROM articles WHERE ai_confidence >=
 SELECT category, round(avg(ai_confidence), 2) AS avg_confidence FROM articles GROUP BY ALL"""),
     "top_keywords": q(ARTICLES, """
 SELECT keyword, count(*) AS n_articles FROM (SELECT unnest(ai_keywords) AS keyword FROM articles)
-GROUP BY ALL ORDER BY n_articles DESC, keyword LIMIT 20"""),
-    "top_keywords_sample": q(ARTICLES, """
-SELECT keyword, count(*) AS n_articles
-FROM (SELECT unnest(ai_keywords) AS keyword FROM (SELECT ai_keywords FROM articles ORDER BY ord LIMIT 500))
 GROUP BY ALL ORDER BY n_articles DESC, keyword LIMIT 20"""),
     "insights": q(ARTICLES, """
 SELECT 'sentiment' AS metric, sentiment AS key, count(*)::DOUBLE AS value FROM articles GROUP BY ALL
@@ -727,3 +724,8 @@ by_title AS {keep_first("by_url", title_key(normal_text("title")))}
 SELECT substr(sha256(url), 1, 24) AS hash_id, url, {normal_text("title")} AS title,
   {standard_category("category")} AS category, 'hackernews' AS source_name
 FROM by_title"""
+ORACLE["read_stories"] = ORACLE["stories"]
+ORACLE["write_raw"] = "SELECT source, count(*) AS n_articles, min(doc_id) AS first_doc FROM documents GROUP BY source"
+ORACLE["run_feeds_retained"] = """
+SELECT 0 AS run, 'documents' AS source, 100::BIGINT AS stored
+UNION ALL SELECT 1, 'pages', 100::BIGINT"""

@@ -25,7 +25,7 @@ from newsflow.operators import tables as M
 from newsflow.plans.batch import interleave_sources, run_all
 from newsflow.plans.clean import clean_articles
 from newsflow.schemas import STORY
-from newsflow.session import fresh_path, spread, staged
+from newsflow.session import fresh_path, staged
 from newsflow.sources import cards, feeds, posts, registry, stories
 from newsflow.sources.conform import conform_article, union_feeds
 from newsflow.streaming.ingest import stream_dedup, stream_ingest
@@ -166,7 +166,7 @@ def story_payloads(spark, sf):
         (F.lit(1704067200) + F.col("doc_id") * 61).alias("time"),
         F.when(F.col("doc_id") % 8 != 0, F.col("n_chars")).alias("score"),
         (F.col("n_chars") % 50).alias("descendants"),
-        F.when(F.col("doc_id") % 4 == 0, F.col("text")).alias("text"),
+        "text",
     )
     return V.documents(spark, sf).select(F.col("doc_id").alias(ORD), F.to_json(item).alias("payload"))
 
@@ -180,9 +180,22 @@ def q_stories(spark, sf):
     )
 
 
+def q_read_stories(spark, sf):
+    """The same stories from JSON-lines files; their order is the item's."""
+    folder = fresh_path(spark, "stories")
+    items = story_payloads(spark, sf).select(F.from_json("payload", STORY).alias("i")).select("i.*")
+    items.write.json(folder)
+    return stories.read_stories(spark, folder).select(
+        F.variant_get("metadata", "$.hn_id", "bigint").alias("story_id"), "title", "url", "author", "category",
+        "published_at", F.md5("content").alias("content_md5"),
+        F.variant_get("metadata", "$.score", "bigint").alias("score"),
+        F.variant_get("metadata", "$.comments_count", "bigint").alias("comments_count"),
+    )
+
+
 def rss_payloads(spark, sf):
-    title = F.substring(F.regexp_extract("text", r"^([^.\n]*)", 1), 1, 80)
-    escaped = F.replace(F.substring("text", 1, 900), F.lit("&"), F.lit("&amp;amp;"))
+    title = F.regexp_extract("text", r"^([^.\n]*)", 1)
+    escaped = F.replace("text", F.lit("&"), F.lit("&amp;amp;"))
     zone = F.when(F.col("doc_id") % 2 == 0, "+0000").otherwise("+0530")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
     item = F.concat(
@@ -235,9 +248,10 @@ def q_rss_categorised(spark, sf):
 def listing_pages(spark, sf):
     """A listing page per document, holding all three kinds of cards."""
     d = F.col("doc_id").cast("string")
+    text = F.replace(F.replace("text", F.lit("&"), F.lit("and")), F.lit("<"), F.lit("("))
     page = F.concat(
         F.lit("<html><body><article class='Box-row'><h2><a href='/"), "lang", F.lit("/repo"), d,
-        F.lit("'>name</a></h2><p class='col-9'> "), F.regexp_extract("text", r"^([^.\n&]*)", 1),
+        F.lit("'>name</a></h2><p class='col-9'> "), text,
         F.when(F.col("doc_id") % 3 == 0, " web server").otherwise(""),
         F.lit(" </p><span itemprop='programmingLanguage'>"), "source",
         F.lit("</span><a href='/x/stargazers'> "),
@@ -247,9 +261,9 @@ def listing_pages(spark, sf):
         F.lit("<a class='avatar' href='/user"), d, F.lit("'></a>"),
         F.lit("<div class='byline'>By <b>"), "source", F.lit("</b></div>"),
         F.lit("<time datetime='2024-02-03'>x</time><div class='excerpt'><div>"),
-        F.regexp_extract("text", r"^([^.\n&]*)", 1), F.lit("</div></div></article>"),
+        text, F.lit("</div></div></article>"),
         F.lit("<div class='post-item x'><div><a href='/posts/p"), d, F.lit("'><h3>Product "), d,
-        F.lit("</h3></a></div><p>short</p><p>"), F.regexp_extract("text", r"^([^.\n&]*)", 1),
+        F.lit("</h3></a></div><p>short</p><p>"), text,
         F.lit(" and enough words</p><span>"), (F.col("n_chars") % 90).cast("string"),
         F.lit("</span><em class='topic'>"), "lang", F.lit("</em><em class='topic'>"), "source",
         F.lit("</em><i class='maker'>m"), d, F.lit("</i></div></body></html>"),
@@ -400,7 +414,8 @@ def _linked_items(spark, sf):
     link = F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.col("doc_id") % n)
     items = V.documents(spark, sf).select(
         F.col("doc_id").alias(ORD), link.alias("page_id"),
-        F.substring("text", 1, (F.col("doc_id") % 900).cast("int")).alias("content"),
+        F.when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 == 2, F.concat(
+            F.lit("Note "), F.col("doc_id").cast("string"))).otherwise(F.col("text")).alias("content"),
         F.when(F.col("doc_id") % 5 == 0, "https://img/own.png").alias("image_url"),
     )
     urls = V.table(spark, sf, "pages").select("page_id", "url")
@@ -583,7 +598,7 @@ def q_keywords_boosted(spark, sf):
 
 
 def q_conversation_keywords(spark, sf):
-    turns = spread(V.table(spark, sf, "conversations"))
+    turns = V.conversations(spark, sf)
     return turns.select(
         "conv_id", "turn", F.array_join(E.keywords(F.col("text"), 3), "|").alias("keywords")
     )
@@ -699,10 +714,6 @@ def q_top_keywords(spark, sf):
     return A.top_keywords(articles(spark, sf))
 
 
-def q_top_keywords_sample(spark, sf):
-    return A.top_keywords(articles(spark, sf), sample=500)
-
-
 def q_insights(spark, sf):
     return A.insights(articles(spark, sf)).withColumn("value", F.round("value", 2))
 
@@ -797,6 +808,13 @@ def q_log_runs(spark, sf):
     )
 
 
+def q_write_raw(spark, sf):
+    """Raw feeds dumped as JSON, one folder per source, and read back."""
+    folder = M.write_raw(raw(spark, sf), fresh_path(spark, "dump"), NOW)
+    return spark.read.json(folder).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_articles"), F.min(ORD).alias("first_doc"))
+
+
 # ------------------------------------------------------- runs, streams, health
 def q_run_feeds(spark, sf):
     """Two feeds ingested into a new table, then the second one again."""
@@ -819,6 +837,17 @@ def q_run_feeds(spark, sf):
     return runs.withColumn("stored", stored_rows)
 
 
+def q_run_feeds_retained(spark, sf):
+    """The same feeds with retention: after each run the newest 100 stay."""
+    table = M.init_tables(spark, fresh_path(spark, "table")).articles
+    pages = V.articles_from_pages(spark, sf).withColumn("metadata", F.parse_json(F.lit("{}")))
+    rows = []
+    for i, (name, feed) in enumerate((("documents", raw(spark, sf)), ("pages", pages))):
+        run_all({name: feed}, table, max_articles=100, now=NOW + dt.timedelta(hours=i))
+        rows.append((i, name, table.read().count()))
+    return spark.createDataFrame(rows, "run int, source string, stored bigint")
+
+
 def q_interleave_sources(spark, sf):
     return interleave_sources(V.documents(spark, sf), source="source", key="doc_id").select(
         "turn", "source", "doc_id"

@@ -22,13 +22,16 @@ BLANK_RUN = r"[ \t]{2,}|\t"
 CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]"
 # an HTML character reference, or the text around it
 REFERENCE_OR_TEXT = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
-COMMENT = r"(?s)<!--.*?-->"
 # elements whose text is not part of the visible text
-HIDDEN = r"(?is)<(script|style|template|rt|rp)\b[^>]*>.*?</\1\s*>"
+HIDDEN = ("script", "style", "template", "rt", "rp")
+# A tag ends before the next "<" outside quotes, so no pattern looks further
+# than that, and all repetitions are possessive: Java neither recurses nor goes
+# back.
 TAG = (
-    r"(?:</?[A-Za-z][^'\">]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^'\">]*+)*+>"
-    r"|</?[A-Za-z][^>]*>|<[!?][^>]*>)"
+    r"(?:</?[A-Za-z][^<>'\"]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^<>'\"]*+)*+>"
+    r"|</?[A-Za-z][^<>]*+>|<[!?][^<>]*+>)"
 )
+MARK = "\uffff"  # no character of any text: stands for removed markup
 
 # Names that are references even without the closing semicolon.
 _OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
@@ -126,13 +129,56 @@ def decode_references(c: Column, loose: bool = True) -> Column:
 
 
 # -------------------------------------------------------------------- markup
+def drop_between(text: Column, opener: str, closer: str, instead: str, stray: str = "") -> Column:
+    """Replace everything from an opener to the next closer.
+
+    The text is cut at its closers; of each piece but the last, what follows the
+    first opener goes.  Every character is looked at a fixed number of times,
+    also when openers or closers come by the thousand and have no partner.  An
+    opener that is never closed stays; a closer without opener becomes ``stray``.
+    """
+
+    def kept(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+
+        def one(piece: Column, i: Column) -> Column:
+            return bind(
+                F.split(piece, opener, 2),
+                lambda cut: F.when(i == last, piece)
+                .when(F.size(cut) > 1, F.concat(cut[0], F.lit(instead)))
+                .otherwise(F.concat(piece, F.lit(stray))),
+            )
+
+        return F.array_join(F.transform(pieces, one), "")
+
+    return F.when(F.rlike(text, F.lit(closer)), bind(F.split(text, closer, -1), kept)).otherwise(text)
+
+
+def drop_hidden(text: Column, instead: str = MARK) -> Column:
+    """Comments and elements without visible text, one kind after the other."""
+    text = drop_between(text, "<!--", "-->", instead, "-->")
+    for name in HIDDEN:
+        text = _drop_element(text, name, instead)
+    return text
+
+
+def _drop_element(text: Column, name: str, instead: str) -> Column:
+    return bind(
+        text, lambda t: drop_between(t, rf"(?i)<{name}\b", rf"(?i)</{name}\s*+>", instead, f"</{name}>")
+    )
+
+
 def strip_tags(c: Column, joiner: str = "\n") -> Column:
-    """Drop markup and hidden elements; ``joiner`` stands between text nodes."""
+    """Drop markup and hidden elements; ``joiner`` stands between text nodes.
+
+    Every tag becomes one mark and runs of marks one joiner: a run of single
+    characters is matched by a loop, a run of tags would be by recursion.
+    """
 
     def stripped(text: Column) -> Column:
-        marked = F.regexp_replace(F.regexp_replace(text, COMMENT, "<!>"), HIDDEN, "<!>")
+        marked = F.regexp_replace(drop_hidden(text), TAG, MARK)
         return F.when(
-            F.contains(text, F.lit("<")), F.regexp_replace(marked, rf"(?:{TAG})+", joiner)
+            F.contains(text, F.lit("<")), F.regexp_replace(marked, MARK + "+", joiner)
         ).otherwise(text)
 
     return bind(c, stripped)
@@ -154,8 +200,7 @@ def normalize_text(c: Column) -> Column:
 def joined_text(c: Column) -> Column:
     """Visible text of an HTML fragment, each text node stripped, no joiner."""
     c = F.coalesce(c, F.lit(""))
-    marked = F.regexp_replace(F.regexp_replace(c, COMMENT, "<!>"), HIDDEN, "<!>")
-    nodes = F.transform(F.split(marked, TAG), strip)
+    nodes = F.transform(F.split(F.regexp_replace(drop_hidden(c), TAG, MARK), MARK), strip)
     return strip(decode_references(F.array_join(nodes, "")))
 
 

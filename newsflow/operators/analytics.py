@@ -105,16 +105,11 @@ def confidence_by_category(df: DataFrame) -> DataFrame:
     )
 
 
-def top_keywords(df: DataFrame, limit: int = 20, sample: int | None = None) -> DataFrame:
-    """Most frequent keywords over all articles; ``sample`` looks at a fixed
-    choice of so many articles instead: the first to arrive, where that is
-    known, else by hash."""
-    rows = df.where(F.col("ai_keywords").isNotNull())
-    if sample is not None:
-        order = "_ord" if "_ord" in df.columns else "hash_id"
-        rows = rows.select(order, "ai_keywords").orderBy(order).limit(sample)
+def top_keywords(df: DataFrame, limit: int = 20) -> DataFrame:
+    """Most frequent keywords over all articles."""
     return (
-        rows.select(F.explode("ai_keywords").alias("keyword"))
+        df.where(F.col("ai_keywords").isNotNull())
+        .select(F.explode("ai_keywords").alias("keyword"))
         .groupBy("keyword")
         .agg(F.count(F.lit(1)).alias("n_articles"))
         .orderBy(F.desc("n_articles"), "keyword")

@@ -158,11 +158,10 @@ def derive_fields(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------- the row-dropping part
 def _narrow(df: DataFrame) -> DataFrame:
-    """What decides whether an article survives: one key per dedup rule and two
-    flags -- no bodies."""
+    """What decides whether the first article of a URL survives: the key of the
+    title rule and two flags -- no bodies."""
     return df.select(
         ORD,
-        url_key(F.col("url")).alias("_url_key"),
         missing_required().alias("_missing"),
         (~is_http_url(F.col("url"))).alias("_invalid"),
         title_key(normalize_text(F.col("title"))).alias("_title_key"),
@@ -170,14 +169,18 @@ def _narrow(df: DataFrame) -> DataFrame:
 
 
 def _first_by_url(df: DataFrame) -> DataFrame:
-    """First row of every URL key.  The flags ride along in the minimum, so
-    that one shuffle of narrow, already reduced rows is enough."""
-    return (
-        _narrow(df)
+    """First row of every URL key, with the rows of the key (``n``).
+
+    The minimum is one number, which is reduced by hashing; the flags of the
+    rows chosen are joined back, narrow rows again.
+    """
+    first = (
+        df.select(url_key(F.col("url")).alias("_url_key"), ORD)
         .groupBy("_url_key")
-        .agg(F.min(F.struct(ORD, "_missing", "_invalid", "_title_key")).alias("first"))
-        .select("first.*")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias(ORD))
+        .select("n", ORD)
     )
+    return _narrow(df).join(first, ORD)
 
 
 def surviving_ords(df: DataFrame) -> DataFrame:
@@ -194,18 +197,10 @@ def surviving_ords(df: DataFrame) -> DataFrame:
 def cleaning_report(df: DataFrame) -> DataFrame:
     """Rows before, after and removed for each of the four logged steps.
 
-    Counted from one pass over the keys: how many rows share each URL key's
-    first row, and which step drops that row.
+    Counted from the keys: how many rows share each URL key's first row, and
+    which step drops that row.
     """
-    per_url = (
-        _narrow(df)
-        .groupBy("_url_key")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(ORD, "_missing", "_invalid", "_title_key")).alias("first"),
-        )
-        .select("n", "first.*")
-    )
+    per_url = _first_by_url(df)
     # a dropped row belongs to no title group
     group = F.when(~F.col("_missing") & ~F.col("_invalid"), F.col("_title_key"))
     per_title = per_url.groupBy(group.alias("_title_key")).agg(

@@ -9,7 +9,7 @@ from newsflow import rules as R
 from newsflow.operators.cleaning import ORD, keep_first
 
 HOT_ROWS = 1_000_000
-SALTS = 64
+HOT_KEYS = 1_000  # at most so many keys are hot
 
 
 def hot_key_left_join(
@@ -18,35 +18,34 @@ def hot_key_left_join(
     key: str,
     ord_col: str = ORD,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Left join that spreads hot keys of the left side.
 
-    ``right`` holds one row per key.  Keys with at least ``hot_rows`` left rows
-    -- at most ``rows / hot_rows`` of them -- get their right row copied once
-    per salt, and their left rows are dealt to the salts.  Left rows without
-    key join nothing and are dealt to all salts as well.  Everything else joins
-    on salt 0, so the result is that of the plain left join.
+    ``right`` holds one row per key.  A key is hot from ``hot_rows`` left rows
+    on, and from a ``HOT_KEYS``-th of all, so there are at most ``HOT_KEYS`` of
+    them: a table of that size is broadcast and no row is moved to look it up.
+    A hot key's rows are dealt to as many salts as make ``hot_rows`` each, and
+    its right row is copied to them.  Left rows without key join nothing and are
+    dealt at random.  The result is that of the plain left join.
     """
-    hot = (
-        left.where(F.col(key).isNotNull())
-        .groupBy(key)
+    keyed = left.where(F.col(key).isNotNull())
+    total = keyed.agg(F.count(F.lit(1))).scalar()
+    hot = F.broadcast(
+        keyed.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
+        .where(F.col("_n") >= F.greatest(F.lit(hot_rows), total / HOT_KEYS))
+        .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     )
-    dealt = F.pmod(F.xxhash64(ord_col), F.lit(salts)).cast("int")
-    salted_left = left.join(hot, key, "left").withColumn(
-        "_salt",
-        F.when(F.col(key).isNull() | F.col("_hot"), dealt).otherwise(F.lit(0)),
+    dealt = F.xxhash64(ord_col)
+    salt = F.when(F.col(key).isNull(), dealt).otherwise(
+        F.pmod(dealt, F.coalesce("_salts", F.lit(1)))
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = right.join(hot, key, "left").withColumn("_salt", F.explode(copies))
-    return salted_left.drop("_hot").join(
-        salted_right.drop("_hot"), [key, "_salt"], "left"
-    ).drop("_salt")
+    salted_left = left.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.transform(copies, lambda i: i.cast("bigint")))
+    ).drop("_salts")
+    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
 
 
 def enrich_content(

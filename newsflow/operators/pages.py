@@ -6,30 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions.arrays import bind
-from newsflow.functions.text import BLANK_RUN, decode_references, strip
+from newsflow.functions.text import BLANK_RUN, decode_references, drop_between, strip
 from newsflow.functions.urls import url_host
 
 # --- fixed values: markup that carries no body text, body containers ----------
-BOILERPLATE = (
-    r"(?is)<!--.*?-->",
-    r"(?is)<script\b.*?</script>",
-    r"(?is)<style\b.*?</style>",
-    r"(?is)<nav\b.*?</nav>",
-    r"(?is)<header\b.*?</header>",
-    r"(?is)<footer\b.*?</footer>",
-    r"(?is)<aside\b.*?</aside>",
-    r"(?is)<div class=\"ad\".*?</div>",
-)
+BOILERPLATE = ("script", "style", "nav", "header", "footer", "aside")
+ADVERTISEMENT = r"(?i)<div class=\"ad\""
 CONTAINERS = ("article", "main", "body")
-BLOCK_TAG = r"(?i)</?(?:p|br|h[1-6]|div|li|ul|ol|tr|table|blockquote|pre|section)\b[^>]*>"
-ANY_TAG = r"<[^>]*>"
+BLOCK_TAG = r"(?i)</?(?:p|br|h[1-6]|div|li|ul|ol|tr|table|blockquote|pre|section)\b[^<>]*+>"
+ANY_TAG = r"<[^<>]*+>"
 
 
 def _meta_content(html: Column, attribute: str, value: str) -> Column:
     """``content`` of a meta element, whichever attribute comes first."""
     value = value.replace(".", r"\.")
-    after = rf"(?is)<meta\b[^>]*\b{attribute}=[\"']{value}[\"'][^>]*\bcontent=[\"']([^\"']*)[\"']"
-    before = rf"(?is)<meta\b[^>]*\bcontent=[\"']([^\"']*)[\"'][^>]*\b{attribute}=[\"']{value}[\"']"
+    after = rf"(?is)<meta\b[^<>]*\b{attribute}=[\"']{value}[\"'][^<>]*\bcontent=[\"']([^\"']*)[\"']"
+    before = rf"(?is)<meta\b[^<>]*\bcontent=[\"']([^\"']*)[\"'][^<>]*\b{attribute}=[\"']{value}[\"']"
     return F.coalesce(
         F.nullif(F.regexp_extract(html, after, 1), F.lit("")),
         F.nullif(F.regexp_extract(html, before, 1), F.lit("")),
@@ -46,8 +38,21 @@ def image_url(html: Column) -> Column:
     )
 
 
+def element_text(html: Column, tag: str, last: bool = False) -> Column:
+    """Content of the first ``tag`` element, up to the next closing tag or, with
+    ``last``, up to the last one; null without.  Linear: the text is cut at the
+    first opener, and at the closer from the side it is looked for."""
+    after = F.get(F.split(html, rf"(?i)<{tag}\b[^<>]*+>", 2), F.lit(1))
+    if not last:
+        return bind(
+            F.split(after, rf"(?i)</{tag}>", 2), lambda cut: F.when(F.size(cut) > 1, cut[0])
+        )
+    closer = "".join(reversed(f"</{tag}>"))
+    return F.reverse(F.get(F.split(F.reverse(after), f"(?i){closer}", 2), F.lit(1)))
+
+
 def page_title(html: Column) -> Column:
-    return strip(decode_references(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1)))
+    return strip(decode_references(F.coalesce(element_text(html, "title"), F.lit(""))))
 
 
 def page_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -57,13 +62,17 @@ def page_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
             "image_url": image_url(F.col(html)),
             "page_title": page_title(F.col(html)),
             "page_lang": F.nullif(
-                F.regexp_extract(html, r"(?is)<html\b[^>]*\blang=[\"']([^\"']*)[\"']", 1), F.lit("")
+                F.regexp_extract(html, r"(?is)<html\b[^<>]*\blang=[\"']([^\"']*)[\"']", 1), F.lit("")
             ),
             "page_host": url_host(F.col(url)),
         }
     )
 
 
+def _without(page: Column, opener: str, closer: str, stray: str) -> Column:
+    return bind(page, lambda p: drop_between(p, opener, closer, " ", stray))
+
+
 def main_text(html: Column) -> Column:
     """Body text of a page: boilerplate out, the first of ``<article>``,
     ``<main>``, ``<body>``, block tags to line breaks, the rest stripped.
@@ -71,15 +80,13 @@ def main_text(html: Column) -> Column:
     The rule is this engine's own.  Nested advertisement boxes end at their
     first closing tag.
     """
-    body = F.coalesce(html, F.lit(""))
-    for pattern in BOILERPLATE:
-        body = F.regexp_replace(body, pattern, " ")
+    body = drop_between(F.coalesce(html, F.lit("")), "<!--", "-->", " ", "-->")
+    for tag in BOILERPLATE:
+        body = _without(body, rf"(?i)<{tag}\b", f"(?i)</{tag}>", f"</{tag}>")
+    body = _without(body, ADVERTISEMENT, "(?i)</div>", "</div>")
 
     def container(page: Column) -> Column:
-        found = [
-            F.nullif(F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit(""))
-            for tag in CONTAINERS
-        ]
+        found = [F.nullif(element_text(page, tag, last=True), F.lit("")) for tag in CONTAINERS]
         return F.coalesce(*found, page)
 
     text = F.regexp_replace(bind(body, container), BLOCK_TAG, "\n")

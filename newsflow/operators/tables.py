@@ -1,11 +1,15 @@
 """Table maintenance: keyed upsert, newest-N retention, run log.
 
 Plain Parquet has no MERGE.  An upsert is therefore a query from (target,
-batch) to the new table; ``StoredTable`` writes it as a new version.
+batch) to the new table; ``StoredTable`` runs it on the hash buckets the batch
+touches and records the new state in a manifest.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 from typing import NamedTuple
@@ -22,7 +26,7 @@ from newsflow.session import staged
 from newsflow.sources.registry import default_sources, register_sources
 
 PROTECTED = frozenset({"id", "created_at", "source_id"})
-TOP_K_LIMIT = 10_000  # larger n is found by histograms, not by one task's heap
+BUCKETS = 16  # of a stored table, by hash of the article key
 
 
 def _insert_defaults(now: Column) -> dict[str, Column]:
@@ -52,33 +56,65 @@ def prepare_batch(batch: DataFrame, target: DataFrame) -> DataFrame:
     """Batch rows that change the table, with ``_target`` (see
     ``match_existing``): rows with URL and title, the last one of each article.
 
-    Matching and choosing work on keys; whole rows take part in one join only.
+    An article is a stored one, else a hash, and new articles with one URL are
+    one.  Matching and choosing work on keys; whole rows take part in one join
+    only.  Rows that share an ``_ord`` count as one row.
     """
     usable = F.col("url").isNotNull() & F.col("title").isNotNull()
     matched = match_existing(batch.where(usable).select(ORD, "hash_id", "url"), target)
     article = F.coalesce("_target", "hash_id", F.concat(F.lit("\n"), "url"))
-    last = (
-        matched.groupBy(article.alias("_article"), "_target")
-        .agg(F.max(ORD).alias(ORD))
-        .select(ORD, "_target")
+    last = matched.groupBy(article.alias("_article"), "_target").agg(
+        F.max(ORD).alias(ORD), F.max_by("url", ORD).alias("_url")
     )
-    return batch.join(last, ORD)
+    place = F.coalesce("_target", F.concat(F.lit("\n"), "_url"))
+    last = last.groupBy(place.alias("_place"), "_target").agg(F.max(ORD).alias(ORD))
+    return batch.join(last.select(ORD, "_target"), ORD).dropDuplicates([ORD])
 
 
-def upsert_articles(target: DataFrame, batch: DataFrame, now: datetime | Column) -> DataFrame:
+def upsert_articles(
+    target: DataFrame,
+    batch: DataFrame,
+    now: datetime | Column,
+    stage: Callable[[DataFrame, str], DataFrame] = staged,
+) -> DataFrame:
     """The target after the batch: matched articles take every column the batch
     has (keys and creation data stay), new ones are added with defaults.
 
     The matched batch is written to the shared folder first.  Its size is then
     known, so a small batch is broadcast and the target is read in place, and
-    the merge does not repeat the matching.
+    the merge does not repeat the matching.  The result reads what was written;
+    ``stage`` of a ``staging`` block deletes it when the result has been used.
     """
     now = F.lit(now) if isinstance(now, datetime) else now
-    return merge_prepared(target, staged(prepare_batch(batch, target), "prepared"), now)
+    prepared = stage(prepare_batch(batch, target), "prepared")
+    last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if "id" in target.columns else 0
+    return merge_prepared(target, prepared, now, last_id)
+
+
+def bucket_of(key: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def numbered(fresh: DataFrame, last_id: int) -> DataFrame:
+    """``fresh`` with ``id``: above ``last_id``, without gaps, in order of hash
+    bucket, key and arrival, so the same rows get the same numbers under any
+    partitioning.  Numbers are dealt inside the buckets; the buckets' first
+    numbers come from one row per bucket."""
+    placed = fresh.withColumn("_bucket", bucket_of(F.coalesce("hash_id", "url"), 1024))
+    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_bucket")) - F.col("_rows")
+    inner = F.row_number().over(Window.partitionBy("_bucket").orderBy("hash_id", "url", ORD))
+    return (
+        placed.withColumn("_inner", inner)
+        .join(sizes.select("_bucket", before.alias("_before")), "_bucket")
+        .withColumn("id", F.lit(last_id) + F.col("_before") + F.col("_inner"))
+        .drop("_bucket", "_inner", "_before")
+    )
 
 
-def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column) -> DataFrame:
-    """``upsert_articles`` for a batch that went through ``prepare_batch``."""
+def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column, last_id: int = 0) -> DataFrame:
+    """``upsert_articles`` for a batch that went through ``prepare_batch``;
+    ``last_id`` is the largest id in use."""
     types = {f.name: f.dataType for f in target.schema.fields}
     incoming = [c for c in prepared.columns if c in types]
     taken = [c for c in incoming if c not in PROTECTED]
@@ -98,12 +134,10 @@ def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column) -> DataF
         ]
     )
     defaults = _insert_defaults(now)
-    numbered = "id" in target.columns
-    last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if numbered else None
 
     def inserted(c: str) -> Column:
-        if c == "id":  # unique and above all ids in use, not without gaps
-            value = last_id + 1 + F.monotonically_increasing_id()
+        if c == "id":
+            value = F.col("id")
         elif c in ("created_at", "updated_at"):
             value = now
         elif c not in incoming:
@@ -114,8 +148,10 @@ def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column) -> DataF
             value = F.col(c)
         return value.cast(types[c]).alias(c)
 
-    fresh = prepared.where(F.col("_target").isNull()).select(*[inserted(c) for c in target.columns])
-    return kept.unionByName(fresh)
+    fresh = prepared.where(F.col("_target").isNull())
+    if "id" in target.columns:
+        fresh = numbered(fresh, last_id)
+    return kept.unionByName(fresh.select(*[inserted(c) for c in target.columns]))
 
 
 def upsert_stats(target: DataFrame, batch: DataFrame) -> DataFrame:
@@ -148,23 +184,15 @@ def count_prepared(batch: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ retention
-def nth_newest(df: DataFrame, column: str, n: int) -> DataFrame:
-    """One row, ``cutoff``: the ``n``-th newest value, nulls counting as newest
-    (null if the n-th is null, the oldest value if there are fewer rows).
+def _located(df: DataFrame, steps: list[Column], wanted: Column, scope: Column) -> tuple[Column, Column]:
+    """Value of the last step at the ``wanted``-th place counted from above, and
+    what is still wanted there.
 
-    A small ``n`` is a top-n.  A large one is located in a histogram of days,
-    then seconds of that day, then microseconds of that second; each histogram
-    has a fixed number of buckets, so no task holds ``n`` rows.
+    Each step refines the one before; the rows of a step are counted in the
+    buckets of its value, so no task holds the rows themselves.
     """
-    if n <= TOP_K_LIMIT:
-        newest = df.select(column).orderBy(F.desc_nulls_first(column)).limit(n)
-        return newest.agg(F.min(column).alias("cutoff"))
-    nulls = df.agg(F.count_if(F.col(column).isNull())).scalar()
-    wanted: Column = F.lit(n) - nulls
-    scope: Column = F.col(column).isNotNull()
     found = None
-    for unit in ("day", "second", "microsecond"):
-        bucket = F.date_trunc(unit, F.col(column))
+    for bucket in steps:
         newer = F.sum("rows").over(
             Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
         )
@@ -177,26 +205,54 @@ def nth_newest(df: DataFrame, column: str, n: int) -> DataFrame:
             .agg(F.min_by("newer", "bucket").alias("newer"), F.min("bucket").alias("bucket"))
         )
         wanted = wanted - found.select("newer").scalar()
-        scope = bucket == found.select("bucket").scalar()
-    return found.select(F.col("bucket").alias("cutoff"))
+        scope = scope & (bucket == found.select("bucket").scalar())
+    return found.select("bucket").scalar(), wanted
+
+
+def _newest_first(df: DataFrame, column: str, n: int) -> tuple[Column, Column]:
+    nulls = df.agg(F.count_if(F.col(column).isNull())).scalar()
+    units = [F.date_trunc(unit, F.col(column)) for unit in ("day", "second", "microsecond")]
+    return _located(df, units, F.lit(n) - nulls, F.col(column).isNotNull())
+
+
+def nth_newest(df: DataFrame, column: str, n: int) -> DataFrame:
+    """One row, ``cutoff``: the ``n``-th newest value, nulls counting as newest
+    (null if the n-th is null, the oldest value if there are fewer rows).
+
+    It is located in a histogram of days, then of seconds of that day, then of
+    microseconds of that second.
+    """
+    cutoff, _ = _newest_first(df, column, n)
+    return df.sparkSession.range(1).select(cutoff.alias("cutoff"))
+
+
+def _older(df: DataFrame, n: int, column: str, tie: str | None) -> Column:
+    cutoff, left = _newest_first(df, column, n)
+    older = F.col(column) < cutoff
+    if tie is not None:
+        # the rows at the cutoff in an order of their own, by 16 bits at a time
+        rank = F.xxhash64(tie)
+        steps = [F.shiftright(rank, bits) for bits in (48, 32, 16, 0)]
+        last, _ = _located(df, steps, left, F.col(column) == cutoff)
+        older = older | ((F.col(column) == cutoff) & (rank < last))
+    return F.coalesce(older, F.lit(False))
 
 
 def prune_newest(
-    df: DataFrame, n: int = R.MAX_ARTICLES, column: str = "generated_at"
+    df: DataFrame, n: int = R.MAX_ARTICLES, column: str = "generated_at", tie: str | None = None
 ) -> DataFrame:
-    """Keep the newest ``n`` rows.  Rows as old as the n-th stay, as do rows
-    without a date, so more than ``n`` may remain."""
-    cutoff = nth_newest(df, column, n).scalar()
-    older = F.coalesce(F.col(column) < cutoff, F.lit(False))
-    return df.where(~older)
+    """Keep the newest ``n`` rows.  Rows as old as the n-th stay, unless a unique
+    column ``tie`` tells them apart; rows without a date always stay, so more
+    than ``n`` may remain."""
+    return df.where(~_older(df, n, column, tie))
 
 
 def prune_report(
     df: DataFrame, n: int = R.MAX_ARTICLES, column: str = "generated_at"
 ) -> DataFrame:
     """One row: total, kept, deleted, cutoff."""
+    older = _older(df, n, column, None)
     cutoff = nth_newest(df, column, n).scalar()
-    older = F.coalesce(F.col(column) < cutoff, F.lit(False))
     return df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(~older).alias("kept"),
@@ -235,19 +291,25 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- stored versions
-@dataclass
-class StoredTable:
-    """A table as a folder of complete Parquet versions.
+class Conflict(RuntimeError):
+    """Another writer has committed since the table was read."""
 
-    A version counts once Spark has written its ``_SUCCESS`` mark, which is the
-    last thing a write does; readers take the newest such version.  A failed
-    write leaves the table as it was.  The last ``keep`` versions stay for
-    readers that are still at work.  With a lakehouse format the same upsert is
-    one MERGE statement, which also spares rewriting untouched files.
 
-    ``partition_by`` lays large tables out by column, so that a filter on it
-    prunes folders; the rebalance splits a value that holds most of the rows
-    and merges small ones.
+@dataclass
+class StoredTable:
+    """A table as Parquet files in hash buckets, and numbered manifests.
+
+    A manifest names the folders that make up a version.  It is created, never
+    overwritten, as the last act of a write, so a failed write leaves the table
+    as it was and the second of two writers is refused.  A write of some buckets
+    shares the others' files with the version before.  The last ``keep``
+    versions stay for readers that are still at work; folders that none of them
+    names are deleted.
+
+    ``buckets`` is a property of the table, by hash of ``key``.  Take so many
+    that one bucket is a convenient amount to rewrite.  ``partition_by`` lays
+    the files out by column as well, so that a filter on it prunes folders; the
+    rebalance splits a value that holds most of the rows and merges small ones.
     """
 
     spark: SparkSession
@@ -255,6 +317,8 @@ class StoredTable:
     schema: str = ARTICLE_TABLE
     keep: int = 3
     partition_by: tuple[str, ...] = ()
+    buckets: int = BUCKETS
+    key: str = "hash_id"
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -262,17 +326,46 @@ class StoredTable:
         conf = self.spark._jsc.hadoopConfiguration()
         return folder.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifests/{version:08d}.json"
+
     def versions(self) -> list[int]:
-        """Numbers of the complete versions."""
+        """Numbers of the versions."""
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
+        folder = path(f"{self.path}/manifests")
+        if not fs.exists(folder):
             return []
-        found = []
-        for status in fs.listStatus(path(self.path)):
-            name = status.getPath().getName()
-            if name.startswith("v=") and fs.exists(path(f"{self.path}/{name}/_SUCCESS")):
-                found.append(int(name[2:]))
-        return sorted(found)
+        names = [status.getPath().getName() for status in fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def folders(self, version: int | None = None) -> dict[int, list[str]]:
+        """Folders of each bucket of a version, the newest by default."""
+        fs, path = self._fs()
+        stream = fs.open(path(self._manifest(self.versions()[-1] if version is None else version)))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {int(k): v for k, v in json.loads(text).items()}
+
+    def _commit(self, version: int, folders: dict[int, list[str]]) -> None:
+        fs, path = self._fs()
+        try:
+            out = fs.create(path(self._manifest(version)), False)  # refuses to overwrite
+        except Exception as error:
+            raise Conflict(f"version {version} of {self.path} exists") from error
+        try:
+            out.write(bytearray(json.dumps(folders).encode()))
+        finally:
+            out.close()
+        for old in self.versions()[: -self.keep]:
+            fs.delete(path(self._manifest(old)), False)
+        used = {f.split("/")[0] for v in self.versions() for fs_ in self.folders(v).values() for f in fs_}
+        present = [status.getPath() for status in fs.listStatus(path(f"{self.path}/data"))]
+        writes = sorted((p for p in present), key=lambda p: p.getName())
+        for p in writes:  # a write that another process has under way is newer than this version
+            if p.getName() not in used and p.getName() < f"w={version:08d}":
+                fs.delete(p, True)
 
     def create(self) -> "StoredTable":
         """Create an empty table if there is none."""
@@ -280,23 +373,43 @@ class StoredTable:
             self.write(self.spark.createDataFrame([], self.schema))
         return self
 
-    def read(self) -> DataFrame:
+    def read(self, only: set[int] | None = None) -> DataFrame:
+        """The newest version, or some buckets of it."""
         fields = self.spark.createDataFrame([], self.schema).columns
-        version = f"{self.path}/v={self.versions()[-1]:08d}"
-        return self.spark.read.schema(self.schema).parquet(version).select(*fields)
-
-    def write(self, df: DataFrame) -> None:
-        number = (self.versions() or [0])[-1] + 1
+        paths = [
+            f"{self.path}/data/{f}" for b, own in self.folders().items()
+            if only is None or b in only for f in own
+        ]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
+        return reader.parquet(*paths).select(*fields)
+
+    def write(self, df: DataFrame, only: set[int] | None = None, base: int | None = None) -> None:
+        """A new version with the rows of ``df``; with ``only``, these are the
+        rows of the named buckets and the others stay.  ``base`` is the version
+        the rows were computed from (the newest by default)."""
+        last = (self.versions() or [0])[-1]
+        version = (last if base is None else base) + 1
         fields = self.spark.createDataFrame([], self.schema).schema
-        ordered = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
-        if self.partition_by:
-            ordered = ordered.hint("rebalance", *self.partition_by)
-        ordered.write.mode("overwrite").partitionBy(*self.partition_by).parquet(
-            f"{self.path}/v={number:08d}"
-        )
+        keyed = self.key in fields.names
+        bucket = bucket_of(F.col(self.key), self.buckets) if keyed else F.lit(0)
+        ordered = df.select(*[F.col(f.name).cast(f.dataType) for f in fields], bucket.alias("_bucket"))
+        ordered = ordered.hint("rebalance", "_bucket", *self.partition_by)
+        write = f"w={version:08d}-{uuid.uuid4().hex}"
+        ordered.write.partitionBy("_bucket", *self.partition_by).parquet(f"{self.path}/data/{write}")
         fs, path = self._fs()
-        for old in self.versions()[: -self.keep]:
-            fs.delete(path(f"{self.path}/v={old:08d}"), True)
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/data/{write}"))]
+        new = {int(n.partition("=")[2]): [f"{write}/{n}"] for n in names if n.startswith("_bucket=")}
+        if only is not None and not set(new) <= only:
+            raise ValueError(f"rows of buckets {sorted(set(new) - only)} in a write of {sorted(only)}")
+        kept = {} if only is None else {b: f for b, f in self.folders(version - 1).items() if b not in only}
+        self._commit(version, kept | new)
+
+    def touched(self, keys: DataFrame) -> set[int]:
+        """Buckets of the keys in the first column: at most ``buckets`` numbers."""
+        own = bucket_of(F.col(keys.columns[0]), self.buckets).alias("b")
+        return {r["b"] for r in keys.select(own).distinct().collect()}
 
 
 class Tables(NamedTuple):

@@ -8,10 +8,10 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow import rules as R
 from newsflow.operators.cleaning import ORD, to_records
 from newsflow.operators.joins import resolve_source
 from newsflow.operators.tables import (
+    Conflict,
     StoredTable,
     count_prepared,
     log_run,
@@ -21,7 +21,7 @@ from newsflow.operators.tables import (
     run_entry,
 )
 from newsflow.plans.clean import clean_articles
-from newsflow.session import staged
+from newsflow.session import staging
 
 
 def prepare_records(
@@ -39,45 +39,84 @@ def run_batch(
     sources: DataFrame | None = None,
     log_path: str | None = None,
     run_id: int | str | None = None,
-    max_articles: int | None = R.MAX_ARTICLES,
+    max_articles: int | None = None,
     overwrite_scraped: bool = False,
     now: datetime | None = None,
+    attempts: int = 3,
 ) -> dict:
     """Ingest one feed and return its counts.
 
-    The cleaned batch and its match against the table are written once and read
-    back, so counting and merging repeat neither the text work nor the look-up,
-    and a lost executor costs only its own tasks.  The table is written once:
-    the retention cutoff is taken from the dates of the merge alone.
+    The raw feed, the cleaned batch and its match against the table are written
+    once and read back, so nothing is parsed or cleaned twice and a lost
+    executor costs only its own tasks; they are deleted at the end.  Only the
+    table's buckets that the batch touches are rewritten.  If another writer
+    commits meanwhile, match and merge are repeated on its version.
+
+    ``max_articles`` asks for retention: only so many articles stay, the newest
+    generated ones.  All articles of a run have one generation time; among them
+    the hash decides.
     """
     started = datetime.now(timezone.utc)
     stamp = F.lit(now or started)
-    records = staged(prepare_records(raw, stamp, overwrite_scraped), "batch")
-    if sources is not None:
-        records = resolve_source(records, sources)
-    target = table.create().read()
-    prepared = staged(prepare_batch(records, target), "prepared")
-    counts = count_prepared(records, prepared).first().asDict()
-    scraped = raw.count()
-    merged = merge_prepared(target, prepared, stamp)
-    present = target.count() + counts["added"]
-    table.write(merged if max_articles is None else prune_newest(merged, max_articles))
-    pruned = 0 if max_articles is None else present - table.read().count()
-    result = {"source": source, "scraped": scraped, **counts, "pruned": pruned}
+    table.create()
+    with staging(table.spark) as stage:
+        feed = stage(raw, "raw")
+        records = stage(prepare_records(feed, stamp, overwrite_scraped), "batch")
+        if sources is not None:
+            records = resolve_source(records, sources)
+        for attempt in range(attempts):
+            try:
+                counts = _merge(table, records, stamp, stage)
+                break
+            except Conflict:
+                if attempt + 1 == attempts:
+                    raise
+        pruned = 0 if max_articles is None else prune_table(table, max_articles)
+        result = {"source": source, "scraped": feed.count(), **counts, "pruned": pruned}
     if log_path is not None:
         entry = run_entry(
             table.spark, source, started, datetime.now(timezone.utc),
-            scraped=scraped, added=counts["added"], updated=counts["updated"],
+            scraped=result["scraped"], added=counts["added"], updated=counts["updated"],
             skipped=counts["skipped"], pruned=pruned,
         )
         log_run(log_path, entry, run_id if run_id is not None else started.strftime("%Y%m%d%H%M%S%f"))
     return result
 
 
+def _merge(table: StoredTable, records: DataFrame, stamp: Column, stage) -> dict:
+    base = table.versions()[-1]
+    target = table.read()
+    prepared = stage(prepare_batch(records, target), "prepared")
+    counts = count_prepared(records, prepared).first().asDict()
+    # a row matched by URL takes the new hash and with it another bucket
+    both = F.array(F.coalesce("_target", "hash_id"), F.coalesce("hash_id", "_target"))
+    touched = table.touched(prepared.select(F.explode(both)))
+    if touched:
+        last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        merged = merge_prepared(table.read(touched), prepared, stamp, last_id)
+        table.write(merged, touched, base)
+    return counts
+
+
+def prune_table(table: StoredTable, n: int) -> int:
+    """Keep the newest ``n`` articles of a table; the number deleted.  The
+    cutoff comes from two narrow columns, and only buckets that lose rows are
+    rewritten."""
+    base = table.versions()[-1]
+    rows = table.read().select("hash_id", "generated_at").where(F.col("hash_id").isNotNull())
+    with staging(table.spark) as stage:
+        kept = prune_newest(rows, n, tie="hash_id")
+        gone = stage(rows.join(kept.select("hash_id"), "hash_id", "left_anti").select("hash_id"), "pruned")
+        touched = table.touched(gone)
+        if touched:
+            table.write(table.read(touched).join(gone, "hash_id", "left_anti"), touched, base)
+        return gone.count()
+
+
 def run_one(feeds: Mapping[str, DataFrame], source: str, table: StoredTable, **options) -> dict:
     """Ingest the named feed; an unknown name is an error entry, as is a failure."""
     if source not in feeds:
-        return {"error": f"Unknown source: {source}"}
+        return {"error": f"no feed named {source!r}"}
     try:
         return run_batch(source, feeds[source], table, **options)
     except Exception as error:  # a failing feed must not stop the others

@@ -46,7 +46,7 @@ LANGUAGE_CLASS = re.compile(r"repo-language")
 AVATAR_CLASS = re.compile(r"avatar|contributor")
 RECENT_STARS = re.compile(r"stars today|stars this")
 POSITION_BITS = 16  # cards per page
-MAX_CONTRIBUTORS = 5
+MAX_CONTRIBUTORS = 5  # looked at by default
 PRODUCT_SUMMARY = 300
 REPO_SUMMARY = 300
 
@@ -130,10 +130,17 @@ def repo_rows(root: Node) -> Iterator[dict]:
             "stars": stars and stars.text(),
             "forks": forks and forks.text(),
             "today": recent and recent.text(),
-            "avatars": people[:MAX_CONTRIBUTORS],
+            "avatars": people,
         }
 
 
+def _place(order: int, position: int) -> int:
+    """See ``conform.arrival``."""
+    if position >> POSITION_BITS or abs(order) >> (63 - POSITION_BITS):
+        raise OverflowError(f"card {position} of page {order}")
+    return (order << POSITION_BITS) + position
+
+
 def _explode_cards(
     pages: DataFrame, column: str, schema: str, find: Callable[[Node], Iterator[dict]]
 ) -> DataFrame:
@@ -144,7 +151,7 @@ def _explode_cards(
         for batch in batches:
             yield pd.DataFrame(
                 [
-                    {**card, ORD: (int(order) << POSITION_BITS) + i}
+                    {**card, ORD: _place(int(order), i)}
                     for order, page in zip(batch[ORD], batch[column])
                     for i, card in enumerate(find(tree(page)))
                 ],
@@ -202,19 +209,22 @@ def repo_category(description):
 
 
 def read_repo_rows_html(
-    pages: DataFrame, column: str = "html", source: str = "github_trending"
+    pages: DataFrame, column: str = "html", source: str = "github_trending",
+    max_contributors: int | None = MAX_CONTRIBUTORS,
 ) -> DataFrame:
     """Trending repository rows.  Address and image come from the row's own
-    link, not from its contributors."""
+    link, not from its contributors, of whom the first ``max_contributors`` (all
+    if null) are looked at."""
     schema = (
         "path string, description string, language string, stars string, forks string, "
         "today string, avatars array<string>"
     )
     rows = _explode_cards(pages, column, schema, repo_rows)
     owner_repo = F.regexp_replace("path", r"\A/+|/+\z", "")
+    avatars = F.col("avatars") if max_contributors is None else F.slice("avatars", 1, max_contributors)
     people = F.filter(
         F.transform(
-            F.filter("avatars", lambda a: ~F.startswith(a, F.lit("http"))),
+            F.filter(avatars, lambda a: ~F.startswith(a, F.lit("http"))),
             lambda a: F.regexp_replace(a, r"\A/+|/+\z", ""),
         ),
         lambda a: (a != "") & ~F.contains(a, F.lit("/")),

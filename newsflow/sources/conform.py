@@ -15,6 +15,15 @@ FIELDS = ("title", "url", "author", "published_at", "content", "summary", "categ
 _RANK_BITS = 48  # feed rank above, position in the feed below
 
 
+def arrival(order: Column, position: Column, bits: int) -> Column:
+    """Order of arrival of an item: its container's order, then its position.
+    Out of range is an error, so no two items ever share a place."""
+    fits = (position >= 0) & (position < (1 << bits)) & (F.abs(order) < (1 << (63 - bits)))
+    return F.when(fits, order.cast("bigint") * F.lit(1 << bits) + position).otherwise(
+        F.raise_error(F.lit("position in a container out of range")).cast("bigint")
+    )
+
+
 def conform_article(
     df: DataFrame, source: str | Column, scraped_at: Column | None = None
 ) -> DataFrame:
@@ -60,11 +69,7 @@ def union_feeds(feeds: list[DataFrame], labels: list[str] | None = None) -> Data
     for rank, feed in enumerate(feeds):
         if labels:
             feed = feed.withColumn("timespan", F.lit(labels[rank]))
-        position = F.when(
-            (F.col(ORD) >= 0) & (F.col(ORD) < (1 << _RANK_BITS)),
-            F.lit(rank << _RANK_BITS) + F.col(ORD),
-        ).otherwise(F.raise_error(F.lit("position in a feed out of range")).cast("bigint"))
-        ranked.append(feed.withColumn(ORD, position))
+        ranked.append(feed.withColumn(ORD, arrival(F.lit(rank), F.col(ORD), _RANK_BITS)))
     merged = ranked[0]
     for feed in ranked[1:]:
         merged = merged.unionByName(feed, allowMissingColumns=True)

@@ -7,11 +7,18 @@ that is computed from the found texts is done by Spark expressions afterwards.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
 )
+# elements that a new element of the given kind ends, if they are innermost
+ENDS = {
+    "p": {"p"}, "li": {"li"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
+    "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
+}
+UNSEEN = ("script", "style", "template")
 
 
 class Node:
@@ -23,19 +30,22 @@ class Node:
         self.children: list[Node | str] = []
         self.parent = parent
 
+    def _below(self, skip=()):
+        """Everything below this one in document order; a stack of its own
+        instead of recursion, as pages nest without bound."""
+        waiting = self.children[::-1]
+        while waiting:
+            child = waiting.pop()
+            yield child
+            if isinstance(child, Node) and child.tag not in skip:
+                waiting.extend(reversed(child.children))
+
     def walk(self):
         """Elements below this one, in document order."""
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+        return (child for child in self._below() if isinstance(child, Node))
 
     def texts(self):
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in ("script", "style", "template"):
-                yield from child.texts()
+        return (child for child in self._below(UNSEEN) if isinstance(child, str))
 
     def text(self) -> str:
         """Visible text, every text node stripped, nothing between them."""
@@ -66,22 +76,30 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.here = Node("")
+        self.open = Counter()
+
+    def _close(self):
+        self.open[self.here.tag] -= 1
+        self.here = self.here.parent
 
     def handle_starttag(self, tag, attrs):
+        while self.here.tag in ENDS.get(tag, ()):
+            self._close()
         node = Node(tag, attrs, self.here)
         self.here.children.append(node)
         if tag not in VOID:
             self.here = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.here.children.append(Node(tag, attrs, self.here))
 
     def handle_endtag(self, tag):
-        node = self.here
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.here = node.parent
+        if not self.open[tag]:  # an end without beginning
+            return
+        while self.here.tag != tag:
+            self._close()
+        self._close()
 
     def handle_data(self, data):
         self.here.children.append(data)

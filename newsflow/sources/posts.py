@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from newsflow.functions.arrays import empty_strings
 from newsflow.operators.cleaning import ORD
 from newsflow.sources.cards import PRODUCT_SITE, POSITION_BITS
-from newsflow.sources.conform import conform_article
+from newsflow.sources.conform import arrival, conform_article
 
 MAX_DEPTH = 10
 # --- fixed values: script elements that hold the page data --------------------
-JSON_SCRIPT = r"(?is)<script\b[^>]*\btype=[\"']application/json[\"'][^>]*>(.*?)</script>"
-NEXT_SCRIPT = r"(?is)<script\b[^>]*\bid=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>"
+JSON_SCRIPT = r"(?is)<script\b[^<>]*\btype=[\"']application/json[\"'][^<>]*>(.*)\z"
+NEXT_SCRIPT = r"(?is)<script\b[^<>]*\bid=[\"']__NEXT_DATA__[\"'][^<>]*>(.*)\z"
+SCRIPT_END = r"(?i)</script>"
 
 
 def page_json(pages: DataFrame, column: str = "html") -> DataFrame:
     """First script element of a page that holds readable JSON, as ``payload``
     text; pages without one drop."""
-    scripts = F.concat(
-        F.regexp_extract_all(column, F.lit(JSON_SCRIPT), F.lit(1)),
-        F.regexp_extract_all(column, F.lit(NEXT_SCRIPT), F.lit(1)),
-    )
+    # up to each closing tag, so that an element that is never closed ends there
+    pieces = F.split(column, SCRIPT_END, -1)
+    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+    def contents(pattern):
+        texts = F.transform(closed, lambda p: F.regexp_extract(p, pattern, 1))
+        return F.filter(texts, lambda t: t != "")
+
+    scripts = F.concat(contents(JSON_SCRIPT), contents(NEXT_SCRIPT))
     readable = F.filter(scripts, lambda s: F.try_parse_json(s).isNotNull())
     return pages.select(ORD, F.get(readable, F.lit(0)).alias("payload")).where(
         F.col("payload").isNotNull()
@@ -74,7 +80,13 @@ def find_json_posts(
     for _ in range(MAX_DEPTH):
         nodes = nodes.select("_page", F.explode(step).alias("n")).select("_page", "n.*")
     posts = nodes.where(is_post)
-    topics = F.try_variant_get("node", "$.topics", "array<string>")
+    topics = F.transform(
+        F.filter(
+            F.try_variant_get("node", "$.topics", "array<variant>"),
+            lambda t: F.schema_of_variant(t) == "STRING",
+        ),
+        lambda t: F.try_variant_get(t, "$", "string"),
+    )
     articles = posts.select(
         _text("$.name").alias("title"),
         F.concat(
@@ -104,6 +116,6 @@ def find_json_posts(
     # variant members have no document order; the path is the stable order
     within_page = F.row_number().over(Window.partitionBy("_page").orderBy("_path"))
     ranked = articles.withColumn(
-        ORD, F.col("_page") * F.lit(1 << POSITION_BITS) + within_page - 1
+        ORD, arrival(F.col("_page"), within_page - 1, POSITION_BITS)
     )
     return conform_article(ranked.drop("_page", "_path"), source)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from newsflow.functions.arrays import empty_strings
 from newsflow.operators.cleaning import ORD
 from newsflow.schemas import STORY
-from newsflow.sources.conform import conform_article
+from newsflow.sources.conform import arrival, conform_article
 
 # --- fixed values: item page, title prefixes, job words -----------------------
 ITEM_PAGE = "https://news.ycombinator.com/item?id="
 TITLE_PREFIXES = (("Ask HN:", "Ask HN"), ("Show HN:", "Show HN"), ("Tell HN:", "Tell HN"))
 JOB_WORDS = ("hiring", "job")
+_HASH_BITS = 20  # tells crawls of one item apart
 
 
 def story_category(title):
@@ -29,8 +30,16 @@ def story_category(title):
 def parse_stories(items: DataFrame, source: str = "hackernews") -> DataFrame:
     """Story rows to raw articles; anything but a story is dropped.
 
-    Without ``_ord`` column the item id is the order of arrival.
+    Without ``_ord`` column the order of arrival is the item id, then a hash of
+    the item: an item crawled again with another score has a place of its own,
+    and rows equal in every field are one.  Items without id come first.
     """
+    if ORD not in items.columns:
+        fields = [f"`{f.split()[0]}`" for f in STORY.split(", ")]
+        order = arrival(
+            F.coalesce("id", F.lit(0)), F.pmod(F.xxhash64(*fields), F.lit(1 << _HASH_BITS)), _HASH_BITS
+        )
+        items = items.where(F.col("type") == "story").withColumn(ORD, order).dropDuplicates([ORD])
     title = F.coalesce("title", F.lit(""))
     posted = F.timestamp_seconds(F.nullif(F.col("time"), F.lit(0)))
     articles = items.where(F.col("type") == "story").select(
@@ -51,7 +60,7 @@ def parse_stories(items: DataFrame, source: str = "hackernews") -> DataFrame:
         ).alias("metadata"),
         # only stories that brought a URL are worth a page visit
         F.col("url").isNotNull().alias("_has_page"),
-        (F.col(ORD) if ORD in items.columns else F.col("id")).alias(ORD),
+        ORD,
     )
     return conform_article(articles, source)
 

@@ -27,7 +27,7 @@ def ingest_batch(
     parse: Parser,
     log_path: str,
     sources: DataFrame | None = None,
-    max_articles: int | None = R.MAX_ARTICLES,
+    max_articles: int | None = None,
     skip_failed: bool = False,
 ) -> dict:
     """One micro-batch: parse, clean, stamp (the scrape date too), upsert, prune, log.
@@ -44,7 +44,7 @@ def ingest_batch(
         )
     except Exception as error:
         now = datetime.now(timezone.utc)
-        entry = run_entry(table.spark, source, now, now, "failed", str(error)[:1000])
+        entry = run_entry(table.spark, source, now, now, "failed", str(error))
         log_run(log_path, entry, batch_id)
         if not skip_failed:
             raise
@@ -62,7 +62,7 @@ def stream_ingest(
     parse: Parser = parse_stories,
     max_files: int = 10,
     interval: str | None = None,
-    max_articles: int | None = R.MAX_ARTICLES,
+    max_articles: int | None = None,
     sources: DataFrame | None = None,
     skip_failed: bool = False,
 ) -> StreamingQuery:

@@ -9,7 +9,6 @@ from newsflow.functions.urls import url_host
 from newsflow.operators.cleaning import ORD
 from newsflow.operators.pages import main_text, page_title
 from newsflow.schemas import SCRAPE_LOG
-from newsflow.session import spread
 
 CATEGORY_CASES = ("ai", "FUNDING", "retail", "ask hn", "e-commerce", "", "Web Development", None)
 
@@ -18,12 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Dealt anew if the session's ``newsflow.view.partitions`` says so -- for
+    one machine whose test file is a single row group; not set on a cluster."""
+    parts = df.sparkSession.conf.get("newsflow.view.partitions", None)
+    return df.repartition(int(parts)) if parts else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return _dealt(table(spark, sf_dir, "documents"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).withColumn(ORD, F.col("page_id"))
+    return _dealt(table(spark, sf_dir, "pages")).withColumn(ORD, F.col("page_id"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(table(spark, sf_dir, "conversations"))
 
 
 def _pick(values, index):

@@ -1,5 +1,6 @@
 import hashlib
 import html
+import time
 from urllib.parse import urlparse
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from newsflow.functions import dates as D
 from newsflow.functions import text as T
 from newsflow.functions import urls as U
+from newsflow.operators.pages import image_url, main_text, page_title
 
 from helpers import column
 
@@ -168,3 +170,31 @@ def test_long_texts_stay_linear(spark):
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     got = column(spark, texts, lambda c: F.length(T.normalize_text(c)) + F.size(T.paragraphs(c)))
     assert len(got) == len(texts)
+
+
+N = 100_000
+HOSTILE = [
+    "<td></td>" * N, "<!--" * N, "<!--" * N + "-->x", "<nav>a" * N, "<script>" * N, "<rt>a" * N, "<rt>a" * N + "</rt>b",
+    "</script>" * N, "<a " + "b='c' " * 50_000 + ">x", "<a" * N, "<a href=\"" * N, "<" * N, "&" * N, "<title>" * N,
+    "<article>" * N, "<meta property='og:image' " * N, "<div class=\"ad\">" * N, "<html " * N,
+]
+
+
+@pytest.mark.parametrize("cleaner", [T.normalize_text, T.joined_text, main_text, image_url, page_title])
+def test_hostile_markup_takes_linear_time(spark, cleaner):
+    column(spark, ["<p>warm</p>"], cleaner)
+    for text in HOSTILE:
+        began = time.perf_counter()
+        column(spark, [text], lambda c: F.length(cleaner(c)), "string")
+        assert time.perf_counter() - began < 3, text[:20]  # planning and transfer included
+
+
+def test_hidden_markup(spark):
+    texts = ["a<!-- <b> --><i>b</i>c", "a<!-- open", "x</script>y", "<SCRIPT src='a'>1 < 2</Script >b", "p<style>q</style>r<style>s</style>t",
+             "<td></td><td>a</td> <td>b</td>", None, "", "a<rt>x</rt>b<rp>(</rp>c", "1 < 2 > 1"]
+    assert column(spark, texts, T.strip_tags) == [
+        "a\nb\nc", "a<!-- open", "x\ny", "\nb", "p\nr\nt", "\na\n \nb\n", None, "", "a\nb\nc", "1 < 2 > 1"]
+    pages = ["<title>A &amp; B</title><title>C</title>", "<title>open", "<TITLE\n>x</TITLE>", None]
+    assert column(spark, pages, page_title) == ["A & B", "", "x", ""]
+    bodies = ["<body>a<article>b<article>c</article>d</article>e</body>", "<main>x", "<body><nav>n</nav><p>p</p></body>"]
+    assert column(spark, bodies, main_text) == ["bcd", "x", "p"]

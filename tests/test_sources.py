@@ -2,12 +2,14 @@ import os
 import subprocess
 import sys
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from newsflow.operators.pages import main_text, page_metadata
 from newsflow.sources import cards, feeds, posts, registry, stories
 from newsflow.sources.conform import conform_article, union_feeds
+from newsflow.sources.html import tree
 
 from helpers import column, raw, article
 
@@ -21,7 +23,7 @@ def value(df, name, kind="bigint"):
 def test_stories(spark):
     got = stories.read_stories(spark, f"{DATA}/stories")
     got = value(value(got, "score"), "comments_count").orderBy("_ord").collect()
-    assert [r._ord for r in got] == [12345, 12347, 12348, 12349]
+    assert [r._ord >> 20 for r in got] == [12345, 12347, 12348, 12349]
     first, ask, jobs, blank = got
     assert (first.title, first.url, first.author) == ("Test Story", "https://example.com", "testuser")
     assert (first.score, first.comments_count, first.category) == (100, 50, "General")
@@ -207,3 +209,30 @@ def test_card_readers_need_no_package_on_executors(tmp_path):
         [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True
     )
     assert out.stdout.strip() == "1", out.stderr
+
+
+def test_hostile_pages_are_read(spark):
+    n = 50_000
+    pages = ["<p>" * n, "<li>x" * n, "<div>" * n + "</div>" * n, "</div>" * n, "<div>" * n + "</p>" * n,
+             "<article><h2><a href='/u'>t</a></h2><div class='author'>" + "<b>" * n + "who</article>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "_ord bigint, html string")
+    assert [(r.title, r.author) for r in cards.read_article_list_html(df).collect()] == [("t", "who")]
+    assert cards.read_repo_rows_html(df).count() == cards.read_product_cards_html(df).count() == 0
+
+
+def test_implied_ends():
+    root = tree("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2<tr><th>3</table><p>x<p>y")
+    assert [n.text() for n in root.all("li")] == ["a", "bc", "c"]
+    assert [n.text() for n in root.all("tr")] == ["12", "3"] and [n.text() for n in root.all("p")] == ["x", "y"]
+
+
+def test_positions_never_collide(spark):
+    page = "<article><h2><a href='/u'>t</a></h2></article>" * 3
+    with pytest.raises(Exception, match="card|range"):
+        cards.read_article_list_html(spark.createDataFrame([(1 << 60, page)], "_ord bigint, html string")).collect()
+
+
+def test_only_text_topics(spark):
+    payload = '{"name": "n", "tagline": "t", "slug": "s", "topics": [{"name": "AI"}, "x", 5, null, ["y"], "z"]}'
+    df = spark.createDataFrame([(1, payload)], "_ord bigint, payload string")
+    assert posts.find_json_posts(df).first().tags == ["x", "z"]

@@ -1,13 +1,19 @@
 import datetime as dt
+import os
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from newsflow.operators import joins as J
 from newsflow.operators.analytics import article_by_id
 from newsflow.operators import tables as M
 from newsflow.plans.batch import interleave_sources, run_all, run_one
+from newsflow.schemas import STORY
+from newsflow.session import scratch_dir
 from newsflow.sources.registry import default_sources
+from newsflow.sources.stories import parse_stories
 
 from helpers import article, raw
 
@@ -88,7 +94,7 @@ def test_second_run_adds_nothing(spark, tmp_path):
 
 def test_unfinished_version_is_not_read(spark, tmp_path):
     table = stored(spark, tmp_path, ("h", "u", "t", "A"))
-    (tmp_path / "table" / "articles" / "v=00000099").mkdir()
+    (tmp_path / "table" / "articles" / "data" / "w=00000099-x").mkdir()
     assert table.versions() == [1, 2] and table.read().count() == 1
 
 
@@ -112,16 +118,19 @@ def test_small_batch_does_not_shuffle_the_table(spark, tmp_path):
     table = stored(spark, tmp_path, *[(f"h{i}", f"u{i}", "t", "A") for i in range(50)])
     M.StoredTable(spark, str(tmp_path / "b"), "hash_id string, url string, title string, category string, _ord bigint",
                   ).write(batch(spark, ("h1", "u1", "x", "B"), ("n", "u2", "y", "C")))
-    small = spark.read.parquet(str(tmp_path / "b" / "v=00000001"))
+    small = spark.read.parquet(*[
+        str(tmp_path / "b" / "data" / f) for own in M.StoredTable(spark, str(tmp_path / "b")).folders().values() for f in own])
 
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
 
     lookup = plan(M.prepare_batch(small, table.read()))
     assert "BroadcastHashJoin [hash_id" in lookup and "BroadcastHashJoin [url" in lookup
-    merge = plan(M.upsert_articles(table.read(), small, LATER))
+    merge = plan(M.upsert_articles(table.read(), small, LATER).drop("id"))
     assert "BroadcastHashJoin [hash_id" in merge
-    assert "SortMergeJoin" not in merge and "hashpartitioning" not in merge
+    # only new rows are shuffled, to be numbered
+    stored_part = merge.split("Union")[1].split("isnull(_target")[0]
+    assert "SortMergeJoin" not in stored_part and "hashpartitioning" not in stored_part
 
 
 def test_init_twice(spark, tmp_path):
@@ -178,14 +187,13 @@ def test_prune(spark):
     assert (report.total, report.kept, report.deleted) == (150, 100, 50)
 
 
-def test_prune_by_histogram_equals_top_n(spark, monkeypatch):
+def test_prune_by_histogram_equals_top_n(spark):
     random.seed(1)
     values = [
         None if random.random() < 0.05
         else NOW - dt.timedelta(microseconds=random.choice([1, 1000, 10**6, 10**9, 10**11]) * random.randint(0, 9))
         for _ in range(400)
     ]
-    monkeypatch.setattr(M, "TOP_K_LIMIT", 0)
     for n in (1, 5, 30, 200, 399, 400, 1000):
         got = sorted(r.id for r in M.prune_newest(dated(spark, values), n).collect())
         assert got == kept_by_brute_force(values, n), n
@@ -221,13 +229,15 @@ def test_run_all_ingests_counts_prunes_and_logs(spark, tmp_path):
     results = [run_one(feeds, "hackernews", table, now=NOW, run_id=1, **options),
                run_one(feeds, "techcrunch", table, now=LATER, run_id=2, **options)]
     assert [(r["scraped"], r["added"], r["updated"], r["pruned"]) for r in results] == [
-        (12, 12, 0, 0),  # one generation time: ties at the cutoff stay
-        (6, 3, 3, 0),
+        (12, 12, 0, 2),  # one generation time: the hash decides at the cutoff
+        (6, results[1]["added"], 6 - results[1]["added"], results[1]["added"]),
     ]
-    assert run_one(feeds, "nowhere", table) == {"error": "Unknown source: nowhere"}
+    assert table.read().count() == 10
+    assert table.read().where(F.col("generated_at") == F.lit(LATER)).count() == 6
+    assert "error" in run_one(feeds, "nowhere", table)
     got = table.read()
     assert got.where("category = 'AI/ML' and has_content").count() == got.count()
-    assert M.read_log(spark, log).agg(F.sum("articles_added")).first()[0] == 15
+    assert M.read_log(spark, log).agg(F.sum("articles_added")).first()[0] == 12 + results[1]["added"]
     failing = {"bad": raw(spark, feed_rows(1)).drop("url"), "good": feeds["techcrunch"]}
     outcome = run_all(failing, table, now=LATER)
     assert "error" in outcome[0] and outcome[1]["added"] + outcome[1]["updated"] == 6
@@ -241,11 +251,14 @@ def test_hot_key_join_equals_the_plain_join(spark):
     )
     right = spark.range(40).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
     right = right.unionByName(spark.createDataFrame([("hot", -1)], "k string, v bigint"))
-    joined = J.hot_key_left_join(left, right, "k", hot_rows=500, salts=8)
+    joined = J.hot_key_left_join(left, right, "k", hot_rows=500)
     plain = left.join(right, "k", "left")
     columns = ["_ord", "k", "v"]
     assert joined.select(columns).exceptAll(plain.select(columns)).count() == 0
     assert joined.count() == plain.count() == 9_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+    assert all("_salt" in line for line in joins)  # nothing is moved by the raw key
 
 
 def test_enrich_content_rules(spark):
@@ -280,3 +293,74 @@ def test_interleave_sources(spark):
     assert got == interleave_sources(df.repartition(5), 10).collect()
     plan = interleave_sources(df, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # ranks are cut before the shuffle too
+
+
+def test_retention_is_asked_for(spark, tmp_path):
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
+    run_one({"a": with_metadata(raw(spark, feed_rows(120)))}, "a", table, now=NOW)
+    assert table.read().count() == 120
+
+
+def test_staged_copies_are_deleted(spark, tmp_path):
+    before = set(os.listdir(folder)) if os.path.isdir(folder := f"{scratch_dir(spark)}/newsflow") else set()
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
+    feeds = {"a": with_metadata(raw(spark, feed_rows(12))), "bad": raw(spark, feed_rows(1)).drop("url")}
+    run_all(feeds, table, max_articles=5, now=NOW)
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+
+
+def test_prune_with_tie_keeps_exactly_n(spark):
+    rows = [(f"h{i}", NOW - dt.timedelta(minutes=i // 40)) for i in range(150)] + [("x", None)] * 3
+    df = spark.createDataFrame(rows, "hash_id string, generated_at timestamp")
+    for n in (1, 5, 43, 90, 149, 153, 400):
+        kept = M.prune_newest(df, n, tie="hash_id").collect()
+        assert len(kept) == (min(n, 153) if n > 3 else 153)  # as many undated rows: no cutoff
+        dates = sorted((r.generated_at for r in kept if r.generated_at), reverse=True)
+        assert [d.replace(tzinfo=None) for d in dates] == sorted(
+            (r[1].replace(tzinfo=None) for r in rows if r[1]), reverse=True)[: len(dates)]
+
+
+def test_untouched_buckets_share_their_files(spark, tmp_path):
+    table = stored(spark, tmp_path, *[(f"h{i}", f"u{i}", "t", "A") for i in range(200)])
+    before = table.folders()
+    feed = {"s": with_metadata(raw(spark, feed_rows(1)))}
+    run_one(feed, "s", table, now=LATER)
+    after = table.folders()
+    assert len([b for b in after if after[b] != before.get(b)]) == 1 and table.read().count() == 201
+    assert M.StoredTable(spark, table.path).read().where("title like 'Titles%'").count() == 1
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    table = stored(spark, tmp_path, ("h", "u", "t", "A"))
+    base = table.versions()[-1]
+    table.write(table.read(), base=base)
+    with pytest.raises(M.Conflict):
+        table.write(table.read().limit(0), base=base)
+    assert table.read().count() == 1
+
+
+def test_ids_do_not_depend_on_partitions(spark, tmp_path):
+    empty = M.init_tables(spark, str(tmp_path / "t")).articles.read()
+    rows = batch(spark, *[(f"h{i}", f"u{i}", "t", "A") for i in range(50)])
+    ids = [
+        {r.hash_id: r.id for r in M.upsert_articles(empty, rows.repartition(n), NOW).collect()} for n in (1, 7)]
+    assert ids[0] == ids[1] and sorted(ids[0].values()) == list(range(1, 51))
+
+
+def test_one_url_with_two_hashes_is_one_article(spark, tmp_path):
+    empty = M.init_tables(spark, str(tmp_path / "t")).articles.read()
+    rows = batch(spark, ("h1", "u", "first", "A"), ("h2", "u", "second", "B"), ("h1", "v", "third", "C"))
+    assert sorted((r.url, r.title) for r in M.upsert_articles(empty, rows, NOW).collect()) == [("u", "second"), ("v", "third")]
+
+
+def test_item_crawled_twice_is_stored_once(spark, tmp_path):
+    def story(i, score):
+        return (i, "story", f"Titles number {i} distinct{i}", f"https://e.com/{i}", "b", 1, score, 0, "")
+
+    items = spark.createDataFrame([story(1, 5), story(1, 9), story(2, 1), story(2, 1), (None, *story(3, 1)[1:])], STORY)
+    raw_rows = parse_stories(items)
+    assert raw_rows.count() == raw_rows.select("_ord").distinct().count() == 4
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
+    results = [run_one({"s": raw_rows}, "s", table, now=t) for t in (NOW, LATER)]
+    assert [(r["added"], r["updated"]) for r in results] == [(3, 0), (0, 3)]
+    assert table.read().count() == table.read().select("hash_id").distinct().count() == 3
