@@ -34,7 +34,7 @@ travels("newsflow.llm.run_index")
 
 GRAM = 32  # bytes of an anchor
 HOT = 2000  # occurrences from which an anchor's windows are compared by hash
-BUCKET = 20_000  # windows' contexts indexed together
+BUCKET = 8_000  # contexts indexed together
 PLACE = 31  # bits of a position within a text
 VARIANT = 40  # a position has the document's variant above this bit
 AGAIN = 1 << 48  # marks, in a shape, a context that its own document had before
@@ -278,6 +278,9 @@ def _reach(row: np.ndarray, stop: np.ndarray) -> np.ndarray:
 def _cut(batches):
     """Remaining bytes of each text, and what was taken out; the spans are in
     order and apart."""
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(),
+             "kept": pa.string()}
+    low = (1 << VARIANT) - 1
     for batch in batches:
         data, offsets = K.buffers(batch.column("text"))
         spans = batch.column("spans")
@@ -285,32 +288,31 @@ def _cut(batches):
         has = spans.is_valid().to_numpy(zero_copy_only=False) & (np.diff(ends) > 0)
         start_all = spans.values.field("start").to_numpy(zero_copy_only=False)
         stop_all = spans.values.field("stop").to_numpy(zero_copy_only=False)
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        low = (1 << VARIANT) - 1
-        for i in range(len(batch)):
-            own_bytes = data[offsets[i] : offsets[i + 1]]
-            text = own_bytes.tobytes()
-            start = stop = ends[:0]
-            if has[i]:
-                part = slice(ends[i], ends[i + 1])
-                own = start_all[part] >> VARIANT == _variants(own_bytes, np.array([0, len(text)]))[0]
-                start, stop = start_all[part][own] & low, stop_all[part][own] & low
-            pieces, at = [], 0
-            for x, y in zip(start.tolist(), stop.tolist(), strict=True):
-                pieces.append(text[at:x])
-                at = y
-            pieces.append(text[at:])
-            kept = b"".join(pieces)
-            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("n_spans", len(start)),
-                         ("kept_sha256", hashlib.sha256(kept).hexdigest()),
-                         ("kept", b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode()
-                          if at else text.decode())):
-                out[k].append(v)
-        plain = [batch.column(i) for i, k in enumerate(batch.schema.names) if k not in ("text", "spans")]
-        names = [k for k in batch.schema.names if k not in ("text", "spans")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [*plain, *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=[*names, *out])
+        for first, last in K.blocks(offsets):
+            out = {k: [] for k in kinds}
+            for i in range(first, last):
+                own_bytes = data[offsets[i] : offsets[i + 1]]
+                text = own_bytes.tobytes()
+                start = stop = ends[:0]
+                if has[i]:
+                    part = slice(ends[i], ends[i + 1])
+                    own = start_all[part] >> VARIANT == _variants(own_bytes, np.array([0, len(text)]))[0]
+                    start, stop = start_all[part][own] & low, stop_all[part][own] & low
+                pieces, at = [], 0
+                for x, y in zip(start.tolist(), stop.tolist(), strict=True):
+                    pieces.append(text[at:x])
+                    at = y
+                pieces.append(text[at:])
+                kept = b"".join(pieces)
+                whole = "".join(p.decode("utf-8", "ignore") for p in pieces)
+                for k, v in zip(kinds, (len(text), len(text) - len(kept), len(start),
+                                        hashlib.sha256(kept).hexdigest(), whole), strict=True):
+                    out[k].append(v)
+            plain = [k for k in batch.schema.names if k not in ("text", "spans")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).slice(first, last - first) for k in plain),
+                 *(pa.array(out[k], t) for k, t in kinds.items())],
+                names=[*plain, *kinds])
 
 
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
