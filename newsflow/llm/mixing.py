@@ -59,7 +59,7 @@ def described(
     words = words_of(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     # a word list occurs in few texts: look before splitting them for their topic
     anyone = "|".join(sorted({w for own in topics.values() for w in own}))
-    maybe = F.rlike(F.col(f"`{text_col}`"), F.lit(rf"(?i)\b(?:{anyone})\b")) if anyone else F.lit(False)
+    maybe = F.rlike(F.lower(F.col(f"`{text_col}`")), F.lit(anyone)) if anyone else F.lit(False)
     topic = F.when(maybe, topic_of(words, topics)).otherwise(F.lit(OTHER)) if topics else F.lit(OTHER)
     return docs.withColumn(name, F.struct(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
@@ -155,27 +155,28 @@ def uniform(*columns: Column) -> Column:
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE,
-    topics: Mapping[str, tuple[str, ...]] = TOPICS,
+    topics: Mapping[str, tuple[str, ...]] = TOPICS, drop: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``docs`` with topic, n_tokens, weight, probability and ``sampled``.
+    """``docs`` without the columns in ``drop``, with topic, n_tokens, weight,
+    probability and ``sampled``.
 
     The draw hashes the id and the text, so it is the same on every run; rows
     that are equal in both share their fate.  Same-named columns are replaced.
+    The texts are read once: rows are staged with their cell.
     """
     marked, mix = described(docs, text_col, topics)
-    m = F.col(mix)
-    cells = stage(
-        marked.select(m.alias("m")).groupBy(*[F.col("m")[d].alias(d) for d in DIMENSIONS])
-        .agg(F.sum(F.col("m")["tokens"]).alias("tokens")), "cells")
-    drawn = stage(probabilities(rake(cells, targets), share), "probabilities")
     added = ["topic", "n_tokens", "weight", "probability", "sampled"]
-    rows = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), m.alias("m"),
-                         uniform(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("u"))
-    rows = rows.select("row", "u", *[F.col("m")[d].alias(d) for d in DIMENSIONS], F.col("m")["tokens"].alias("n"))
-    drawn = small_side(drawn.drop("tokens"))
-    joined = rows.join(drawn, list(DIMENSIONS))
-    return joined.select(
-        *[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added],
-        "topic", F.col("n").alias("n_tokens"), "weight", "probability",
+    kept = [c for c in docs.columns if c.lower() not in added and c not in drop]
+    rows = stage(
+        marked.select(
+            F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"),
+            uniform(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("u"), F.col(f"{mix}.*")),
+        "marked",
+    )
+    cells = stage(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
+    drawn = stage(probabilities(rake(cells, targets), share).drop("tokens"), "probabilities")
+    return rows.join(small_side(drawn), list(DIMENSIONS)).select(
+        *[F.col("row")[c].alias(c) for c in kept],
+        "topic", F.col("tokens").alias("n_tokens"), "weight", "probability",
         (F.col("u") < F.col("probability")).alias("sampled"),
     )

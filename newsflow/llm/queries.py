@@ -86,7 +86,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, probability and draw of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mix_sources(docs).drop("text")
+    return mix_sources(docs, drop=("text",))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
