@@ -729,3 +729,11 @@ ORACLE["write_raw"] = "SELECT source, count(*) AS n_articles, min(doc_id) AS fir
 ORACLE["run_feeds_retained"] = """
 SELECT 0 AS run, 'documents' AS source, 100::BIGINT AS stored
 UNION ALL SELECT 1, 'pages', 100::BIGINT"""
+ORACLE["article_feed_after"] = q(ARTICLES, f"""
+SELECT {VIEW} FROM (SELECT * FROM articles ORDER BY {NEWEST} LIMIT 20 OFFSET 20)""")
+ORACLE["ticker"] = q(ARTICLES, f"""
+SELECT title, source_name, category, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, hash_id, 'latest' AS kind
+FROM (SELECT * FROM articles ORDER BY {NEWEST} LIMIT 6)
+UNION ALL
+SELECT title, source_name, category, strftime(published_at, '%Y-%m-%d %H:%M:%S'), hash_id, 'trending'
+FROM (SELECT * FROM (SELECT * FROM articles ORDER BY {NEWEST} LIMIT 25) ORDER BY score + upvotes DESC, {NEWEST} LIMIT 5)""")

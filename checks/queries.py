@@ -771,6 +771,17 @@ def q_latest_ticker(spark, sf):
     return _stamp(A.latest_ticker(articles(spark, sf)), "published_at")
 
 
+def q_ticker(spark, sf):
+    return _stamp(A.ticker(articles(spark, sf)), "published_at")
+
+
+def q_article_feed_after(spark, sf):
+    """The second page by the last row of the first one."""
+    table = articles(spark, sf)
+    last = A.article_feed_after(table).collect()[-1]
+    return _view(A.article_feed_after(table, (last["published_at"], last["hash_id"])))
+
+
 # ---------------------------------------------------------- table maintenance
 def q_upsert_articles(spark, sf):
     out = M.upsert_articles(stored(spark, sf), incoming(spark, sf), NOW)

@@ -12,6 +12,7 @@ from newsflow.functions.text import excerpt_words
 SENTIMENTS = ("positive", "negative", "neutral")
 SURE = 0.5
 HOUSE_AUTHOR = "Newsflow Desk"
+MAX_OFFSET = 10_000  # rows of a feed that can be paged by number
 
 
 def _check(name: str, value: int, low: int, high: int | None = None) -> None:
@@ -31,8 +32,8 @@ def article_by_id(df: DataFrame, article_id: int) -> DataFrame:
 
 
 def to_summary(df: DataFrame, *extra: str) -> DataFrame:
-    """The list view of an article: no body, a short summary; ``extra`` columns
-    are added at the end."""
+    """The list view of an article: no body, a short summary, the image of its
+    metadata; ``extra`` columns are added at the end."""
     summary = F.coalesce(F.substring("summary", 1, R.SUMMARY_CHARS), F.lit(""))
     keep = [
         c
@@ -42,8 +43,11 @@ def to_summary(df: DataFrame, *extra: str) -> DataFrame:
         )
         if c in df.columns
     ]
-    after = [c for c in ("extra_data", "image_url", "metrics", "ai_category", "sentiment")
-             if c in df.columns]
+    after = [c for c in ("extra_data", "ai_category", "sentiment") if c in df.columns]
+    if "image_url" in df.columns:
+        after.append("image_url")
+    elif "extra_data" in df.columns:  # where the table keeps it
+        after.append(F.try_variant_get("extra_data", "$.image_url", "string").alias("image_url"))
     return df.select(
         *keep,
         summary.alias("summary"),
@@ -192,9 +196,11 @@ def article_feed(
     Filters reach the scan; the page is one top-k over list-view rows.  Every
     row carries ``total`` (all articles, whatever the filter),
     ``filtered_total`` and ``has_more``, from one count over the filter columns.
+    All rows before the page go through one task, so the first ``MAX_OFFSET``
+    rows can be paged; ``article_feed_after`` goes on from there.
     """
-    _check("page", page, 1)
     _check("page_size", page_size, 1, R.MAX_PAGE_SIZE)
+    _check("page", page, 1, MAX_OFFSET // page_size)
     order = order_by if order_by in df.columns else "published_at"
     start = (page - 1) * page_size
     rows, chosen = df, F.lit(True)
@@ -215,6 +221,30 @@ def article_feed(
     )
 
 
+def article_feed_after(
+    df: DataFrame,
+    after: tuple[object, str] | None = None,
+    page_size: int = R.PAGE_SIZE,
+    order_by: str = "published_at",
+) -> DataFrame:
+    """The page that follows a row, newest first: ``after`` is the ``order_by``
+    value and ``hash_id`` of the last row seen.  A page costs the same however
+    deep it lies: one top-k of ``page_size`` rows behind a filter."""
+    _check("page_size", page_size, 1, R.MAX_PAGE_SIZE)
+    if after is not None:
+        value, hash_id = after
+        later = F.col("hash_id") > hash_id
+        place = F.col(order_by)
+        # nulls come first
+        df = df.where(
+            place.isNotNull() | later if value is None else (place < F.lit(value)) | ((place == F.lit(value)) & later)
+        )
+    view = to_summary(df)
+    if order_by not in view.columns:
+        view = to_summary(df, order_by)
+    return view.orderBy(*newest_first(order_by)).limit(page_size)
+
+
 def metric(name: str) -> Column:
     """An engagement counter of the open metadata, 0 if absent."""
     return F.coalesce(F.try_variant_get("extra_data", f"$.{name}", "bigint"), F.lit(0))
@@ -260,6 +290,14 @@ def latest_ticker(df: DataFrame, n: int = 6) -> DataFrame:
     )
 
 
+def ticker(df: DataFrame, n: int = 6, hot: int = 5) -> DataFrame:
+    """The newest articles and the ``hot`` ones with the highest engagement as
+    ticker lines, told apart by ``kind``."""
+    newest = latest_ticker(df, n)
+    top = trending(df, hot).select(newest.columns)
+    return newest.withColumn("kind", F.lit("latest")).unionByName(top.withColumn("kind", F.lit("trending")))
+
+
 # ---------------------------------------------------------------- presentation
 def present(df: DataFrame, words: int = 100) -> DataFrame:
     """Excerpt, byline, initials and the text to show."""

@@ -234,18 +234,33 @@ def cleaning_report(df: DataFrame) -> DataFrame:
     return totals.select(F.inline(steps)).withColumn("timestamp", F.current_timestamp())
 
 
+def _with_image(df: DataFrame) -> Column:
+    """The metadata with the image found for the article, if it names none."""
+    kind = "map<string,variant>"
+    given = F.try_variant_get("extra_data", "$", kind) if "extra_data" in df.columns else F.lit(None).cast(kind)
+    given = F.coalesce(given, F.create_map().cast(kind))
+    image = F.create_map(F.lit("image_url"), F.col("image_url").cast("variant"))
+    own = F.try_variant_get("extra_data", "$.image_url", "string") if "extra_data" in df.columns else F.lit(None)
+    rest = F.map_filter(given, lambda k, v: k != "image_url")
+    kept = F.col("extra_data") if "extra_data" in df.columns else F.lit(None).cast("variant")
+    return F.when(F.col("image_url").isNotNull() & own.isNull(),
+                  F.to_variant_object(F.map_concat(rest, image))).otherwise(kept)
+
+
 def to_records(df: DataFrame) -> DataFrame:
     """The columns stored in the article table; absent lists are empty."""
     lists = {c: F.coalesce(c, empty_strings()) for c in ("tags", "ai_keywords") if c in df.columns}
     df = df.withColumns(lists) if lists else df
     if "metadata" in df.columns:
         df = df.drop("extra_data").withColumnRenamed("metadata", "extra_data")
+    if "image_url" in df.columns:
+        df = df.withColumn("extra_data", _with_image(df))
     if "source" in df.columns:
         df = df.withColumnRenamed("source", "source_name")
     stored = (
         "source_name", "title", "url", "author", "published_at", "scraped_at", "content",
         "summary", "category", "tags", "hash_id", "content_length", "has_content",
         "ai_category", "ai_confidence", "ai_keywords", "sentiment", "sentiment_score",
-        "extra_data", "metrics", ORD,
+        "extra_data", ORD,
     )
     return df.select(*[c for c in stored if c in df.columns])

@@ -158,3 +158,12 @@ def test_bucketed_raw_table_is_not_shuffled(spark, sf_dir, tmp_path):
     finally:
         spark.sql("DROP TABLE IF EXISTS raw_bucketed")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_image_reaches_the_metadata(spark):
+    rows = [(1, '{"a": 1}', "img"), (2, '{"image_url": "own"}', "img"), (3, '{"a": 2}', None), (4, None, "x")]
+    df = spark.createDataFrame(rows, "_ord bigint, m string, image_url string").select(
+        "_ord", F.parse_json("m").alias("metadata"), "image_url", F.lit("t").alias("title"))
+    got = C.to_records(df).select("_ord", F.try_variant_get("extra_data", "$.image_url", "string").alias("i"),
+                                F.try_variant_get("extra_data", "$.a", "int").alias("a")).orderBy("_ord").collect()
+    assert [(r.i, r.a) for r in got] == [("img", 1), ("own", None), (None, 2), ("x", None)]
