@@ -178,12 +178,15 @@ def jaccard_components(
     )
     # 2. units: documents that share a segment with the smallest one that has it
     signs = filled.select("doc", F.explode("signatures").alias("s"))
-    hubs = stage(
-        signs.groupBy("s").agg(F.min("doc").alias("hub"), F.max("doc").alias("last"))
-        .where("hub <> last").select("s", "hub"),
-        "hubs",
+    groups = stage(
+        signs.groupBy("s").agg(F.min("doc").alias("hub"), F.max("doc").alias("last"), F.count("*").alias("docs"))
+        .where("hub <> last").select(F.when(F.col("docs") > 2, F.col("s")).alias("s"), "hub", "last"),
+        "groups",
     )
-    shared = signs.join(hubs, "s").select("hub", "doc").distinct()
+    # most groups are two documents; the members of the others are looked up
+    pairs = groups.where("s IS NULL").select("hub", F.col("last").alias("doc"))
+    hubs = stage(groups.where("s IS NOT NULL").select("s", "hub"), "hubs")
+    shared = signs.join(small_side(hubs), "s").select("hub", "doc").unionByName(pairs).distinct()
     lone = small_side(copies.select(F.col("u").alias("doc")))
     members = stage(shared.where("hub <> doc").join(lone, "doc", "left_anti"), "members")
     # a hub may be a copy: its representative shares the same segments
