@@ -33,7 +33,7 @@ travels("newsflow.llm.kernels")
 travels("newsflow.llm.run_index")
 
 GRAM = 32  # bytes of an anchor
-HOT = 2000  # occurrences from which an anchor's windows are compared by hash
+HOT = 20_000  # occurrences of one anchor that a task can index, some 200 MB while it sorts
 BUCKET = 8_000  # contexts indexed together
 PLACE = 31  # bits of a position within a text
 VARIANT = 40  # a position has the document's variant above this bit

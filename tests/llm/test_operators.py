@@ -116,7 +116,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("hot", [20_000, 2])
 def test_suffix_dedup_equals_brute_force(spark, sf_dir, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = corpus(spark, sf_dir)
