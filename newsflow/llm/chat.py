@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
 ESCAPE = "\\"
 START = "start"
 BLOCK = 256  # turns looked at together

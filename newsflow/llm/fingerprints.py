@@ -1,8 +1,8 @@
 """Order MinHash fingerprints, in column expressions only.
 
 The k-mers of a text, ``k`` consecutive words, are numbered by occurrence, so
-that each is unique, and hashed.  The hash range is cut into ``SKETCHES`` equal
-bins; of each bin the ``TUPLE`` smallest k-mers are selected and put back into
+that each is unique, and hashed.  The hash range is cut into 2 ** ``BIN_BITS``
+equal bins; of each bin the ``TUPLE`` smallest k-mers are selected and put back into
 text order, and the ordered tuple is hashed.  Two texts agree in a bin only if
 they select the same k-mers in the same order, so the share of agreeing bins
 falls with edit distance and not only with the overlap of the k-mer sets.

@@ -327,9 +327,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Matches do not cross documents; the input decides, not what is left.  The
     text column holds the remaining bytes without characters that were cut in
     two.  A null text counts as empty.  Rows without an id are left as they are
-    and compared with nothing.  Equal rows are one document; rows that repeat an
-    id with another text are ordered by a hash of their texts.  Columns of
-    ``docs`` with the names of the added ones are replaced.
+    and compared with nothing.  Equal rows are one document.  Rows that repeat an
+    id with another text are documents of their own, which are cut against all
+    other documents but not reliably against each other.  Columns of ``docs``
+    with the names of the added ones are replaced.
     """
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length)
     rest = [c for c in docs.columns if c != text_col]
