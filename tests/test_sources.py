@@ -34,6 +34,26 @@ def test_stories(spark):
     assert (blank.title, blank.published_at) == ("Untitled", None)
 
 
+def test_distinct_stories_never_share_a_place(spark, monkeypatch):
+    def items(n, item, parts):
+        rows = spark.range(0, n, 1, parts).selectExpr(
+            f"CAST({item} AS bigint) AS id", "'story' AS type", "concat('t', id) AS title", "'u' AS url", "'b' AS by",
+            "1L AS time", "id AS score", "0L AS descendants", "'' AS text")
+        return rows.unionByName(rows.where("score < 10"))
+
+    for item in ("NULL", "7"):
+        got = stories.parse_stories(items(60_000, item, 4)).select("_ord", "title")
+        assert got.count() == got.select("_ord").distinct().count() == got.select("title").distinct().count() == 60_000
+
+    monkeypatch.setattr(stories, "_PLACE_BITS", 3)  # more crawls than places
+    of = [stories.parse_stories(
+        items(20, "NULL", n).unionByName(items(30, "5", n)).unionByName(items(1, "6", n)).unionByName(items(1, "2", n)))
+        for n in (1, 5)]
+    of = [{tuple(x) for x in value(r, "hn_id").select("_ord", "hn_id", "title").collect()} for r in of]
+    assert of[0] == of[1] and len({o for o, *_ in of[0]}) == len(of[0]) == 52
+    assert [i for _, i, _ in sorted(of[0])] == [None] * 20 + [2] + [5] * 30 + [6]
+
+
 def test_rss(spark):
     got = feeds.read_rss(spark, f"{DATA}/rss").orderBy("_ord").collect()
     assert [r.title for r in got] == ["T1 GPT release", "Old breach", "Second file"]
