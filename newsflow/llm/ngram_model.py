@@ -12,7 +12,8 @@ the shared folder:
 From level 3 on a word is stored relative to its context: as its place among
 the successors of the context without its first word.  Values of a parent start
 from the last value of the parent before, so a whole level is one monotone
-sequence.  N-grams of two and more words are kept from two occurrences on.
+sequence.  N-grams of two and more words are kept from ``least`` occurrences on;
+the query keeps all.
 
 Probabilities are interpolated with absolute discounts down to add-one unigrams,
 and what pruning takes off goes to the back-off weight, so every distribution
@@ -40,7 +41,7 @@ travels("newsflow.llm.kernels")
 
 ORDER = 3
 DISCOUNT = 0.75
-LEAST = 2  # occurrences of a kept n-gram of two or more words
+LEAST = 2  # occurrences of a kept n-gram of two or more words, unless the caller says otherwise
 UNIT = 1 / 2048  # of a quantised log10 probability; the smallest is -32
 END = np.uint64(0x8F1BBCDCBFA53E0B)  # hash of the end mark; words have other hashes
 HELD = 3 << 20  # distinct n-grams a task holds before it hands them on
@@ -360,7 +361,7 @@ def _count_grams(model: Model, level: int):
     return run
 
 
-def _build_grams(model: Model, level: int):
+def _build_grams(model: Model, level: int, least: int):
     span = model.span[level - 2]
     parents = model.vocabulary + 1 if level == 2 else sum(model.nodes[level - 2])
 
@@ -368,7 +369,7 @@ def _build_grams(model: Model, level: int):
         shard = table.column("shard")[0].as_py()
         keys, counts, lower = _gathered(table, True) if table.num_rows and table.column("n")[0].as_py() else (
             np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
-        use = counts >= LEAST
+        use = counts >= least
         keys, counts, lower = keys[use], counts[use], lower[use]
         first, n = shard * span, max(min(span, parents - shard * span), 0)
         parent = (keys >> np.uint64(32)).astype(np.int64) - first
@@ -379,7 +380,7 @@ def _build_grams(model: Model, level: int):
         else:
             seen = model.counts(level - 1, at)
         taken = np.bincount(parent, counts - DISCOUNT, minlength=n) if len(parent) else np.zeros(n)
-        left = 1 - taken / np.maximum(seen, 1)
+        left = 1 - taken / np.maximum(seen, 1)  # > 0: each child leaves DISCOUNT, whatever is kept
         probability = (counts - DISCOUNT) / np.maximum(seen[parent], 1) + left[parent] * 10 ** restored(lower)
         pointer = np.searchsorted(parent, np.arange(n + 1))
         # a parent's values go on from the last one of the parent before
@@ -397,8 +398,9 @@ def _build_grams(model: Model, level: int):
     return run
 
 
-def train(texts: DataFrame, order: int = ORDER) -> Model:
-    """Model of the only column of ``texts``; nulls are empty texts.
+def train(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> Model:
+    """Model of the only column of ``texts``; nulls are empty texts.  N-grams of
+    two and more words that occur less than ``least`` times are left out.
 
     Level by level: tasks count the n-grams of their documents, each shard sums
     its range and writes one file.  Only the shards' sizes come to the driver.
@@ -421,9 +423,11 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
             F.col("id").alias("shard"), F.lit(0).cast("bigint").alias("n"),
             *[F.lit(b"").alias(c) for c in ("keys", "counts", "extra")])  # every shard gets its file
         counted = texts.mapInArrow(_count_grams(model, level), COUNTED).unionByName(nothing).groupBy("shard").applyInArrow(
-            _over(_build_grams(model, level)), "shard bigint, nodes bigint").collect()
+            _over(_build_grams(model, level, least)), "shard bigint, nodes bigint").collect()
         sizes = {r["shard"]: r["nodes"] for r in counted}
         model.nodes.append([sizes.get(s, 0) for s in range(shards)])
+        if level < order and sum(model.nodes[-1]) >= 1 << 32:  # parents of the next level, in 32 bits
+            raise ValueError(f"more than 2**32 different {level}-grams")
     return model
 
 
@@ -478,10 +482,12 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def score_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def score_held_out(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: int = LEAST,
+) -> DataFrame:
     """Train on the documents not held out and score all: ``docs`` without its
     text, with held_out, train_tokens and the columns of ``score``."""
     marked = docs.withColumn("held_out", held_out(id_col))
-    model = train(marked.where(~F.col("held_out")).select(F.col(f"`{text_col}`").cast("string")), order)
+    model = train(marked.where(~F.col("held_out")).select(F.col(f"`{text_col}`").cast("string")), order, least)
     return score(marked, model, text_col=text_col, order=order).withColumn(
         "train_tokens", F.lit(model.total).cast("bigint"))

@@ -49,9 +49,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a trigram model of those not held out."""
+    """Scores of all documents by a trigram model, with all n-grams, of those not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_held_out(docs).select(
+    return score_held_out(docs, least=1).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -12,6 +12,7 @@ from newsflow.llm import chat, fingerprints, licenses, mixing, packing, quality,
 from newsflow.llm.common import components
 from newsflow.llm.jaccard import first_of_groups, jaccard_components
 from newsflow.llm.ngram_model import score_held_out
+from newsflow.llm.queries import op2_ngram_score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -420,6 +421,36 @@ def test_ngram_scores_equal_brute_force(spark, sf_dir):
     assert sum(r.score for r in outside) > sum(r.base_score for r in outside)
 
 
+def test_ngrams_seen_once_count(spark, tmp_path):
+    """The query's model against probabilities from the counts of all n-grams."""
+    import zlib
+
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)
+    free = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    texts = {free[0]: "a b c d a b e", free[1]: "c a b c", held: "a b e c d"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    train = [[*texts[i].split(), "$"] for i in free]
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for w in train:
+        uni.update(w)
+        bi.update(zip(["<", *w], w))
+        tri.update(zip(["<", *w], w, w[1:]))
+    n, v, d = sum(uni.values()), len(uni), 0.75
+
+    def mixed(counts, context, word, lower):
+        own = {g[-1]: c for g, c in counts.items() if g[:-1] == context}
+        seen = sum(own.values())
+        return (max(own.get(word, 0) - d, 0) + d * len(own) * lower) / seen if seen else lower
+
+    def p2(a, w):
+        return mixed(bi, (a,), w, (uni[w] + 1) / (n + v + 1))
+
+    for r in op2_ngram_score(spark, str(tmp_path)).collect():
+        w = [*texts[r.doc_id].split(), "$"]
+        expected = p2("<", w[0]) * np.prod([mixed(tri, (a, b), c, p2(b, c)) for a, b, c in zip(["<", *w], w, w[1:])])
+        assert r.score == pytest.approx(np.log10(expected), abs=len(w) * 0.001)
+
+
 def test_ngram_odd_rows(spark):
     docs = documents(spark).unionByName(documents(spark).where("doc_id = 5"))
     docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("score", F.lit("x"))
