@@ -1,11 +1,16 @@
 """Order MinHash fingerprints, in column expressions only.
 
 The k-mers of a text, ``k`` consecutive words, are numbered by occurrence, so
-that each is unique, and hashed.  The hash range is cut into 2 ** ``BIN_BITS``
-equal bins; of each bin the ``TUPLE`` smallest k-mers are selected and put back into
-text order, and the ordered tuple is hashed.  Two texts agree in a bin only if
-they select the same k-mers in the same order, so the share of agreeing bins
-falls with edit distance and not only with the overlap of the k-mer sets.
+that each is unique, and hashed.  The hash range is a circle, cut into 2 **
+``BIN_BITS`` equal bins; for each bin the first ``TUPLE`` k-mers of the whole text
+from the bin's start on, past its end where the bin holds fewer, are selected and
+put back into text order, and the ordered tuple is hashed.  The distance from a
+bin's start is a hash function of its own, so every bin is an order MinHash of the
+whole text, however short.  Two texts agree in a bin only if they select the same
+k-mers in the same order, so the share of agreeing bins falls with edit distance
+and not only with the overlap of the k-mer sets.  Bins of a text with few k-mers
+select from the same ones: the expected likeness is that of independent hash
+functions, its spread is larger.
 
 One hash per k-mer serves all bins.  A k-mer is kept as one long: hash bits
 above, position in the low 31 bits, so sorting groups the bins.
@@ -22,8 +27,9 @@ from newsflow.llm.common import stage
 from newsflow.llm.quality import words_of
 
 KMER = 3  # words of a k-mer
-TUPLE = 2  # k-mers of a bin
+TUPLE = 2  # k-mers selected for a bin; texts with fewer have all of theirs
 BIN_BITS = 6  # 2 ** 6 = 64 bins
+BINS = 1 << BIN_BITS
 PLACE_BITS = 31
 PLACE = (1 << PLACE_BITS) - 1
 RANGE = 200_000  # ids ordered in one task
@@ -34,7 +40,8 @@ def _hash_of(e: Column) -> Column:
 
 
 def _bin_of(e: Column) -> Column:
-    return F.shiftright(e, 64 - BIN_BITS)
+    """0 to BINS - 1, in the order of the k-mers."""
+    return (F.shiftright(e, 64 - BIN_BITS) + (BINS >> 1)).cast("int")
 
 
 def _placed(h: Column, place: Column) -> Column:
@@ -84,23 +91,36 @@ def numbered(ordered: Column) -> Column:
 
 
 def order_minhash(text: Column) -> Column:
-    """Sketch of a text: one long per bin that has k-mers, bin above, tuple hash
-    in the low 32 bits."""
+    """Sketch of a text: one long per bin, bin above, tuple hash in the low 32
+    bits; none for a text without words."""
 
     def select(s: Column) -> Column:
         return F.filter(s, lambda e, i: (i < TUPLE) | (_bin_of(F.get(s, i - TUPLE)) != _bin_of(e)))
 
     def tuples(p: Column) -> Column:
-        def of(e, i):
-            same = F.filter(F.slice(p, i + 1, TUPLE), lambda x: _bin_of(x) == _bin_of(e))
-            in_text = F.sort_array(F.transform(same, lambda x: F.shiftleft(x.bitwiseAND(F.lit(PLACE)), 64 - PLACE_BITS)
+        def from_place(i: Column) -> Column:
+            """Name of the ``TUPLE`` k-mers from place ``i`` on, around the circle."""
+            tuple_ = F.transform(
+                F.sequence(F.lit(0), F.least(F.size(p), F.lit(TUPLE)) - 1), lambda j: F.get(p, F.pmod(i + j, F.size(p))))
+            in_text = F.sort_array(F.transform(tuple_, lambda x: F.shiftleft(x.bitwiseAND(F.lit(PLACE)), 64 - PLACE_BITS)
                                                .bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS))))
             name = F.xxhash64(F.transform(in_text, lambda x: x.bitwiseAND(F.lit((1 << (64 - PLACE_BITS)) - 1))))
-            head = (i == 0) | (_bin_of(F.get(p, i - 1)) != _bin_of(e))
-            bin_ = (_bin_of(e) + (1 << (BIN_BITS - 1))).cast("bigint")
-            return F.when(head, F.shiftleft(bin_, 32).bitwiseOR(name.bitwiseAND(F.lit(0xFFFFFFFF))))
+            return name.bitwiseAND(F.lit(0xFFFFFFFF))
+
+        def named(first: Column, last: Column, name: Column) -> Column:
+            return bind(name, lambda n: F.transform(
+                F.sequence(first, last), lambda b: F.shiftleft(b.cast("bigint"), 32).bitwiseOR(n)))
+
+        def of(e, i):
+            # a bin's first k-mer is also the first of the empty bins before it
+            after = F.when(i == 0, F.lit(0)).otherwise(_bin_of(F.get(p, i - 1)) + 1)
+            return F.when(after <= _bin_of(e), named(after, _bin_of(e), from_place(i)))
 
-        return F.filter(F.transform(p, of), lambda x: x.isNotNull())
+        # the empty bins at the end go on with the smallest k-mer
+        last = _bin_of(F.get(p, F.size(p) - 1))
+        end = F.when(last < BINS - 1, named(last + 1, F.lit(BINS - 1), from_place(F.lit(0))))
+        return F.when(F.size(p) > 0, F.flatten(F.filter(
+            F.concat(F.transform(p, of), F.array(end)), lambda x: x.isNotNull()))).otherwise(p)
 
     return bind(bind(numbered(kmers(text)), select), tuples)
 
@@ -111,8 +131,8 @@ def fingerprint(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing bins among those that either text has k-mers in; 1 for
-    two texts without words."""
+    """Share of agreeing bins; 1 for two texts without words, 0 if only one has
+    none."""
     agree = F.size(F.array_intersect(a, b))
     bins = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 32)),
                                 F.transform(b, lambda x: F.shiftright(x, 32))))

@@ -217,6 +217,45 @@ def test_likeness_falls_with_edits_and_sees_order(spark):
     assert near[1] > near[2]
 
 
+@pytest.mark.parametrize("n", [30, 60, 120, 200])
+def test_short_texts_see_order(spark, n):
+    """Halves swapped: the likeness of order MinHash with its own permutation of all k-mers for each tuple."""
+    rng = np.random.default_rng(n)
+    cases, expected = [], []
+    for case in range(60):
+        words = [f"w{case}x{i}" for i in rng.permutation(n)]
+        pair = words, words[n // 2 :] + words[: n // 2]
+        cases.append((*[" ".join(w) for w in pair],))
+        a, b = [{tuple(w[i : i + 3]): i for i in range(n - 2)} for w in pair]
+        both = sorted(a.keys() | b.keys())
+        for _ in range(64):
+            drawn = [both[i] for i in rng.permutation(len(both))]
+            own = [sorted([k for k in drawn if k in x][:2], key=x.get) for x in (a, b)]
+            expected.append(own[0] == own[1])
+    df = spark.createDataFrame(cases, "a string, b string")
+    a, b = [fingerprints.order_minhash(F.col(c)) for c in "ab"]
+    got = df.select(a.alias("a"), b.alias("b")).select("a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all([x >> 32 for x in r.a] == list(range(64)) for r in got)
+    assert np.mean([r.n for r in got]) == pytest.approx(np.mean(expected), abs=0.06)
+
+
+def test_selected_tuples_equal_brute_force(spark):
+    """Two k-mers from each bin's start on, around the circle of hashes."""
+    texts = ["a", "a b c d", " ".join(f"v{i}" for i in range(40)), "a b c " * 20, LONG[:20_000]]
+    df = documents(spark, texts).select(
+        fingerprints.numbered(fingerprints.kmers(F.col("text"))).alias("k"), fingerprints.order_minhash(F.col("text")).alias("s"))
+    rows = df.collect()
+    chosen, names = [], []
+    for r in rows:
+        hashes = [((x >> 31) + (1 << 32), x & fingerprints.PLACE) for x in r.k]
+        for b in range(64):
+            near = sorted(hashes, key=lambda x: (x[0] - (b << 27)) % (1 << 33))[:2]
+            chosen.append(([h - (1 << 32) & (1 << 33) - 1 for h, _ in sorted(near, key=lambda x: x[1])],))
+        names += [(b << 32, x) for b, x in enumerate(r.s)]
+    hashed = spark.createDataFrame(chosen, "c array<bigint>").select(F.xxhash64("c")).collect()
+    assert [x for _, x in names] == [b | h[0] & 0xFFFFFFFF for (b, _), h in zip(names, hashed, strict=True)]
+
+
 def test_occurrences_are_numbered(spark):
     texts = ["a b c " * 5, "a b c " * 6, "a b c"]
     got = documents(spark, texts).select("doc_id", fingerprints.numbered(fingerprints.kmers(F.col("text"))).alias("k")).collect()
