@@ -26,8 +26,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = [
     "clean_pages", "clean_articles", "cleaning_report", "url_dedup", "title_dedup", "normalize_text",
-    "standardize_dates", "categorize", "categorize_corpus_rules", "categorize_news_items",
-    "keywords", "keywords_news_items", "sentiment", "entities",
+    "standardize_dates", "categorize", "categorize_corpus_rules",
+    "keywords", "sentiment", "entities",
     "article_table", "page_main_text", "enrich_feed_content", "stories", "rss_items", "article_cards",
     "json_posts", "union_feeds", "article_feed", "trending", "insights", "top_keywords",
     "stats_by_source", "confidence_by_category", "upsert_articles", "prune_newest_many",
@@ -56,10 +56,9 @@ def main() -> None:
             took = time.perf_counter() - start
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
-    analytics = ("categorize", "keywords", "sentiment", "article_table",
-                 "categorize_news_items", "keywords_news_items")
+    analytics = ("categorize", "keywords", "sentiment", "article_table")
     rates = {f"{n}_docs_per_sec": round(docs / times[n]) for n in analytics if n in times}
-    rates |= {f"{n}_chars_per_sec": round(chars / times[n]) for n in analytics[:4] if n in times}
+    rates |= {f"{n}_chars_per_sec": round(chars / times[n]) for n in analytics if n in times}
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")), "cpus": int(CPUS),
