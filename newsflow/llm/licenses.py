@@ -13,20 +13,26 @@ with probability 2 ** -16 at most.  A longer notice fills at least one window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions.arrays import bind
+from newsflow.llm.common import small_side, stage
 
 WIDTH = 3  # words of a shingle: short notices have five words
 WINDOW = 6  # shingles of a window
 STEP = 2  # shingles from one window to the next
 BANDS = 16
 CONTAINMENT = 0.8
+# Shingles of all notices together.  A shingle begins at most one window, so the
+# template table has at most 1 + BANDS longs for each: under 9 MB.
+MOST = 1 << 16
 
-# The usual wording of notices.
+# The usual wording of notices.  Those of a family (GPL, CC) are cut
+# to the words that tell them apart, so that one is not contained in another.
 NOTICES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -39,6 +45,33 @@ NOTICES: dict[str, str] = {
                       " provided that the following conditions are met",
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of"
                          " the License at",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "GPL-header": "terms of the GNU General Public License as published",
+    "LGPL-header": "terms of the GNU Lesser General Public License as published",
+    "LGPL-2.0-header": "terms of the GNU Library General Public License as published",
+    "AGPL-header": "terms of the GNU Affero General Public License as published",
+    "GPL-2.0-short": "GNU General Public License, version 2",
+    "GPL-3.0-short": "GNU General Public License, version 3",
+    "GPL-2.0-v": "GNU General Public License v2.0",
+    "GPL-3.0-v": "GNU General Public License v3.0",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "EPL": "made available under the terms of the Eclipse Public License",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "BSD-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
+           " hereby granted",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors"
+            " be held liable for any damages arising from the use of this software",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-NC-4.0-long": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-3.0": "Creative Commons Attribution 3.0 Unported",
+    "CC-BY-SA-3.0": "Creative Commons Attribution-ShareAlike 3.0 Unported",
+    "CC0-1.0": "CC0 1.0 Universal Public Domain Dedication",
+    "CC0-waiver": "has waived all copyright and related or neighboring rights to this work",
 }
 
 
@@ -80,12 +113,21 @@ def band_keys(hashes: Column, step: int) -> Column:
     return F.when(F.size(hashes) > 0, bind(hashes, of)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _templates(spark: SparkSession, notices: Mapping[str, str]) -> list:
-    """Shingles and band keys of each notice: a bounded table of its own."""
+def _templates(spark: SparkSession, notices: Mapping[str, str]) -> DataFrame:
+    """Shingles and band keys of each notice: a staged table of bounded size."""
+    if not notices:
+        raise ValueError("no notices to look for")
     rows = spark.createDataFrame(list(notices.items()), "license string, text string")
     hashes = shingle_hashes(plain_words(F.col("text")))
-    return rows.select("license", F.array_distinct(hashes).alias("shingles"),
-                                   band_keys(hashes, 1).alias("keys")).collect()
+    table = stage(rows.select(
+        "license", F.array_distinct(hashes).alias("shingles"), band_keys(hashes, 1).alias("template_keys")), "templates")
+    sizes = table.select("license", F.size("shingles").alias("n")).collect()
+    short = [r["license"] for r in sizes if r["n"] < 3]
+    if short:
+        raise ValueError(f"notices need three different shingles: {short}")
+    if sum(r["n"] for r in sizes) > MOST:
+        raise ValueError(f"notices have more than {MOST} shingles")
+    return table
 
 
 def _longs(values) -> Column:
@@ -100,32 +142,25 @@ def license_scan(
     the notices they contain: at least ``containment`` of a notice's distinct
     shingles occur in the whole text.
 
-    Texts without a single shingle of any notice, nearly all, are left out
-    before any window is hashed; they cannot reach the containment.  A null or
-    short text contains nothing.  Every input row counts, repeated ones too.
+    Texts with fewer shingles of any notices than the shortest one needs, nearly
+    all, are left out before any window is hashed; they cannot reach the
+    containment.  The others meet the table of templates, which is small enough
+    to be broadcast, where they have a band key in common.  A null or short text
+    contains nothing.  Every input row counts, repeated ones too.
     """
     templates = _templates(docs.sparkSession, notices)
-    if not templates:
-        raise ValueError("no notices to look for")
-    short = [t["license"] for t in templates if len(t["shingles"]) < 3]
-    if short:
-        raise ValueError(f"notices need three different shingles: {short}")
+    stored = templates.select("shingles", "template_keys").collect()
+    known = _longs(sorted({s for t in stored for s in t["shingles"]}))
+    keys = _longs(sorted({k for t in stored for k in t["template_keys"]}))
+    least = min(max(1, math.ceil(containment * len(t["shingles"]) - 1e-9)) for t in stored)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), shingle_hashes(plain_words(text)).alias("h"))
-    known = _longs(sorted({s for t in templates for s in t["shingles"]}))
-    rows = rows.where(F.arrays_overlap("h", known))
-    keys = sorted({k for t in templates for k in t["keys"]})
-    rows = rows.withColumn("keys", F.array_intersect(band_keys(F.col("h"), STEP), _longs(keys)))
-    # a few templates: their keys and shingles are constants of the plan
-    each = F.array(*[
-        F.struct(F.lit(t["license"]).alias("license"), F.lit(len(t["shingles"])).cast("bigint").alias("n_shingles"),
-                 F.arrays_overlap("keys", _longs(t["keys"])).alias("retrieved"),
-                 _longs(t["shingles"]).alias("shingles"))
-        for t in templates
-    ])
-    found = rows.select("doc_id", "h", F.explode(F.filter(each, lambda t: t["retrieved"])).alias("t"))
-    n_found = F.size(F.array_intersect("h", "t.shingles")).cast("bigint")
+    rows = rows.where(bind(F.col("h"), lambda h: F.when(
+        F.arrays_overlap(h, known), F.size(F.array_intersect(h, known)) >= least).otherwise(False)))
+    rows = rows.withColumn("keys", F.array_intersect(band_keys(F.col("h"), STEP), keys))
+    found = rows.join(small_side(templates), F.arrays_overlap("keys", "template_keys"))
+    n_found = F.size(F.array_intersect("h", "shingles")).cast("bigint")
     out = found.select(
-        "doc_id", F.col("t.license").alias("license"), F.col("t.n_shingles").alias("n_shingles"), n_found.alias("n_found"))
+        "doc_id", "license", F.size("shingles").cast("bigint").alias("n_shingles"), n_found.alias("n_found"))
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(
         F.col("containment") >= containment)

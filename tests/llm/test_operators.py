@@ -392,6 +392,38 @@ def test_licenses_equal_brute_force(spark, sf_dir):
     assert {(r.doc_id, r.license, r.n_found) for r in rows} == expected and expected
 
 
+def test_usual_notices_are_found(spark):
+    gpl = ("This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public"
+           " License as published by the Free Software Foundation, either version 3 of the License, or (at your option)"
+           " any later version.")
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = {
+        gpl.format("program", ""): {"GPL-header"},
+        gpl.format("library", "Lesser "): {"LGPL-header"},
+        gpl.format("program", "Affero "): {"AGPL-header"},
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+        " distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": {"MPL-2.0"},
+        cc.format(""): {"CC-BY-4.0"}, cc.format("-ShareAlike"): {"CC-BY-SA-4.0"},
+        cc.format("-NonCommercial"): {"CC-BY-NC-4.0-long"}, cc.format("-NonCommercial-ShareAlike"): set(),
+        "Licensed under CC BY 4.0.": {"CC-BY-4.0-short"}, "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0"},
+        "Dedicated under CC0 1.0 Universal Public Domain Dedication.": {"CC0-1.0"},
+        "This is free and unencumbered software released into the public domain.": {"Unlicense"},
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice appears in all copies.": {"ISC"},
+        "Released under the GNU General Public License, version 2.": {"GPL-2.0-short"},
+    }
+    around = " ".join(f"w{i}" for i in range(100))
+    rows = licenses.license_scan(documents(spark, [f"{around} {t} {around}" for t in cases])).collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r.doc_id].add(r.license)
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    alone = licenses.license_scan(documents(spark, list(licenses.NOTICES.values()))).where("containment = 1").collect()
+    assert {r.license for r in alone if r.license == list(licenses.NOTICES)[r.doc_id]} == set(licenses.NOTICES)
+    with pytest.raises(ValueError, match="shingles"):
+        licenses.license_scan(documents(spark), notices={"x": "two words"})
+
+
 def test_licenses_odd_rows(spark):
     line = "Released under the MIT License."
     docs = documents(spark, [*ODD, line, "x " * 5000 + line.upper() + " y" * 5000, line + "\n" + line, "released under the"])
