@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsflow.llm.chat import ChatTemplate, format_conversations, loss_text, read_back
+from newsflow.llm.filter_audit import filter_audit
+from newsflow.llm.fim import fim_digests
 from newsflow.llm.fingerprints import edited_fingerprints
 from newsflow.llm.jaccard import jaccard_components
 from newsflow.llm.licenses import license_scan
@@ -20,6 +22,7 @@ from newsflow.llm.oracle import ORACLE  # noqa: F401
 from newsflow.llm.packing import pack
 from newsflow.llm.quality import quality_rules
 from newsflow.llm.suffix_dedup import suffix_dedup
+from newsflow.llm.toxicity import toxicity
 from newsflow.llm.url_filter import url_filter
 
 
@@ -102,6 +105,24 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle outputs of all documents, digested and restored."""
+    found = fim_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders, by language."""
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by a model of the labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, _table(spark, sf_dir, "labels"), drop=("text",))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_score": op2_ngram_score,
@@ -113,5 +134,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_order_minhash": op10_order_minhash,
+    "op11_fim": op11_fim,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
     "pipeline": corpus_pipeline.run,
 }

@@ -12,7 +12,7 @@ from newsflow.llm.queries import ORACLE, QUERIES
 
 def test_registered():
     assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
-    assert {f"op{n}_" for n in range(1, 11)} == {q.partition("_")[0] + "_" for q in QUERIES if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.partition("_")[0] + "_" for q in QUERIES if q.startswith("op")}
 
 
 @pytest.fixture(scope="module")
