@@ -156,10 +156,17 @@ def drop_between(text: Column, opener: str, closer: str, instead: str, stray: st
 
 def drop_hidden(text: Column, instead: str = MARK) -> Column:
     """Comments and elements without visible text, one kind after the other."""
-    text = drop_between(text, "<!--", "-->", instead, "-->")
-    for name in HIDDEN:
-        text = _drop_element(text, name, instead)
-    return text
+
+    def elements(rest: Column) -> Column:
+        for name in HIDDEN:
+            rest = _drop_element(rest, name, instead)
+        return rest
+
+    text = F.when(F.contains(text, F.lit("-->")), drop_between(text, "<!--", "-->", instead, "-->")).otherwise(text)
+    # most texts close none of these elements: one search says so for all of them
+    closer = F.lit(rf"(?i)</(?:{'|'.join(HIDDEN)})\s*+>")
+    return bind(text, lambda t: F.when(
+        F.contains(t, F.lit("</")) & F.rlike(t, closer), elements(t)).otherwise(t))
 
 
 def _drop_element(text: Column, name: str, instead: str) -> Column:

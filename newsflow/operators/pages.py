@@ -17,24 +17,49 @@ BLOCK_TAG = r"(?i)</?(?:p|br|h[1-6]|div|li|ul|ol|tr|table|blockquote|pre|section
 ANY_TAG = r"<[^<>]*+>"
 
 
-def _meta_content(html: Column, attribute: str, value: str) -> Column:
-    """``content`` of a meta element, whichever attribute comes first."""
-    value = value.replace(".", r"\.")
-    after = rf"(?is)<meta\b[^<>]*\b{attribute}=[\"']{value}[\"'][^<>]*\bcontent=[\"']([^\"']*)[\"']"
-    before = rf"(?is)<meta\b[^<>]*\bcontent=[\"']([^\"']*)[\"'][^<>]*\b{attribute}=[\"']{value}[\"']"
-    return F.coalesce(
-        F.nullif(F.regexp_extract(html, after, 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, before, 1), F.lit("")),
-    )
+def _meta_content(tags: Column, attribute: str, value: str) -> Column:
+    """``content`` of the first meta element with the attribute's value before
+    or, if there is none, behind its content; the last content of such an element
+    counts.  ``tags``: what follows each ``<meta``.
+
+    Linear: every pattern begins at a tag and looks once for the attribute and
+    once, from the tag's end, for the content, without trying other attributes.
+    """
+    wanted = rf"\b{attribute}=[\"']{value.replace('.', chr(92) + '.')}[\"']"
+    content = r"\bcontent=[\"']([^\"']*)[\"']"
+    behind = rf"(?is)\A(?>[^<>]*?{wanted})[^<>]*{content}"
+    # the last content, or the last one that has the attribute somewhere behind it
+    last = rf"(?is)\A(?>[^<>]*{content})[^<>]*{wanted}"
+    upto = rf"(?is)\A[^<>]*{wanted}"
+    inner = rf"(?is)\A[^<>]*{content}"
+
+    def first(own: Column, read) -> Column:
+        # later tags aren't looked at when one has matched
+        found = F.aggregate(own, F.lit(None).cast("string"), lambda x, tag: F.coalesce(x, read(tag)))
+        return F.nullif(found, F.lit(""))
+
+    def taken(text: Column, pattern: str) -> Column:
+        return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
+
+    def before(tag: Column) -> Column:
+        return F.coalesce(taken(tag, last), bind(F.regexp_extract(tag, upto, 0), lambda head: taken(head, inner)))
+
+    def either(own: Column) -> Column:
+        return F.coalesce(first(own, lambda tag: taken(tag, behind)), first(own, before))
+
+    named = F.lit(f"(?i){value}")
+    return bind(
+        F.filter(tags, lambda tag: F.contains(F.lower(tag), F.lit("content=")) & F.rlike(tag, named)), either)
 
 
 def image_url(html: Column) -> Column:
     """Open Graph image, else the card image, else null."""
+    tags = F.slice(F.split(html, r"(?i)<meta\b"), 2, 1 << 30)
     return decode_references(
-        F.coalesce(
-            _meta_content(html, "property", "og:image"),
-            _meta_content(html, "name", "twitter:image"),
-        )
+        bind(tags, lambda own: F.coalesce(
+            _meta_content(own, "property", "og:image"),
+            _meta_content(own, "name", "twitter:image"),
+        ))
     )
 
 
@@ -80,10 +105,14 @@ def main_text(html: Column) -> Column:
     The rule is this engine's own.  Nested advertisement boxes end at their
     first closing tag.
     """
+
+    def cleared(page: Column) -> Column:
+        for tag in BOILERPLATE:
+            page = _without(page, rf"(?i)<{tag}\b", f"(?i)</{tag}>", f"</{tag}>")
+        return _without(page, ADVERTISEMENT, "(?i)</div>", "</div>")
+
     body = drop_between(F.coalesce(html, F.lit("")), "<!--", "-->", " ", "-->")
-    for tag in BOILERPLATE:
-        body = _without(body, rf"(?i)<{tag}\b", f"(?i)</{tag}>", f"</{tag}>")
-    body = _without(body, ADVERTISEMENT, "(?i)</div>", "</div>")
+    body = bind(body, lambda page: F.when(F.contains(page, F.lit("</")), cleared(page)).otherwise(page))
 
     def container(page: Column) -> Column:
         found = [F.nullif(element_text(page, tag, last=True), F.lit("")) for tag in CONTAINERS]

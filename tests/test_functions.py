@@ -177,9 +177,29 @@ HOSTILE = [
     "<td></td>" * N, "<!--" * N, "<!--" * N + "-->x", "<nav>a" * N, "<script>" * N, "<rt>a" * N, "<rt>a" * N + "</rt>b",
     "</script>" * N, "<a " + "b='c' " * 50_000 + ">x", "<a" * N, "<a href=\"" * N, "<" * N, "&" * N, "<title>" * N,
     "<article>" * N, "<meta property='og:image' " * N, "<div class=\"ad\">" * N, "<html " * N,
+    # one tag with very many attributes, whole or unfinished
+    "<meta " + "property='og:image' " * N, "<meta " + "content='x' " * N + ">", "<meta " + "content='x' property='og:imag' " * N,
+    "<meta " + "name='twitter:image' " * N + "content=", "<meta " + "content=' " * N, "<meta property='og:image' content='' " * N, "<meta content='' property='og:image'>" * N, "<html " + "lang= " * N,
 ]
 
 
+def test_meta_images(spark):
+    """Attribute before or behind its content, several of both, signs in values, unfinished tags."""
+    cases = {
+        "<meta property='og:image' content='a'>": "a", "<meta content=\"b\" property=\"og:image\">": "b",
+        "<META x Property='og:image' content='c' content='d'>": "d", "<meta content='a' content='e' property='og:image'>": "e",
+        "<meta content='a' property='og:image' content='f'>": "f", "<meta content='a>b' property='og:image'>": "a>b",
+        "<meta property='og:image' content=''><meta property='og:image' content='x'>": None,
+        "<meta property='og:image'><meta content='n'>": None, "<meta property='og:image:alt' content='n'>": None,
+        "<meta name='twitter:image' content='t'><meta content='o' property='og:image'>": "o",
+        "<meta name='twitter:image' content='t'>": "t", "<meta name='twitter_image' content='t'>": None,
+        "<meta content='a' property='og:image' y content='unfinished": "a", "<meta content='p' property='og:image' q><meta property='og:image' content='z'>": "z",
+        "<metadata property='og:image' content='n'>": None, "no tag": None, "": None, None: None,
+        "<meta content='1' property='og:image' property='og:image'><i>": "1", "<meta <meta property='og:image' content='w'": "w",
+    }
+    assert dict(zip(cases, column(spark, list(cases), image_url), strict=True)) == cases
+
+
 @pytest.mark.parametrize("cleaner", [T.normalize_text, T.joined_text, main_text, image_url, page_title])
 def test_hostile_markup_takes_linear_time(spark, cleaner):
     column(spark, ["<p>warm</p>"], cleaner)
