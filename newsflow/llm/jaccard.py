@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.llm import kernels as K
-from newsflow.llm.common import components, small_side, stage, text_batches, travels
+from newsflow.llm.common import components, small_side, stage, staging, text_batches, travels
 from newsflow.llm.prefix_tree import PrefixTree
 from newsflow.llm.setjoin_kernels import segment_signatures
 
@@ -52,6 +52,21 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.nd
         yield ids[first:last], np.concatenate(distinct), start
 
 
+def _sized(width: int):
+    """Sizes of the sets of tagged rows."""
+
+    def run(batches):
+        for batch in batches:
+            tags, at = batch.column(2), 0
+            for ids, _, start in _sets(batch, width):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), tags.slice(at, len(ids)), pa.array(np.diff(start), pa.int64())],
+                    names=["doc", "tag", "n"])
+                at += len(ids)
+
+    return run
+
+
 def _described(width: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -155,13 +170,37 @@ def jaccard_components(
     sets of ``width``-word shingles (A-Z lower-cased, whole text); the component
     is the smallest id reachable by links.  Null or empty texts have an empty
     set and link with nothing.  Rows without an id are left out; rows that
-    repeat an id count as one document, the one with the largest set.
+    repeat an id count as one document, the one with the largest set, of equally
+    large ones that whose text has the smallest hash.  Columns other than id and
+    text aren't read; a table without rows gives none.
     """
     spark = docs.sparkSession
     text_batches(spark)
+    with staging(spark) as own:
+        return _components(docs, id_col, text_col, width, percent, own)
+
+
+def _one_text(rows: DataFrame, width: int, own) -> DataFrame:
+    """One text for each id: of different ones that with the largest set, then
+    the smallest hash.  Ids are compared by narrow rows; most corpora have none
+    that need more."""
+    tagged = rows.withColumn("tag", F.xxhash64("text"))
+    several = own(tagged.groupBy("doc").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("doc"),
+                  "several")
+    if several.isEmpty():
+        return rows
+    sets = tagged.join(several, "doc", "left_semi").select("doc", "text", "tag").mapInArrow(
+        _sized(width), "doc bigint, tag bigint, n bigint")
+    best = own(sets.groupBy("doc").agg(F.max("n").alias("n")), "largest")
+    best = own(sets.join(best, ["doc", "n"]).groupBy("doc").agg(F.min("tag").alias("tag")), "chosen")
+    return rows.join(several, "doc", "left_anti").unionByName(
+        tagged.join(best, ["doc", "tag"], "left_semi").select("doc", "text"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, own) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("doc IS NOT NULL")
-    described = stage(
+    rows = _one_text(rows.where("doc IS NOT NULL"), width, own)
+    described = own(
         rows.mapInArrow(
             _described(width, percent),
             "doc bigint, n bigint, high bigint, low bigint, signatures array<bigint>",
@@ -171,29 +210,29 @@ def jaccard_components(
     # 1. exact copies: one representative for each distinct set
     filled = described.where("n > 0")
     first = filled.groupBy("high", "low").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
-    copies = stage(
+    copies = own(
         filled.select("doc", "high", "low").join(first.where("copies > 1"), ["high", "low"])
         .where("doc <> first").select(F.col("doc").alias("u"), F.col("first").alias("v")),
         "copies",
     )
     # 2. units: documents that share a segment with the smallest one that has it
     signs = filled.select("doc", F.explode("signatures").alias("s"))
-    groups = stage(
+    groups = own(
         signs.groupBy("s").agg(F.min("doc").alias("hub"), F.max("doc").alias("last"), F.count("*").alias("docs"))
         .where("hub <> last").select(F.when(F.col("docs") > 2, F.col("s")).alias("s"), "hub", "last"),
         "groups",
     )
     # most groups are two documents; the members of the others are looked up
     pairs = groups.where("s IS NULL").select("hub", F.col("last").alias("doc"))
-    hubs = stage(groups.where("s IS NOT NULL").select("s", "hub"), "hubs")
+    hubs = own(groups.where("s IS NOT NULL").select("s", "hub"), "hubs")
     shared = signs.join(small_side(hubs), "s").select("hub", "doc").unionByName(pairs).distinct()
     lone = small_side(copies.select(F.col("u").alias("doc")))
-    members = stage(shared.where("hub <> doc").join(lone, "doc", "left_anti"), "members")
+    members = own(shared.where("hub <> doc").join(lone, "doc", "left_anti"), "members")
     # a hub may be a copy: its representative shares the same segments
     members = members.join(copies.select(F.col("u").alias("hub"), F.col("v").alias("rep")), "hub", "left").select(
         F.coalesce("rep", "hub").alias("hub"), "doc").where("hub <> doc").distinct()
-    members = stage(members, "members")
-    wanted = stage(members.select(F.explode(F.array("hub", "doc")).alias("doc")).distinct(), "wanted")
+    members = own(members, "members")
+    wanted = own(members.select(F.explode(F.array("hub", "doc")).alias("doc")).distinct(), "wanted")
     sets = rows.join(small_side(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(
         _packed(width), "doc bigint, members binary"
     )
@@ -201,20 +240,20 @@ def jaccard_components(
     # 3. every member against its hub, so many members at once
     load = members.join(sizes, "doc").groupBy("hub").agg(F.sum("n").alias("load"), F.count("*").alias("docs"))
     cuts = F.ceil(F.greatest(F.col("docs") / BLOCK_SETS, F.col("load") / BLOCK_MEMBERS)).cast("bigint")
-    load = stage(load.select("hub", cuts.alias("cuts")), "load")
+    load = own(load.select("hub", cuts.alias("cuts")), "load")
     cut = members.join(load, "hub").withColumn("cut", F.pmod(F.xxhash64("doc"), "cuts"))
     probe = cut.select("hub", "cut", "doc", F.lit(2).alias("part"))
     index = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).select(
         "hub", "cut", F.col("hub").alias("doc"), F.lit(1).alias("part"))
-    stars = stage(_join_tiles(probe.unionByName(index), sets, percent), "stars")
-    settled = stage(components(stars), "settled")
+    stars = own(_join_tiles(probe.unionByName(index), sets, percent), "stars")
+    settled = components(stars)
     # 4. the rest: blocks of members in different components, pair by pair
     named = members.unionByName(members.select("hub", F.col("hub").alias("doc")).distinct())
     named = named.join(settled.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "component", F.coalesce("component", "doc"))
     open_units = named.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"),
                                           F.count("*").alias("docs")).where("a <> b AND docs > 2")
-    open_rows = stage(
+    open_rows = own(
         named.join(open_units.select("hub"), "hub").join(sizes, "doc")
         .select("hub", "doc", "component", "n"), "open")
     # a component with many members in a unit has blocks of its own
@@ -224,7 +263,7 @@ def jaccard_components(
         "own", F.when(F.col("docs") >= BLOCK_SETS // 2, F.col("component")).otherwise(mixed))
     blocked = open_rows.join(parts.drop("docs"), ["hub", "component"])
     cuts = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_MEMBERS)).cast("bigint")
-    groups = stage(blocked.groupBy("hub", "own").agg(cuts.alias("cuts")), "groups")
+    groups = own(blocked.groupBy("hub", "own").agg(cuts.alias("cuts")), "groups")
     block = F.struct("own", "cut").alias("block")
     blocks = groups.select("hub", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     blocks = blocks.select("hub", block)
@@ -239,10 +278,10 @@ def jaccard_components(
     tiles = pairs.select("hub", "left", "right", side.alias("s")).select("hub", "left", "right", "s.*")
     placed = blocked.join(groups, ["hub", "own"]).withColumn("cut", F.pmod(F.xxhash64("doc"), "cuts"))
     placed = placed.select("hub", "doc", block)
-    rest = stage(_join_tiles(tiles.join(placed, ["hub", "block"]).drop("block"), sets, percent), "links")
+    rest = own(_join_tiles(tiles.join(placed, ["hub", "block"]).drop("block"), sets, percent), "links")
     links = stars.unionByName(rest).unionByName(copies)
-    found = stage(components(links), "components")
-    ids = described.groupBy("doc").agg(F.max("n").alias("n_shingles"))
+    found = components(links)
+    ids = stage(described.groupBy("doc").agg(F.max("n").alias("n_shingles")), "sizes")
     return ids.join(small_side(found.withColumnRenamed("node", "doc")), "doc", "left").select(
         "doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import fresh_name, small_side, stage
+from newsflow.llm.common import fresh_name, small_side, stage, staging
 from newsflow.llm.quality import words_of
 
 # A document's topic is the list with most of its words; the first one of a tie.
@@ -100,7 +100,12 @@ def rake(
     ends when no margin is off by more than ``tolerance`` of its target, or,
     where targets contradict each other, after ``sweeps``.
     """
-    goals = {d: stage(_targets(cells, d, (targets or {}).get(d)), "targets") for d in DIMENSIONS}
+    with staging(cells.sparkSession) as own:
+        return stage(_raked(cells, targets, sweeps, tolerance, own), "weights")
+
+
+def _raked(cells: DataFrame, targets, sweeps: int, tolerance: float, own) -> DataFrame:
+    goals = {d: own(_targets(cells, d, (targets or {}).get(d)), "targets") for d in DIMENSIONS}
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
         return cells.withColumn("weight", F.lit(1.0))
@@ -111,7 +116,7 @@ def rake(
                 goals[d], d).select(d, F.when(F.col("mass") > 0, F.col("share") * float(total) / F.col("mass"))
                                     .otherwise(F.lit(0.0)).alias("factor"))
             now = now.join(margin, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = stage(now.select(*DIMENSIONS, "tokens", "weight"), "raked")
+        now = own(now.select(*DIMENSIONS, "tokens", "weight"), "raked")
         # the last dimension is exact after its turn: the first ones show the deviation
         off = max(
             now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass")).join(goals[d], d)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.llm import kernels as K
-from newsflow.llm.common import fresh_name, small_side, stage, text_batches, travels
+from newsflow.llm.common import fresh_name, small_side, stage, staging, text_batches, travels
 from newsflow.llm.run_index import RunIndex
 
 travels(__name__)
@@ -181,16 +181,16 @@ def _bucket(length: int):
     return run
 
 
-def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
+def _hot_spans(hot: DataFrame, length: int, own) -> DataFrame:
     """Repeated windows of anchors with very many occurrences, by aggregation.
     Their contexts are distinct already."""
     where = F.struct("doc", "at")
     shift = F.explode(F.sequence(F.lit(0), F.octet_length("text") - length)).alias("o")
-    own = F.expr(f"substring(text, o + 1, {length})")
-    window = stage(
+    part = F.expr(f"substring(text, o + 1, {length})")
+    window = own(
         hot.select("h", "place", "doc", "at", "text", shift).select(
             "h", (F.col("place") - F.col("o")).alias("place"), "doc", (F.col("at") + F.col("o")).alias("at"),
-            F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b")),
+            F.xxhash64(part).alias("a"), F.xxhash64(F.lit(1), part).alias("b")),
         "hot-windows",
     )
     keys = ["h", "place", "a", "b"]
@@ -203,17 +203,22 @@ def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, length: int)
     """(doc, spans array<struct<start, stop>>): bytes covered by a ``length``-byte
     string that starts earlier too.  Start and stop carry the variant."""
     text_batches(docs.sparkSession)
+    with staging(docs.sparkSession) as own:
+        return stage(_spans_of(docs, id_col, text_col, length, own), "spans")
+
+
+def _spans_of(docs: DataFrame, id_col: str, text_col: str, length: int, own) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
     anchors = rows.mapInArrow(_anchors(length), ANCHOR)
-    names = stage(
+    names = own(
         anchors.groupBy("h").agg(
             F.count("*").alias("copies"), F.min("doc").alias("first"),
             (F.min("context") == F.max("context")).alias("uniform"),
         ).where("copies > 1"),
         "anchors",
     )
-    found = stage(
+    found = own(
         anchors.join(names, "h").where(f"NOT uniform OR doc > first OR shape >= {AGAIN}").select(
             "doc", "at", "shape", F.when(~F.col("uniform"), F.col("h")).alias("h"),
             F.when(~F.col("uniform"), F.col("context")).alias("context"),
@@ -225,14 +230,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, length: int)
     # of an anchor with different contexts, equal ones again repeat as a whole but for the first
     mixed = found.where("h IS NOT NULL")
     first = mixed.groupBy("h", "context").agg(F.min("doc").alias("first"))
-    placed = stage(
+    placed = own(
         mixed.join(first, ["h", "context"]).withColumn("whole", F.expr(f"doc > first OR shape >= {AGAIN}"))
         .drop("first", "context"),
         "mixed-anchors",
     )
     whole = found.where("h IS NULL").select(*span).unionByName(placed.where("whole").select(*span))
     wanted = placed.where("NOT whole")
-    ids = small_side(stage(wanted.select("doc").distinct(), "mixed-docs"))
+    ids = small_side(own(wanted.select("doc").distinct(), "mixed-docs"))
     runs = wanted.groupBy("doc").agg(F.collect_set(F.struct("h", "at", "shape", "copies")).alias("runs"))
     contexts = rows.join(ids, "doc", "left_semi").join(runs, "doc").select("doc", "text", "runs").mapInArrow(
         _contexts, CONTEXT)
@@ -240,9 +245,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, length: int)
     cold = contexts.where(F.col("copies") <= HOT).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket"))
     spans = whole.unionByName(cold.applyInArrow(lambda t: _bucket(length)(t), SPANS))
     if wanted.where(F.col("copies") > HOT).limit(1).count():
-        spans = spans.unionByName(_hot_spans(contexts.where(F.col("copies") > HOT), length))
+        spans = spans.unionByName(_hot_spans(contexts.where(F.col("copies") > HOT), length, own))
     listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return stage(listed.mapInArrow(_merged_spans, listed.schema), "spans")
+    return listed.mapInArrow(_merged_spans, listed.schema)
 
 
 def _merged_spans(batches):
