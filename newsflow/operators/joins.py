@@ -112,7 +112,9 @@ def match_existing(batch: DataFrame, target: DataFrame) -> DataFrame:
     )
     hashed = batch.withColumn("_key", F.coalesce("hash_id", own)).join(by_hash, "_key", "left")
     open_url = F.when(F.col("_by_hash").isNull(), F.col("url"))
-    asked = hashed.select(open_url.alias("url")).where(F.col("url").isNotNull()).distinct()
+    # an anti join is planned with the batch's size, an outer one with a product
+    asked = batch.where(F.col("url").isNotNull()).select("hash_id", "url").join(
+        by_hash.select(F.col("_by_hash").alias("hash_id")), "hash_id", "left_anti").select("url").distinct()
     # several stored rows with one url: the smallest hash stands for them
     by_url = (
         target.select("url", "hash_id")

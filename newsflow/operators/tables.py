@@ -1,14 +1,12 @@
 """Table maintenance: keyed upsert, newest-N retention, run log.
 
 Plain Parquet has no MERGE.  An upsert is therefore a query from (target,
-batch) to the new table; ``StoredTable`` runs it on the hash buckets the batch
-touches and records the new state in a manifest.
+batch) to the new rows; ``ParquetTable`` runs it on the hash buckets the batch
+touches and overwrites these partitions, ``CatalogTable`` leaves it to MERGE.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -16,17 +14,19 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.merge import MergeIntoWriter
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from newsflow import rules as R
 from newsflow.functions.arrays import empty_strings
 from newsflow.operators.cleaning import ORD
 from newsflow.operators.joins import match_existing
 from newsflow.schemas import ARTICLE_TABLE, SCRAPE_LOG, SOURCE
-from newsflow.session import staged
+from newsflow.session import discard, staged, staging
 from newsflow.sources.registry import default_sources, register_sources
 
 PROTECTED = frozenset({"id", "created_at", "source_id"})
-BUCKETS = 16  # of a stored table, by hash of the article key
+BUCKETS = 16  # of a stored table by default, by hash of the article key; take more for a large one
 
 
 def _insert_defaults(now: Column) -> dict[str, Column]:
@@ -87,8 +87,7 @@ def upsert_articles(
     """
     now = F.lit(now) if isinstance(now, datetime) else now
     prepared = stage(prepare_batch(batch, target), "prepared")
-    last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if "id" in target.columns else 0
-    return merge_prepared(target, prepared, now, last_id)
+    return merge_prepared(target, prepared, now, _last_id(target))
 
 
 def bucket_of(key: Column | str, buckets: int = BUCKETS) -> Column:
@@ -133,6 +132,13 @@ def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column, last_id:
             for c in target.columns
         ]
     )
+    return kept.unionByName(inserted_rows(target, prepared, now, last_id))
+
+
+def inserted_rows(target: DataFrame, prepared: DataFrame, now: Column, last_id: int) -> DataFrame:
+    """The new articles of a prepared batch as rows of the target."""
+    types = {f.name: f.dataType for f in target.schema.fields}
+    incoming = [c for c in prepared.columns if c in types]
     defaults = _insert_defaults(now)
 
     def inserted(c: str) -> Column:
@@ -151,7 +157,7 @@ def merge_prepared(target: DataFrame, prepared: DataFrame, now: Column, last_id:
     fresh = prepared.where(F.col("_target").isNull())
     if "id" in target.columns:
         fresh = numbered(fresh, last_id)
-    return kept.unionByName(fresh.select(*[inserted(c) for c in target.columns]))
+    return fresh.select(*[inserted(c) for c in target.columns])
 
 
 def upsert_stats(target: DataFrame, batch: DataFrame) -> DataFrame:
@@ -290,138 +296,166 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     return spark.read.schema(SCRAPE_LOG).parquet(log_path)
 
 
-# ------------------------------------------------------------- stored versions
-class Conflict(RuntimeError):
-    """Another writer has committed since the table was read."""
+# --------------------------------------------------------------- stored tables
+@dataclass(frozen=True)
+class ParquetTable:
+    """A table as a Parquet folder, partitioned by a hash bucket of ``key``.
 
-
-@dataclass
-class StoredTable:
-    """A table as Parquet files in hash buckets, and numbered manifests.
-
-    A manifest names the folders that make up a version.  It is created, never
-    overwritten, as the last act of a write, so a failed write leaves the table
-    as it was and the second of two writers is refused.  A write of some buckets
-    shares the others' files with the version before.  The last ``keep``
-    versions stay for readers that are still at work; folders that none of them
-    names are deleted.
-
-    ``buckets`` is a property of the table, by hash of ``key``.  Take so many
-    that one bucket is a convenient amount to rewrite.  ``partition_by`` lays
-    the files out by column as well, so that a filter on it prunes folders; the
-    rebalance splits a value that holds most of the rows and merges small ones.
+    Spark's dynamic partition overwrite replaces the buckets a batch touches;
+    the files of all others stay as they are.  Take so many ``buckets`` that one
+    of them is a convenient amount to rewrite; their number belongs to the table.
+    ``partition_by`` lays the files out by column as well, so that a filter on it
+    prunes folders.  There is one writer at a time, and a write that is killed
+    while Spark moves its files must be repeated: where that won't do, keep the
+    table in a catalog with MERGE (``CatalogTable``).
     """
 
     spark: SparkSession
     path: str
     schema: str = ARTICLE_TABLE
-    keep: int = 3
-    partition_by: tuple[str, ...] = ()
     buckets: int = BUCKETS
+    partition_by: tuple[str, ...] = ()
     key: str = "hash_id"
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark._jsc.hadoopConfiguration()
-        return folder.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
-
-    def _manifest(self, version: int) -> str:
-        return f"{self.path}/manifests/{version:08d}.json"
-
-    def versions(self) -> list[int]:
-        """Numbers of the versions."""
-        fs, path = self._fs()
-        folder = path(f"{self.path}/manifests")
-        if not fs.exists(folder):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-
-    def folders(self, version: int | None = None) -> dict[int, list[str]]:
-        """Folders of each bucket of a version, the newest by default."""
-        fs, path = self._fs()
-        stream = fs.open(path(self._manifest(self.versions()[-1] if version is None else version)))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return {int(k): v for k, v in json.loads(text).items()}
-
-    def _commit(self, version: int, folders: dict[int, list[str]]) -> None:
-        fs, path = self._fs()
-        try:
-            out = fs.create(path(self._manifest(version)), False)  # refuses to overwrite
-        except Exception as error:
-            raise Conflict(f"version {version} of {self.path} exists") from error
-        try:
-            out.write(bytearray(json.dumps(folders).encode()))
-        finally:
-            out.close()
-        for old in self.versions()[: -self.keep]:
-            fs.delete(path(self._manifest(old)), False)
-        used = {f.split("/")[0] for v in self.versions() for fs_ in self.folders(v).values() for f in fs_}
-        present = [status.getPath() for status in fs.listStatus(path(f"{self.path}/data"))]
-        writes = sorted((p for p in present), key=lambda p: p.getName())
-        for p in writes:  # a write that another process has under way is newer than this version
-            if p.getName() not in used and p.getName() < f"w={version:08d}":
-                fs.delete(p, True)
-
-    def create(self) -> "StoredTable":
-        """Create an empty table if there is none."""
-        if not self.versions():
-            self.write(self.spark.createDataFrame([], self.schema))
+    @property
+    def _fields(self) -> StructType:
+        return self.spark.createDataFrame([], self.schema).schema
+
+    def _bucket(self, key: Column) -> Column:
+        return bucket_of(key, self.buckets) if self.key in self._fields.names else F.lit(0)
+
+    def create(self) -> "ParquetTable":
+        """Make the folder if there is none; refuses a table that has been
+        written with another number of buckets."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        row = self._stored().limit(1).withColumn("_expected", self._bucket(F.col(self.key)) if self.key in self._fields.names
+                                                 else F.lit(0)).first()
+        if row is not None and row["_bucket"] != row["_expected"]:
+            raise ValueError(f"{self.path} does not have {self.buckets} buckets")
         return self
 
+    def _stored(self) -> DataFrame:
+        schema = StructType([*self._fields, StructField("_bucket", IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
+
     def read(self, only: set[int] | None = None) -> DataFrame:
-        """The newest version, or some buckets of it."""
-        fields = self.spark.createDataFrame([], self.schema).columns
-        paths = [
-            f"{self.path}/data/{f}" for b, own in self.folders().items()
-            if only is None or b in only for f in own
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
-        return reader.parquet(*paths).select(*fields)
-
-    def write(self, df: DataFrame, only: set[int] | None = None, base: int | None = None) -> None:
-        """A new version with the rows of ``df``; with ``only``, these are the
-        rows of the named buckets and the others stay.  ``base`` is the version
-        the rows were computed from (the newest by default)."""
-        last = (self.versions() or [0])[-1]
-        version = (last if base is None else base) + 1
-        fields = self.spark.createDataFrame([], self.schema).schema
-        keyed = self.key in fields.names
-        bucket = bucket_of(F.col(self.key), self.buckets) if keyed else F.lit(0)
-        ordered = df.select(*[F.col(f.name).cast(f.dataType) for f in fields], bucket.alias("_bucket"))
-        ordered = ordered.hint("rebalance", "_bucket", *self.partition_by)
-        write = f"w={version:08d}-{uuid.uuid4().hex}"
-        ordered.write.partitionBy("_bucket", *self.partition_by).parquet(f"{self.path}/data/{write}")
-        fs, path = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/data/{write}"))]
-        new = {int(n.partition("=")[2]): [f"{write}/{n}"] for n in names if n.startswith("_bucket=")}
-        if only is not None and not set(new) <= only:
-            raise ValueError(f"rows of buckets {sorted(set(new) - only)} in a write of {sorted(only)}")
-        kept = {} if only is None else {b: f for b, f in self.folders(version - 1).items() if b not in only}
-        self._commit(version, kept | new)
+        """The table, or some buckets of it."""
+        rows = self._stored()
+        if only is not None:
+            rows = rows.where(F.col("_bucket").isin(sorted(only)))
+        return rows.select(*self._fields.names)
+
+    def write(self, df: DataFrame, only: set[int] | None = None) -> None:
+        """Replace the table, or the named buckets, by the rows of ``df``, which
+        may be computed from the table itself: they are staged first."""
+        fields = self._fields
+        bucket = self._bucket(F.col(self.key)) if self.key in fields.names else F.lit(0)
+        parts = ["_bucket", *self.partition_by]
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in fields], bucket.alias("_bucket"))
+        with staging(self.spark) as stage:
+            new = stage(rows.hint("rebalance", *parts), "replaced")
+            folders = new.select(*parts).distinct().collect()  # at most the table's folders
+            if only is not None and not {r["_bucket"] for r in folders} <= only:
+                raise ValueError(f"rows of other buckets in a write of {sorted(only)}")
+            before = self._stored() if only is None else self._stored().where(F.col("_bucket").isin(sorted(only)))
+            gone = set(before.select(*parts).distinct().collect()) - set(folders)
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self.path)
+        for row in gone:  # folders in which nothing is left
+            names = "/".join(f"{c}={_folder_value(row[c])}" for c in parts)
+            discard(self.spark, f"{self.path}/{names}")
 
     def touched(self, keys: DataFrame) -> set[int]:
         """Buckets of the keys in the first column: at most ``buckets`` numbers."""
-        own = bucket_of(F.col(keys.columns[0]), self.buckets).alias("b")
+        own = self._bucket(F.col(keys.columns[0])).alias("b")
         return {r["b"] for r in keys.select(own).distinct().collect()}
 
+    def merge(self, prepared: DataFrame, now: Column) -> None:
+        """Upsert a batch that went through ``prepare_batch``: the buckets of its
+        articles are rewritten.  A row matched by URL takes the new hash and with
+        it another bucket."""
+        both = F.array(F.coalesce("_target", self.key), F.coalesce(self.key, "_target"))
+        touched = self.touched(prepared.select(F.explode(both)))
+        if touched:
+            self.write(merge_prepared(self.read(touched), prepared, now, _last_id(self.read())), touched)
+
+    def delete(self, keys: DataFrame) -> None:
+        """Delete the rows with these keys; only their buckets are rewritten."""
+        touched = self.touched(keys)
+        if touched:
+            gone = keys.select(F.col(keys.columns[0]).alias(self.key)).distinct()
+            self.write(self.read(touched).join(gone, self.key, "left_anti"), touched)
+
+
+def _folder_value(value) -> str:
+    """A partition value as Spark writes it into a folder's name."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    escaped = "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\\x7f{[]^' or ord(c) < 32 else c for c in str(value))
+    return escaped
+
+
+def _last_id(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if "id" in table.columns else 0
+
+
+@dataclass(frozen=True)
+class CatalogTable:
+    """The article table in a catalog whose tables support row-level changes
+    (Delta, Iceberg): the upsert is one MERGE, atomic and safe beside others."""
+
+    spark: SparkSession
+    name: str
+    schema: str = ARTICLE_TABLE
+    key: str = "hash_id"
+
+    def create(self) -> "CatalogTable":
+        if not self.spark.catalog.tableExists(self.name):
+            self.spark.createDataFrame([], self.schema).writeTo(self.name).create()
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def merger(self, prepared: DataFrame, now: Column) -> MergeIntoWriter:
+        """The MERGE of a batch that went through ``prepare_batch``; ``.merge()``
+        runs it.  Matched articles take every column the batch has, new ones are
+        added with defaults."""
+        target = self.read()
+        types = {f.name: f.dataType for f in target.schema.fields}
+        taken = [c for c in prepared.columns if c in types and c not in PROTECTED]
+        changed = prepared.where(F.col("_target").isNotNull()).select(
+            F.col("_target"), *[F.col(c).cast(types[c]).alias(c) for c in taken],
+            *[F.lit(None).cast(types[c]).alias(c) for c in target.columns if c not in taken])
+        fresh = inserted_rows(target, prepared, now, _last_id(target)).withColumn("_target", F.lit(None).cast("string"))
+        source = changed.unionByName(fresh).alias("batch")
+        table = self.name.split(".")[-1]
+        updates = {c: F.col(f"batch.{c}") for c in taken} | ({"updated_at": now} if "updated_at" in types else {})
+        return (
+            source.mergeInto(self.name, F.col(f"{table}.{self.key}") == F.col("batch._target"))
+            .whenMatched().update(updates)
+            .whenNotMatched().insert({c: F.col(f"batch.{c}") for c in target.columns})
+        )
+
+    def merge(self, prepared: DataFrame, now: Column) -> None:
+        self.merger(prepared, now).merge()
+
+    def delete(self, keys: DataFrame) -> None:
+        gone = keys.select(F.col(keys.columns[0]).alias("gone")).distinct()
+        table = self.name.split(".")[-1]
+        gone.mergeInto(self.name, F.col(f"{table}.{self.key}") == F.col("gone")).whenMatched().delete().merge()
+
 
 class Tables(NamedTuple):
-    articles: StoredTable
-    sources: StoredTable
+    articles: ParquetTable
+    sources: ParquetTable
 
 
 def init_tables(spark: SparkSession, path: str) -> Tables:
     """Open the tables under ``path``; what is missing is created, and default
     sources that are not registered yet are added."""
-    articles = StoredTable(spark, f"{path}/articles").create()
-    sources = StoredTable(spark, f"{path}/sources", SOURCE).create()
+    articles = ParquetTable(spark, f"{path}/articles").create()
+    sources = ParquetTable(spark, f"{path}/sources", SOURCE, buckets=1).create()
     registered = sources.read()
     missing = default_sources(spark).join(registered.select("name"), "name", "left_anti")
     if not missing.isEmpty():

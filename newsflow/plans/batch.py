@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from newsflow.operators.cleaning import ORD, to_records
 from newsflow.operators.joins import resolve_source
 from newsflow.operators.tables import (
-    Conflict,
-    StoredTable,
+    CatalogTable,
+    ParquetTable,
     count_prepared,
     log_run,
-    merge_prepared,
     prepare_batch,
     prune_newest,
     run_entry,
@@ -35,22 +34,21 @@ def prepare_records(
 def run_batch(
     source: str,
     raw: DataFrame,
-    table: StoredTable,
+    table: ParquetTable | CatalogTable,
     sources: DataFrame | None = None,
     log_path: str | None = None,
     run_id: int | str | None = None,
     max_articles: int | None = None,
     overwrite_scraped: bool = False,
     now: datetime | None = None,
-    attempts: int = 3,
 ) -> dict:
     """Ingest one feed and return its counts.
 
     The raw feed, the cleaned batch and its match against the table are written
     once and read back, so nothing is parsed or cleaned twice and a lost
     executor costs only its own tasks; they are deleted at the end.  Only the
-    table's buckets that the batch touches are rewritten.  If another writer
-    commits meanwhile, match and merge are repeated on its version.
+    table's buckets that the batch touches are rewritten, or it is one MERGE in a
+    catalog that has it.
 
     ``max_articles`` asks for retention: only so many articles stay, the newest
     generated ones.  All articles of a run have one generation time; among them
@@ -64,13 +62,9 @@ def run_batch(
         records = stage(prepare_records(feed, stamp, overwrite_scraped), "batch")
         if sources is not None:
             records = resolve_source(records, sources)
-        for attempt in range(attempts):
-            try:
-                counts = _merge(table, records, stamp, stage)
-                break
-            except Conflict:
-                if attempt + 1 == attempts:
-                    raise
+        prepared = stage(prepare_batch(records, table.read()), "prepared")
+        counts = count_prepared(records, prepared).first().asDict()
+        table.merge(prepared, stamp)
         pruned = 0 if max_articles is None else prune_table(table, max_articles)
         result = {"source": source, "scraped": feed.count(), **counts, "pruned": pruned}
     if log_path is not None:
@@ -83,37 +77,21 @@ def run_batch(
     return result
 
 
-def _merge(table: StoredTable, records: DataFrame, stamp: Column, stage) -> dict:
-    base = table.versions()[-1]
-    target = table.read()
-    prepared = stage(prepare_batch(records, target), "prepared")
-    counts = count_prepared(records, prepared).first().asDict()
-    # a row matched by URL takes the new hash and with it another bucket
-    both = F.array(F.coalesce("_target", "hash_id"), F.coalesce("hash_id", "_target"))
-    touched = table.touched(prepared.select(F.explode(both)))
-    if touched:
-        last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        merged = merge_prepared(table.read(touched), prepared, stamp, last_id)
-        table.write(merged, touched, base)
-    return counts
-
-
-def prune_table(table: StoredTable, n: int) -> int:
+def prune_table(table: ParquetTable | CatalogTable, n: int) -> int:
     """Keep the newest ``n`` articles of a table; the number deleted.  The
     cutoff comes from two narrow columns, and only buckets that lose rows are
     rewritten."""
-    base = table.versions()[-1]
     rows = table.read().select("hash_id", "generated_at").where(F.col("hash_id").isNotNull())
     with staging(table.spark) as stage:
         kept = prune_newest(rows, n, tie="hash_id")
         gone = stage(rows.join(kept.select("hash_id"), "hash_id", "left_anti").select("hash_id"), "pruned")
-        touched = table.touched(gone)
-        if touched:
-            table.write(table.read(touched).join(gone, "hash_id", "left_anti"), touched, base)
-        return gone.count()
+        number = gone.count()
+        if number:
+            table.delete(gone)
+        return number
 
 
-def run_one(feeds: Mapping[str, DataFrame], source: str, table: StoredTable, **options) -> dict:
+def run_one(feeds: Mapping[str, DataFrame], source: str, table: ParquetTable | CatalogTable, **options) -> dict:
     """Ingest the named feed; an unknown name is an error entry, as is a failure."""
     if source not in feeds:
         return {"error": f"no feed named {source!r}"}
@@ -123,7 +101,7 @@ def run_one(feeds: Mapping[str, DataFrame], source: str, table: StoredTable, **o
         return {"source": source, "error": str(error)}
 
 
-def run_all(feeds: Mapping[str, DataFrame], table: StoredTable, **options) -> list[dict]:
+def run_all(feeds: Mapping[str, DataFrame], table: ParquetTable | CatalogTable, **options) -> list[dict]:
     """Ingest all feeds in order."""
     return [run_one(feeds, source, table, **options) for source in feeds]
 

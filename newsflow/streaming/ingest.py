@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from newsflow import rules as R
 from newsflow.functions.urls import hash_id
-from newsflow.operators.tables import StoredTable, log_run, run_entry
+from newsflow.operators.tables import CatalogTable, ParquetTable, log_run, run_entry
 from newsflow.plans.batch import run_batch
 from newsflow.schemas import STORY
 from newsflow.sources.stories import parse_stories
@@ -23,7 +23,7 @@ def ingest_batch(
     rows: DataFrame,
     batch_id: int,
     source: str,
-    table: StoredTable,
+    table: ParquetTable | CatalogTable,
     parse: Parser,
     log_path: str,
     sources: DataFrame | None = None,
@@ -54,7 +54,7 @@ def ingest_batch(
 def stream_ingest(
     spark: SparkSession,
     source_dir: str,
-    table: StoredTable,
+    table: ParquetTable | CatalogTable,
     checkpoint: str,
     log_path: str,
     source: str = "hackernews",
