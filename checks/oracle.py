@@ -725,6 +725,25 @@ SELECT substr(sha256(url), 1, 24) AS hash_id, url, {normal_text("title")} AS tit
   {standard_category("category")} AS category, 'hackernews' AS source_name
 FROM by_title"""
 ORACLE["read_stories"] = ORACLE["stories"]
+for _name, _items in (("read_rss", "rss_items"), ("read_rss_categorised", "rss_categorised")):
+    ORACLE[_name] = f"SELECT * EXCLUDE (doc_id) FROM ({ORACLE[_items]})"
+ORACLE["stream_unique"] = """
+WITH RECURSIVE e AS (
+  SELECT event_id, epoch_us(ts) AS us, user_id, CAST(floor((floor(epoch_us(ts) / 1e6) - 1704067200) / 259200) AS INTEGER) AS day
+  FROM events),
+seen AS (
+  SELECT event_id, us, user_id, row_number() OVER (PARTITION BY user_id ORDER BY
+    CASE WHEN event_id % 7 = 0 THEN least(day + 1, 9) ELSE day END, us, event_id) AS n
+  FROM e WHERE NOT (day = 0 AND event_id % 13 = 0)),
+run AS (
+  SELECT user_id, n, us AS at, true AS passes, event_id FROM seen WHERE n = 1
+  UNION ALL
+  SELECT s.user_id, s.n, CASE WHEN s.us >= r.at + 432000000000 THEN s.us ELSE r.at END, s.us >= r.at + 432000000000, s.event_id
+  FROM run r JOIN seen s ON s.user_id = r.user_id AND s.n = r.n + 1)
+SELECT event_id, 'https://example.com/' || user_id AS url FROM run WHERE passes"""
+ORACLE["stream_quarantine"] = """
+SELECT 'hackernews' AS source, '{"type": "story", "id": ' || doc_id || ', "title": ' AS payload, 'not an item' AS reason
+FROM documents WHERE doc_id % 10 = 3"""
 ORACLE["write_raw"] = "SELECT source, count(*) AS n_articles, min(doc_id) AS first_doc FROM documents GROUP BY source"
 ORACLE["run_feeds_retained"] = """
 SELECT 0 AS run, 'documents' AS source, 100::BIGINT AS stored

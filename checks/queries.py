@@ -28,7 +28,7 @@ from newsflow.schemas import STORY
 from newsflow.session import fresh_path, staged
 from newsflow.sources import cards, feeds, posts, registry, stories
 from newsflow.sources.conform import conform_article, union_feeds
-from newsflow.streaming.ingest import stream_dedup, stream_ingest
+from newsflow.streaming.ingest import read_quarantine, stream_dedup, stream_ingest, stream_unique
 from newsflow.streaming.monitor import run_status, source_health
 
 ORD = C.ORD
@@ -240,6 +240,22 @@ def q_rss_items(spark, sf):
     return _rss_view(feeds.rss_articles(feeds.items_from_payloads(rss_payloads(spark, sf))))
 
 
+def _feed_files(spark, sf):
+    """The items as feed files, many items in each."""
+    folder = fresh_path(spark, "feeds")
+    rss_payloads(spark, sf).select("payload").repartition(3, F.xxhash64("payload")).write.text(folder)
+    return folder
+
+
+def q_read_rss(spark, sf):
+    """Feed files, cut into items by the reader."""
+    return _rss_view(feeds.read_rss(spark, _feed_files(spark, sf))).drop("doc_id")
+
+
+def q_read_rss_categorised(spark, sf):
+    return _rss_view(feeds.read_rss_categorised(spark, _feed_files(spark, sf), "Enterprise")).drop("doc_id")
+
+
 def q_rss_categorised(spark, sf):
     items = feeds.items_from_payloads(rss_payloads(spark, sf))
     return _rss_view(feeds.rss_articles_categorised(items, "Enterprise"))
@@ -910,6 +926,40 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("url")
 
 
+def q_stream_unique(spark, sf):
+    """Sightings in ten ticks of three days: every seventh comes a tick late, some of the first tick come
+    too late; an article passes again after five days."""
+    day = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200) / (3 * 86400))
+    seen = V.table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("https://example.com/"), F.col("user_id").cast("string")).alias("url"),
+        F.when((day == 0) & (F.col("event_id") % 13 == 0), 8)
+        .when(F.col("event_id") % 7 == 0, F.least(day + 1, F.lit(9))).otherwise(day).alias("tick"))
+    folder = fresh_path(spark, "ticks")
+    for tick in range(10):
+        seen.where(F.col("tick") == tick).drop("tick").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(seen.drop("tick").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = (
+        stream_unique(stream, "ts", "5 days", "7 days").writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start(f"{folder}/out")
+    )
+    query.awaitTermination()
+    return spark.read.schema(seen.drop("tick").schema).parquet(f"{folder}/out").select("event_id", "url")
+
+
+def q_stream_quarantine(spark, sf):
+    """Story lines, every tenth cut off in the middle, ingested in several ticks: what the quarantine holds."""
+    folder = fresh_path(spark, "lines")
+    line = F.when(F.col(ORD) % 10 == 3, F.concat(F.lit('{"type": "story", "id": '), F.col(ORD).cast("string"), F.lit(', "title": ')))
+    lines = story_payloads(spark, sf).select(F.coalesce(line, F.col("payload")).alias("value"))
+    lines.repartition(2, F.xxhash64("value")).write.text(f"{folder}/in")
+    table = M.init_tables(spark, f"{folder}/table").articles
+    stream_ingest(
+        spark, f"{folder}/in", table, f"{folder}/check", f"{folder}/log", max_files=1, quarantine=f"{folder}/bad",
+    ).awaitTermination()
+    return read_quarantine(spark, f"{folder}/bad")
+
+
 # ---------------------------------------------------------------- presentation
 def q_excerpts(spark, sf):
     return V.documents(spark, sf).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsflow import rules as R
@@ -12,8 +12,7 @@ from newsflow.operators.cleaning import ORD
 from newsflow.schemas import RSS_ITEM
 from newsflow.sources.conform import conform_article
 
-ITEM = r"(?s)<item\b.*?</item>"
-_POSITION_BITS = 20  # items per feed file
+ITEM = r"(?s)<item\b.*"  # of a text that ends before the item's closing tag
 
 
 def _first_text(*columns):
@@ -90,22 +89,26 @@ def items_from_payloads(payloads: DataFrame, column: str = "payload") -> DataFra
 
 
 def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of stored feed files, one feed response per file.
-
-    The order of arrival is the file name, then the position in the file; both
-    are facts of the data, so ``_ord`` is the same under any partitioning.
+    """Items of stored feed files, any number of feed responses in any number of
+    files.
+
+    Files are cut at the items' closing tags, which Spark can do from the middle
+    of a file, so a large one is read by several tasks.  The order of arrival is
+    the file's path, then the place in it: of each split only its first row's
+    number and its size are needed to number all items, so ``_ord`` is the same
+    under any partitioning and no item is shuffled.  Numbers have gaps.
     """
-    files = spark.read.text(path, wholetext=True)
-    ranks = spark.createDataFrame(
-        list(enumerate(sorted(files.inputFiles()))), "_rank bigint, _file string"
-    )
-    items = files.select(
-        F.input_file_name().alias("_file"),
-        F.posexplode(F.regexp_extract_all("value", F.lit(ITEM), F.lit(0))).alias("pos", "payload"),
-    ).join(ranks, "_file")
-    return items_from_payloads(
-        items.select((F.col("_rank") * F.lit(1 << _POSITION_BITS) + F.col("pos")).alias(ORD), "payload")
-    )
+    lines = spark.read.option("lineSep", "</item>").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"), "value")
+    splits = lines.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+    size = F.col("_last") - F.col("_first") + 1
+    before = F.sum(size).over(Window.orderBy("_file", "_start")) - size  # one row per split
+    places = splits.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    items = lines.withColumn("payload", F.regexp_extract("value", ITEM, 0)).where(F.col("payload") != "")
+    placed = items.join(places, ["_file", "_start"]).select(
+        (F.col("_row") + F.col("_shift")).alias(ORD), F.concat("payload", F.lit("</item>")).alias("payload"))
+    return items_from_payloads(placed)
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:

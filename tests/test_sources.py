@@ -256,3 +256,29 @@ def test_only_text_topics(spark):
     payload = '{"name": "n", "tagline": "t", "slug": "s", "topics": [{"name": "AI"}, "x", 5, null, ["y"], "z"]}'
     df = spark.createDataFrame([(1, payload)], "_ord bigint, payload string")
     assert posts.find_json_posts(df).first().tags == ["x", "z"]
+
+
+def test_large_feed_is_read_by_several_tasks(spark, tmp_path):
+    """Items on several lines, cut anywhere by the splits: all of them, in their order, and nothing is shuffled."""
+    from newsflow.sources import feeds
+
+    (tmp_path / "in").mkdir()
+    for name, first in (("b.xml", 3000), ("a.xml", 0)):
+        items = "\n".join(
+            f"<item>\n <title>Title {i}</title>\n<link>https://e.com/{i}</link><description>{'x' * (i % 97)}</description></item>"
+            for i in range(first, first + 3000))
+        (tmp_path / "in" / name).write_text(f"<rss><channel><title>t</title>{items}\n</channel></rss>")
+    (tmp_path / "in" / "c.xml").write_text("<rss></rss>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        small = feeds.read_rss(spark, str(tmp_path / "in"))
+        assert small.rdd.getNumPartitions() > 10
+        rows = small.select("url", "_ord").orderBy("_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = feeds.read_rss(spark, str(tmp_path / "in"))
+    assert [r.url for r in rows] == [f"https://e.com/{i}" for i in range(6000)]
+    assert [r.url for r in whole.orderBy("_ord").collect()] == [r.url for r in rows]
+    assert len({r._ord for r in rows}) == 6000
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any("payload" in x for x in plan.split("\n") if "Exchange" in x)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from newsflow.operators import tables as M
 from newsflow.plans.batch import run_batch
-from newsflow.sources.stories import read_stories
-from newsflow.streaming.ingest import ingest_batch, stream_dedup, stream_ingest
+from newsflow.schemas import STORY
+from newsflow.sources.stories import parse_stories, read_stories
+from newsflow.streaming.ingest import ingest_batch, read_quarantine, stream_dedup, stream_ingest, stream_unique
 from newsflow.streaming.monitor import stream_progress
 
 
@@ -81,3 +82,72 @@ def test_stream_dedup_within_the_delay(spark, tmp_path):
     assert spark.table("distinct_urls").count() == 4
     progress = stream_progress(query)
     assert not progress["is_running"] and progress["batch_id"] >= 0
+
+
+def test_state_is_exact_across_ticks_and_goes(spark, tmp_path):
+    """Repeats in and across ticks, out-of-order and late rows, rows without URL; states expire."""
+    hour, start = dt.timedelta(hours=1), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+    def at(h):
+        return start + h * hour
+
+    ticks = [
+        [("a", 0), ("a", 1), ("b", 2), (None, 2), (None, 2)],
+        [("a", 5), ("b", 1.5), ("c", 6), ("a", 11)],
+        [("c", 5), ("a", 12), ("d", 30)],
+        [("a", 31), ("c", 32), ("late", 3)],
+        [("e", 90)],
+        [("f", 91), ("late", 4)],
+    ]
+    kinds = "url string, at timestamp, place int, more variant"
+    for i, rows in enumerate(ticks):
+        df = spark.createDataFrame([(u, at(h), j) for j, (u, h) in enumerate(rows)], "url string, at timestamp, place int")
+        df.withColumn("more", F.parse_json(F.lit('{"k": [1]}'))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, states = [], []
+    query = stream_unique(stream, "at", "10 hours", "4 hours").writeStream.foreachBatch(
+        lambda b, i: got.extend((r.url, r.at.replace(tzinfo=dt.timezone.utc), r.k) for r in b.select(
+            "url", "at", F.variant_get("more", "$.k[0]", "int").alias("k")).collect())
+    ).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    expected = [("a", 0), ("a", 11), ("a", 31), ("b", 2), ("c", 6), ("c", 32), ("d", 30), ("e", 90), ("f", 91), (None, 2)]
+    assert sorted(map(str, got)) == sorted(str((u, at(h), 1)) for u, h in expected) or sorted(
+        map(str, got)) == sorted(str((u, at(h), 1)) for u, h in [*expected, (None, 2)])
+    assert max(states) > states[-1]
+
+
+def test_one_bad_item_stops_nothing(spark, tmp_path):
+    source = tmp_path / "in"
+    write_stories(source, 0, 12)
+    (source / "bad.json").write_text('{"id": 50, "type": "story", "title":\n[1]\nnot json')
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
+
+    def parse(items):
+        return parse_stories(items.withColumn(
+            "title", F.when(F.col("id").isin(3, 8), F.raise_error(F.lit("broken item"))).otherwise(F.col("title"))))
+
+    query = stream_ingest(
+        spark, str(source), table, str(tmp_path / "check"), str(tmp_path / "log"), parse=parse, quarantine=str(tmp_path / "bad"))
+    query.awaitTermination()
+    kept = sorted(int(r.url.rsplit("/")[-1]) for r in table.read().collect())
+    assert kept == [i for i in range(12) if i % 5 and i not in (3, 8)]
+    bad = read_quarantine(spark, str(tmp_path / "bad")).collect()
+    unread = sorted(r.payload for r in bad if r.reason == "not an item")
+    assert unread == sorted(['{"id": 50, "type": "story", "title":', "[1]", "not json"])
+    failing = [json.loads(r.payload)["id"] for r in bad if r.reason != "not an item"]
+    assert sorted(failing) == [3, 8] and all("broken item" in r.reason for r in bad if r.reason != "not an item")
+
+
+def test_a_batch_that_fails_as_a_whole_still_stops(spark, tmp_path, monkeypatch):
+    from newsflow.streaming import ingest
+
+    monkeypatch.setattr(ingest, "FAILURES", 2)
+    source = tmp_path / "in"
+    write_stories(source, 0, 12)
+    table = M.init_tables(spark, str(tmp_path / "table")).articles
+    rows = spark.read.schema(STORY).json(str(source))
+    with pytest.raises(Exception, match="always"):
+        ingest.ingest_items(
+            rows, 0, "hackernews", table, lambda d: d.withColumn("_ord", F.raise_error(F.lit("always")).cast("bigint")),
+            str(tmp_path / "log"), str(tmp_path / "bad"))
