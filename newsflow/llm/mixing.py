@@ -10,6 +10,7 @@ the corpus.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ TOPICS: dict[str, tuple[str, ...]] = {
 OTHER = "other"
 SMOOTH = 0.7  # without targets, margins are flattened by this power
 SHARE = 0.8  # of all tokens kept
-SWEEPS = 20
-TOLERANCE = 1e-4
+TOLERANCE = 1e-4  # of a target, that a margin may be off
+FALLING = 0.99  # a sweep that leaves more of the deviation than this ends the raking
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -90,43 +91,47 @@ def _targets(cells: DataFrame, dimension: str, given: Mapping[str, float] | None
 
 
 def rake(
-    cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None,
-    sweeps: int = SWEEPS, tolerance: float = TOLERANCE,
+    cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Cells (source, lang, topic, tokens) with a ``weight`` such that the
-    weighted tokens have the target shares in every dimension.
+    weighted tokens have the target shares in every dimension, and ``deviation``,
+    how far the worst margin still is from its target, as a part of it.
 
     Each sweep scales by source, language and topic in turn and is staged.  It
-    ends when no margin is off by more than ``tolerance`` of its target, or,
-    where targets contradict each other, after ``sweeps``.
+    ends when no margin is off by more than ``tolerance``, or, where targets
+    contradict each other, when the deviation doesn't fall any more: then it is
+    larger than ``tolerance``, and the caller sees so.
     """
     with staging(cells.sparkSession) as own:
-        return stage(_raked(cells, targets, sweeps, tolerance, own), "weights")
+        return stage(_raked(cells, targets, tolerance, own), "weights")
 
 
-def _raked(cells: DataFrame, targets, sweeps: int, tolerance: float, own) -> DataFrame:
+def _deviation(now: DataFrame, goals: Mapping[str, DataFrame], total: float) -> float:
+    """The largest relative distance of a margin from its target, by one job."""
+    off = [
+        now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass")).join(goals[d], d)
+        .select((F.abs(F.col("mass") / total - F.col("share")) / F.greatest("share", F.lit(1e-9))).alias("off"))
+        for d in DIMENSIONS
+    ]
+    return reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
+
+
+def _raked(cells: DataFrame, targets, tolerance: float, own) -> DataFrame:
     goals = {d: own(_targets(cells, d, (targets or {}).get(d)), "targets") for d in DIMENSIONS}
-    total = cells.agg(F.sum("tokens")).first()[0]
-    if not total:
-        return cells.withColumn("weight", F.lit(1.0))
-    now = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(sweeps):
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    now, off, before = cells.withColumn("weight", F.lit(1.0)), 0.0, float("inf")
+    while total:
         for d in DIMENSIONS:
             margin = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass")).join(
-                goals[d], d).select(d, F.when(F.col("mass") > 0, F.col("share") * float(total) / F.col("mass"))
+                goals[d], d).select(d, F.when(F.col("mass") > 0, F.col("share") * total / F.col("mass"))
                                     .otherwise(F.lit(0.0)).alias("factor"))
             now = now.join(margin, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         now = own(now.select(*DIMENSIONS, "tokens", "weight"), "raked")
-        # the last dimension is exact after its turn: the first ones show the deviation
-        off = max(
-            now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass")).join(goals[d], d)
-            .agg(F.max(F.abs(F.col("mass") / float(total) - F.col("share")) / F.greatest("share", F.lit(1e-9))))
-            .first()[0] or 0.0
-            for d in DIMENSIONS[:-1]
-        )
-        if off <= tolerance:
+        off = _deviation(now, goals, total)
+        if off <= tolerance or off > FALLING * before:
             break
-    return now
+        before = off
+    return now.withColumn("deviation", F.lit(float(off)))
 
 
 def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
@@ -134,21 +139,22 @@ def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
     the expected tokens ``share`` of all.
 
     Cells that reach 1 are kept whole; the scale of the others is raised until
-    the sum is met, one Spark aggregation for each step.
+    the sum is met, one Spark aggregation for each step.  Every step but the last
+    makes at least one cell more whole, so it ends.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    want, scale = share * total, 0.0
-    for _ in range(60):
+    want, scale, whole_cells = share * total, 0.0, -1
+    while True:
+        reached = F.col("weight") * scale >= 1
         row = cells.agg(
-            F.sum(F.when(F.col("weight") * scale >= 1, F.col("tokens"))).alias("whole"),
-            F.sum(F.when(F.col("weight") * scale < 1, F.col("tokens") * F.col("weight"))).alias("open"),
+            F.count_if(reached).alias("cells"),
+            F.sum(F.when(reached, F.col("tokens"))).alias("whole"),
+            F.sum(F.when(~reached, F.col("tokens") * F.col("weight"))).alias("open"),
         ).first()
         whole, free = float(row["whole"] or 0), float(row["open"] or 0)
-        if free <= 0 or whole >= want:
-            break
-        before, scale = scale, (want - whole) / free
-        if abs(scale - before) <= 1e-12 * scale:
+        if row["cells"] <= whole_cells or free <= 0 or whole >= want:
             break
+        whole_cells, scale = row["cells"], (want - whole) / free
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
 
 
@@ -179,7 +185,7 @@ def mix_sources(
         "marked",
     )
     cells = stage(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    drawn = stage(probabilities(rake(cells, targets), share).drop("tokens"), "probabilities")
+    drawn = stage(probabilities(rake(cells, targets), share).drop("tokens", "deviation"), "probabilities")
     return rows.join(small_side(drawn), list(DIMENSIONS)).select(
         *[F.col("row")[c].alias(c) for c in kept],
         "topic", F.col("tokens").alias("n_tokens"), "weight", "probability",

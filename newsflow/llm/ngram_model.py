@@ -12,8 +12,8 @@ the shared folder:
 From level 3 on a word is stored relative to its context: as its place among
 the successors of the context without its first word.  Values of a parent start
 from the last value of the parent before, so a whole level is one monotone
-sequence.  N-grams of two and more words are kept from ``least`` occurrences on;
-the query keeps all.
+sequence.  All n-grams are kept; a caller may
+ask for those of two and more words from ``least`` occurrences on.
 
 Probabilities are interpolated with absolute discounts down to add-one unigrams,
 and what pruning takes off goes to the back-off weight, so every distribution
@@ -41,7 +41,7 @@ travels("newsflow.llm.kernels")
 
 ORDER = 3
 DISCOUNT = 0.75
-LEAST = 2  # occurrences of a kept n-gram of two or more words, unless the caller says otherwise
+LEAST = 1  # occurrences of a kept n-gram of two or more words, unless the caller says otherwise
 UNIT = 1 / 2048  # of a quantised log10 probability; the smallest is -32
 END = np.uint64(0x8F1BBCDCBFA53E0B)  # hash of the end mark; words have other hashes
 HELD = 3 << 20  # distinct n-grams a task holds before it hands them on

@@ -481,7 +481,7 @@ def test_ngram_scores_equal_brute_force(spark, sf_dir):
     texts = texts_of(docs)
     held = {d for d in texts if zlib.crc32(str(d).encode()) % 7 == 2}
     expected = brute_model(texts, held)
-    rows = score_held_out(docs.select("doc_id", "text")).collect()
+    rows = score_held_out(docs.select("doc_id", "text"), least=2).collect()
     assert {r.doc_id for r in rows if r.held_out} == held
     for r in rows:
         n, known, total, base, score = expected[r.doc_id]
@@ -549,7 +549,7 @@ def test_raking_meets_targets(spark, sf_dir):
     rows = cells.collect()
     goals = {d: {r[d]: r.share for r in mixing._targets(cells, d, targets.get(d)).collect()} for d in mixing.DIMENSIONS}
     weight = {i: 1.0 for i in range(len(rows))}
-    for _ in range(mixing.SWEEPS):
+    for _ in range(200):
         for d in mixing.DIMENSIONS:
             margin = Counter()
             for i, r in enumerate(rows):
@@ -559,6 +559,28 @@ def test_raking_meets_targets(spark, sf_dir):
     expected = {tuple(r[d] for d in mixing.DIMENSIONS): weight[i] for i, r in enumerate(rows)}
     got = {tuple(r[d] for d in mixing.DIMENSIONS): r.weight for r in raked.collect()}
     assert got == pytest.approx(expected, rel=2e-2)
+    assert {r.deviation <= mixing.TOLERANCE for r in raked.select("deviation").distinct().collect()} == {True}
+
+
+def test_raking_reports_targets_that_contradict(spark):
+    # language and topic say the same thing, their targets don't
+    cells = spark.createDataFrame(
+        [("a", "en", "x", 30), ("b", "en", "x", 10), ("a", "de", "y", 20), ("b", "de", "y", 40)],
+        "source string, lang string, topic string, tokens long")
+    raked = mixing.rake(cells, {"lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.8, "y": 0.2}}).collect()
+    assert {round(r.deviation, 6) for r in raked} == {round((0.8 - 0.5) / 0.5, 6)}
+
+
+def test_probabilities_match_the_exact_scale(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(n), float(w)) for n, w in zip(rng.integers(1, 90, 80), rng.lognormal(0, 2, 80), strict=True)]
+    got = mixing.probabilities(spark.createDataFrame(rows, "tokens long, weight double"), 0.8).collect()
+    want = 0.8 * sum(n for n, _ in rows)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(n * min(1, middle * w) for n, w in rows) < want else (low, middle)
+    assert sorted(r.probability for r in got) == pytest.approx(sorted(min(1.0, low * w) for _, w in rows), rel=1e-9)
 
 
 def test_mixing_draw(spark, sf_dir):
