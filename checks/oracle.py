@@ -55,6 +55,8 @@ raw AS (
     doc_id % 97 AS score, n_chars % 13 AS upvotes
   FROM documents)"""
 
+NEWS = f"news AS (SELECT doc_id AS ord, {FIRST_LINE} AS title, text AS content FROM documents)"
+
 GAPPY = f"""{RAW},
 gappy AS (
   SELECT * REPLACE (
@@ -481,6 +483,14 @@ SELECT ord AS doc_id, CAST(length({normal_text("content")}) AS INTEGER) AS n_cha
   md5({normal_text("content")}) AS content_md5, md5({normal_text("title")}) AS title_md5 FROM raw"""),
     "standardize_category": q(RAW, f"SELECT ord AS doc_id, {standard_category('category')} AS category FROM raw"),
     "clean_tags": q(RAW, f"SELECT ord AS doc_id, {CLEAN_TAGS} AS tags FROM raw"),
+    "sql_url_functions": f"""
+SELECT {url_key("url")} AS url_key, count(*) AS pages, min(substr(sha256(url), 1, 24)) AS hash_id,
+  count(*) FILTER (WHERE regexp_matches(url, '^(?i:https?)://[^/?#]+')) AS http_pages
+FROM pages GROUP BY ALL""",
+    "sql_title_words": f"""
+SELECT doc_id, title_key, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS word
+FROM (SELECT doc_id, {title_key(FIRST_LINE)} AS title_key,
+  list_slice(list_filter({words(FIRST_LINE)}, lambda w: length(w) > 3), 1, 5) AS l FROM documents)""",
     "title_dedup": q(RAW, f"""
 SELECT ord AS doc_id, {title_key("title")} AS title_key FROM {keep_first("raw", title_key("title"))}"""),
     "title_dedup_keep_empty": q(RAW, f"""
@@ -526,9 +536,9 @@ FROM cleaned c JOIN verdict v USING (ord) JOIN keyworded k USING (ord) JOIN mood
 SELECT ord AS doc_id, category, round(confidence, 6) AS confidence FROM verdict"""),
     "categorize_corpus_rules": q(f"{RAW}, {categorized('raw', 'title', 'content', CORPUS_RULES, 'category')}", """
 SELECT ord AS doc_id, category, round(confidence, 6) AS confidence FROM verdict"""),
-    "categorize_news_items": q(f"{RAW}, {categorized('raw', 'title', 'summary', R.CATEGORY_RULES)}", """
+    "categorize_news_items": q(f"{NEWS}, {categorized('news', 'title', 'content', R.CATEGORY_RULES)}", """
 SELECT ord AS doc_id, category, round(confidence, 6) AS confidence FROM verdict"""),
-    "keywords_news_items": q(f"{RAW}, {keyworded('raw', 'ord', 'title || chr(32) || summary', 5)}",
+    "keywords_news_items": q(f"{NEWS}, {keyworded('news', 'ord', 'title || chr(32) || content', 5)}",
                              "SELECT ord AS doc_id, keywords FROM keyworded"),
     "categorize_cleaned": q(f"{RAW}, {categorized('raw', 'title', FULL, R.CATEGORY_RULES)}", """
 SELECT ord AS doc_id, category AS ai_category, round(confidence, 6) AS ai_confidence FROM verdict"""),

@@ -16,6 +16,7 @@ from newsflow import views as V
 from newsflow.functions import text as T
 from newsflow.functions import urls as U
 from newsflow.functions.dates import article_date_text
+from newsflow.functions.sql import register_functions
 from newsflow.operators import analytics as A
 from newsflow.operators import cleaning as C
 from newsflow.operators import enrich as E
@@ -577,14 +578,19 @@ def q_categorize_corpus_rules(spark, sf):
     return _verdicts(raw(spark, sf), CORPUS_RULES, F.col("category"))
 
 
+def _news_items(spark, sf):
+    """Feed items as they come: the first sentence as title, the whole text."""
+    return V.documents(spark, sf).select(
+        F.col("doc_id").alias(ORD), F.regexp_extract("text", r"^([^.\n]*)", 1).alias("title"), F.col("text").alias("content"))
+
+
 def q_categorize_news_items(spark, sf):
-    """Short items: title and summary only."""
-    return _verdicts(raw(spark, sf).withColumn("content", F.col("summary")), R.CATEGORY_RULES)
+    return _verdicts(_news_items(spark, sf), R.CATEGORY_RULES)
 
 
 def q_keywords_news_items(spark, sf):
-    words = E.keywords(F.concat_ws(" ", "title", "summary"), 5)
-    return raw(spark, sf).select(F.col(ORD).alias("doc_id"), F.array_join(words, "|").alias("keywords"))
+    words = E.keywords(F.concat_ws(" ", "title", "content"), 5)
+    return _news_items(spark, sf).select(F.col(ORD).alias("doc_id"), F.array_join(words, "|").alias("keywords"))
 
 
 def q_categorize_cleaned(spark, sf):
@@ -960,6 +966,23 @@ def q_stream_quarantine(spark, sf):
     return read_quarantine(spark, f"{folder}/bad")
 
 
+# ------------------------------------------------------- queries in SQL alone
+def q_sql_url_functions(spark, sf):
+    register_functions(spark)
+    return spark.sql("""
+        SELECT url_key(url) AS url_key, count(*) AS pages, min(hash_id(url)) AS hash_id,
+          count_if(is_http_url(url)) AS http_pages
+        FROM {pages} GROUP BY url_key(url)""", pages=V.pages(spark, sf))
+
+
+def q_sql_title_words(spark, sf):
+    register_functions(spark)
+    return spark.sql("""
+        SELECT d.doc_id, title_key(d.title) AS title_key, w.pos, w.word
+        FROM (SELECT doc_id, regexp_extract(text, r'^([^.\n]*)', 1) AS title FROM {docs}) d,
+          LATERAL title_words(d.title) w""", docs=V.documents(spark, sf))
+
+
 # ---------------------------------------------------------------- presentation
 def q_excerpts(spark, sf):
     return V.documents(spark, sf).select(

@@ -218,3 +218,24 @@ def test_hidden_markup(spark):
     assert column(spark, pages, page_title) == ["A & B", "", "x", ""]
     bodies = ["<body>a<article>b<article>c</article>d</article>e</body>", "<main>x", "<body><nav>n</nav><p>p</p></body>"]
     assert column(spark, bodies, main_text) == ["bcd", "x", "p"]
+
+
+# --------------------------------------------------------------- SQL functions
+def test_sql_functions_equal_the_column_functions(spark):
+    from newsflow.functions.sql import register_functions
+
+    urls = ["HTTPS://Example.com/A/b//?q=1#f", " \x01http://x.org/a;p\n/c/", "ftp://h/", "no url", "https:///", "", None, "http://é.example/Ü/"]
+    titles = ["it's a LONG way, o'neill and éclair2go", "", None, "an of", "Über-große Straße zwei drei vier fünf sechs", "q\u00a0r 日本語テキスト"]
+    register_functions(spark)
+    found = spark.createDataFrame([(u,) for u in urls], "url string")
+    pairs = {"url_key": U.url_key, "is_http_url": U.is_http_url, "hash_id": lambda c: U.hash_id(c, 24)}
+    for name, own in pairs.items():
+        rows = found.select(F.expr(f"{name}(url)").alias("sql"), own(F.col("url")).alias("own")).collect()
+        assert [r.sql for r in rows] == [r.own for r in rows], name
+    found = spark.createDataFrame([(t,) for t in titles], "title string")
+    for name, own in {"title_key": T.title_key, "title_case": T.title_case}.items():
+        rows = found.select(F.expr(f"{name}(title)").alias("sql"), own(F.col("title")).alias("own")).collect()
+        assert [r.sql for r in rows] == [r.own for r in rows], name
+    listed = spark.sql("SELECT title, word FROM {t} t, LATERAL title_words(t.title) ORDER BY title, pos", t=found).collect()
+    assert [r.word for r in listed if r.title == titles[4]] == ["über", "große", "straße", "zwei", "drei"]
+    assert not [r for r in listed if r.title in ("", "an of", None)]
