@@ -483,6 +483,10 @@ SELECT ord AS doc_id, CAST(length({normal_text("content")}) AS INTEGER) AS n_cha
   md5({normal_text("content")}) AS content_md5, md5({normal_text("title")}) AS title_md5 FROM raw"""),
     "standardize_category": q(RAW, f"SELECT ord AS doc_id, {standard_category('category')} AS category FROM raw"),
     "clean_tags": q(RAW, f"SELECT ord AS doc_id, {CLEAN_TAGS} AS tags FROM raw"),
+    "stream_status": """
+SELECT count(*) FILTER (WHERE event_type = 'purchase') AS articles_generated,
+  count(DISTINCT event_id % 4) AS scrapes_completed, CAST(0 AS BIGINT) AS scrapes_failed, CAST(0 AS BIGINT) AS running
+FROM events""",
     "sql_url_functions": f"""
 SELECT {url_key("url")} AS url_key, count(*) AS pages, min(substr(sha256(url), 1, 24)) AS hash_id,
   count(*) FILTER (WHERE regexp_matches(url, '^(?i:https?)://[^/?#]+')) AS http_pages

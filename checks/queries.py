@@ -30,7 +30,7 @@ from newsflow.session import fresh_path, staged
 from newsflow.sources import cards, feeds, posts, registry, stories
 from newsflow.sources.conform import conform_article, union_feeds
 from newsflow.streaming.ingest import read_quarantine, stream_dedup, stream_ingest, stream_unique
-from newsflow.streaming.monitor import run_status, source_health
+from newsflow.streaming.monitor import METRICS, RunLog, run_status, source_health
 
 ORD = C.ORD
 NOW = dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc)
@@ -966,6 +966,27 @@ def q_stream_quarantine(spark, sf):
     return read_quarantine(spark, f"{folder}/bad")
 
 
+def q_stream_status(spark, sf):
+    """Events in four ticks; the run log comes from the stream's own events."""
+    folder = fresh_path(spark, "status")
+    seen = V.table(spark, sf, "events").select("event_id", "event_type")
+    for tick in range(4):
+        seen.where(F.col("event_id") % 4 == tick).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    log = RunLog(spark, f"{folder}/log", "events", f"status-{folder}")
+    spark.streams.addListener(log)
+    try:
+        stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        counted = stream.observe(METRICS, F.count_if(F.col("event_type") == "purchase").alias("added"))
+        query = counted.writeStream.queryName(log.name).format("noop").option(
+            "checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        log.ended.wait(120)  # events come a little later than the end itself
+    finally:
+        spark.streams.removeListener(log)
+    return run_status(M.read_log(spark, f"{folder}/log")).select(
+        "articles_generated", "scrapes_completed", "scrapes_failed", "running")
+
+
 # ------------------------------------------------------- queries in SQL alone
 def q_sql_url_functions(spark, sf):
     register_functions(spark)

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from newsflow.operators.tables import log_run, run_entry
+
+METRICS = "run"  # name of the observed metrics that RunLog reads
+COUNTS = ("added", "updated", "skipped", "pruned")
 
 
 def run_status(log: DataFrame) -> DataFrame:
@@ -74,3 +82,45 @@ def stream_progress(query: StreamingQuery) -> dict:
         "batch_id": progress.batchId if progress else None,
         "rows": progress.numInputRows if progress else 0,
     }
+
+
+class RunLog(StreamingQueryListener):
+    """Writes the run log from a stream's own events, so ``run_status`` and
+    ``source_health`` hold while it runs.
+
+    A started query is one ``running`` entry, which its end turns into
+    ``stopped``, or ``failed`` with the error.  Every batch that read something
+    is one ``success`` entry: its time and rows come from the progress, its
+    counts from the metrics that the stream observes under the name ``METRICS``
+    (``df.observe(METRICS, F.count_if(...).alias("added"))``), so nothing is
+    counted in a job of its own.  ``name`` restricts the log to one query name.
+    """
+
+    def __init__(self, spark: SparkSession, log_path: str, source: str, name: str | None = None):
+        self.spark, self.log_path, self.source, self.name = spark, log_path, source, name
+        self.started: dict[str, datetime] = {}
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        if self.name in (None, event.name):
+            self.started[str(event.runId)] = now = datetime.now(timezone.utc)
+            log_run(self.log_path, run_entry(self.spark, self.source, now, None, "running"), str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if str(progress.runId) not in self.started or not progress.numInputRows:
+            return
+        start = datetime.fromisoformat(progress.timestamp)
+        end = start + timedelta(milliseconds=progress.durationMs.get("triggerExecution", 0))
+        metrics = progress.observedMetrics.get(METRICS)
+        counts = {k: v for k, v in (metrics.asDict() if metrics else {}).items() if k in COUNTS}
+        entry = run_entry(self.spark, self.source, start, end, scraped=progress.numInputRows, **counts)
+        log_run(self.log_path, entry, f"{progress.runId}-{progress.batchId}")
+
+    def onQueryTerminated(self, event) -> None:
+        start = self.started.pop(str(event.runId), None)
+        if start is not None:
+            status = "failed" if event.exception else "stopped"
+            entry = run_entry(self.spark, self.source, start, datetime.now(timezone.utc), status, event.exception)
+            log_run(self.log_path, entry, str(event.runId))
+            self.ended.set()

@@ -9,7 +9,7 @@ from newsflow.plans.batch import run_batch
 from newsflow.schemas import STORY
 from newsflow.sources.stories import parse_stories, read_stories
 from newsflow.streaming.ingest import ingest_batch, read_quarantine, stream_dedup, stream_ingest, stream_unique
-from newsflow.streaming.monitor import stream_progress
+from newsflow.streaming.monitor import RunLog, run_status, source_health, stream_progress
 
 
 def write_stories(folder, first, n):
@@ -151,3 +151,28 @@ def test_a_batch_that_fails_as_a_whole_still_stops(spark, tmp_path, monkeypatch)
         ingest.ingest_items(
             rows, 0, "hackernews", table, lambda d: d.withColumn("_ord", F.raise_error(F.lit("always")).cast("bigint")),
             str(tmp_path / "log"), str(tmp_path / "bad"))
+
+
+def test_run_log_of_a_failing_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    write_stories(source, 0, 10)
+    log = RunLog(spark, str(tmp_path / "log"), "feed")
+    spark.streams.addListener(log)
+
+    def each(batch, batch_id):
+        live = source_health(M.read_log(spark, log.log_path)).first()
+        assert live.running == 1 and "Pipeline is not running" not in live.issues
+        raise ValueError("no good batch")
+
+    try:
+        query = spark.readStream.schema(STORY).json(str(source)).writeStream.foreachBatch(each).option(
+            "checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        with pytest.raises(Exception):
+            query.awaitTermination()
+        assert log.ended.wait(60)
+    finally:
+        spark.streams.removeListener(log)
+    runs = M.read_log(spark, log.log_path)
+    status = run_status(runs).first()
+    assert (status.scrapes_completed, status.scrapes_failed, status.running) == (0, 1, 0)
+    assert "no good batch" in runs.first().error_message
