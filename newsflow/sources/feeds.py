@@ -96,7 +96,8 @@ def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
     of a file, so a large one is read by several tasks.  The order of arrival is
     the file's path, then the place in it: of each split only its first row's
     number and its size are needed to number all items, so ``_ord`` is the same
-    under any partitioning and no item is shuffled.  Numbers have gaps.
+    under any partitioning and no item is shuffled: one row per split is always
+    broadcast, whatever size Spark expects of it.  Numbers have gaps.
     """
     lines = spark.read.option("lineSep", "</item>").text(path).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
@@ -106,7 +107,7 @@ def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
     before = F.sum(size).over(Window.orderBy("_file", "_start")) - size  # one row per split
     places = splits.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
     items = lines.withColumn("payload", F.regexp_extract("value", ITEM, 0)).where(F.col("payload") != "")
-    placed = items.join(places, ["_file", "_start"]).select(
+    placed = items.join(F.broadcast(places), ["_file", "_start"]).select(
         (F.col("_row") + F.col("_shift")).alias(ORD), F.concat("payload", F.lit("</item>")).alias("payload"))
     return items_from_payloads(placed)
 

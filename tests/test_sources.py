@@ -282,3 +282,25 @@ def test_large_feed_is_read_by_several_tasks(spark, tmp_path):
     assert len({r._ord for r in rows}) == 6000
     plan = whole._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and not any("payload" in x for x in plan.split("\n") if "Exchange" in x)
+
+
+def test_items_are_not_shuffled_whatever_size_spark_expects(spark, tmp_path):
+    from newsflow.sources import feeds
+
+    (tmp_path / "a.xml").write_text("".join(f"<item><title>T{i}</title><link>https://e.com/{i}</link></item>" for i in range(20)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = feeds.read_rss(spark, str(tmp_path))
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not any("payload" in x for x in plan.split("\n") if "Exchange" in x)
+        assert [r.url for r in read.orderBy("_ord").collect()] == [f"https://e.com/{i}" for i in range(20)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_feed_files_are_as_many_as_the_parts_of_the_scan(spark, sf_dir, tmp_path):
+    """A fixed number of files makes each of them, and the task that writes it, grow with the input."""
+    from checks import queries as Q
+
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    assert len(spark.read.text(Q._feed_files(spark, str(tmp_path))).inputFiles()) >= 8
