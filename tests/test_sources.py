@@ -304,3 +304,13 @@ def test_feed_files_are_as_many_as_the_parts_of_the_scan(spark, sf_dir, tmp_path
 
     spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
     assert len(spark.read.text(Q._feed_files(spark, str(tmp_path))).inputFiles()) >= 8
+
+
+def test_line_files_are_as_many_as_the_parts_of_the_scan(spark, sf_dir, tmp_path):
+    from checks import queries as Q
+
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    half = Q._line_files(spark, str(tmp_path), str(tmp_path / "lines"))
+    lines = spark.read.text(str(tmp_path / "lines"))
+    assert lines.count() == spark.read.parquet(str(tmp_path / "documents.parquet")).count()
+    assert len(lines.inputFiles()) >= 8 and half == -(-len(lines.inputFiles()) // 2)
