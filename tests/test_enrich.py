@@ -159,3 +159,20 @@ def test_enrich_equals_the_single_steps(spark, sf_dir):
     steps = E.add_sentiment(E.add_keywords(E.add_category(df, CORPUS_RULES)), CORPUS_LEXICON)
     columns = ["_ord", *whole.columns[-5:]]
     assert sorted(whole.select(columns).collect()) == sorted(steps.select(columns).collect())
+
+
+def test_keywords_are_counted_in_runs_of_sorted_words(spark):
+    """Words are sorted as plain strings, not as structs with their places; top words, ties, doubled counts,
+    short lists and single letters as by counting one by one."""
+    rng = random.Random(3)
+    vocabulary = ["a", "b2", "be", "bee", "bees", "the", "ai", "api", "x", "rust", "rusty", "é", "x_y", "9z"]
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in range(60)]
+    for k, least in ((1, 1), (3, 2), (5, 3), (50, 1)):
+        def expected(text):
+            found = [w for w in re.findall(r"(?<!\w)[a-z][a-z0-9]*(?!\w)", text) if len(w) >= least and w not in R.STOP_WORDS]
+            counts = {w: found.count(w) * (2 if w in R.TECH_TERMS else 1) for w in dict.fromkeys(found)}
+            return sorted(counts, key=lambda w: -counts[w])[:k]
+
+        assert column(spark, texts, lambda c: E.keywords(c, k, least)) == [expected(t) for t in texts]
+    df = spark.createDataFrame([("x",)], "text string").select(E.keywords(F.col("text")))
+    assert "array_join(sort_array(" in df._jdf.queryExecution().optimizedPlan().toString()
