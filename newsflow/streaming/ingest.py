@@ -23,6 +23,7 @@ Parser = Callable[[DataFrame], DataFrame]
 CORRUPT = "_corrupt"  # what can't be read as an item
 HALVINGS = 24  # of a failing batch, to find the items that fail
 FAILURES = 20  # parts of a batch that may fail by themselves; more than that isn't the items' fault
+BUCKETS = 1024  # of the articles a stream has let through; more for many millions
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -176,17 +177,25 @@ def stream_dedup(articles: DataFrame, event_time: str, delay: str = "1 day") ->
     )
 
 
-def stream_unique(articles: DataFrame, event_time: str, lifetime: str = "7 days", delay: str = "1 day") -> DataFrame:
+def stream_unique(
+    articles: DataFrame, event_time: str, lifetime: str = "7 days", delay: str = "1 day", buckets: int = BUCKETS,
+) -> DataFrame:
     """Each article once in ``lifetime``, across all ticks of a stream.
 
     A sighting passes if none of the same article -- by the hash of its URL --
     passed less than ``lifetime`` before it; the sightings of one tick go in
     order of event time, equal ones in order of a hash.  The state holds one
-    number for each article, whose timer removes it when the watermark, ``delay``
-    behind the newest event, has passed its lifetime: until then later sightings
-    are compared exactly, after it none can come that isn't late.  Late rows are
-    dropped.  Rows without URL are nobody's repeat and pass.  Variant columns
-    travel as JSON.  Needs the RocksDB state store, which is set for the session.
+    number for each article, which goes when the watermark, ``delay`` behind the
+    newest event, has passed its lifetime: until then later sightings are
+    compared exactly, after it none can come that isn't late.  Late rows are
+    dropped.  Rows without URL or time are nobody's repeat and pass.  Variant
+    columns travel as JSON.  Needs the RocksDB state store, which is set for the
+    session.
+
+    Articles lie in ``buckets`` by a hash, each with one state and one timer, so
+    a tick calls the state store for each bucket it touches, not for each article;
+    it reads the whole state of these buckets, and a task holds the rows of one
+    at a time.  The number stays as it is for the life of a checkpoint.
     """
     spark = articles.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -198,6 +207,8 @@ def stream_unique(articles: DataFrame, event_time: str, lifetime: str = "7 days"
     key = F.coalesce(hash_id(F.col("url"), R.HASH_ID_CHARS), F.concat(F.lit("row "), tie.cast("string")))
     millions = spark.range(1).select(F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {lifetime}"))
                                      - F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp"))).first()[0]
-    keyed = rows.withColumns({"_key": key, "_us": F.unix_micros(event_time), "_tie": tie}).withWatermark(event_time, delay)
-    out = keyed.groupBy("_key").transformWithState(FirstSighting(names, millions), schema, "append", "eventTime")
+    keyed = rows.withColumns({
+        "_article": key, "_us": F.unix_micros(event_time), "_tie": tie,
+    }).withColumn("_bucket", F.pmod(F.xxhash64("_article"), F.lit(buckets)).cast("int")).withWatermark(event_time, delay)
+    out = keyed.groupBy("_bucket").transformWithState(FirstSighting(names, millions), schema, "append", "eventTime")
     return out.withColumns({c: F.parse_json(c) for c in variants}).select(*articles.columns)

@@ -117,6 +117,52 @@ def test_state_is_exact_across_ticks_and_goes(spark, tmp_path):
     assert max(states) > states[-1]
 
 
+def test_state_calls_grow_with_buckets_not_articles(spark, tmp_path):
+    """Many articles in few buckets: exact, and the store holds a state and a timer for each bucket; rows
+    without URL or time pass."""
+    hour, start = dt.timedelta(hours=1), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    expected, last, n = set(), {}, 0
+    for tick in range(4):
+        rows = []
+        for i in range(900):
+            article, at = (i * 7 + tick) % 300, tick * 6 + i * 37 % 900 / 150  # up to three times in a tick
+            rows.append((n, f"https://e.com/{article}", start + at * hour))
+            n += 1
+        rows += [(n, None, start + tick * 6 * hour), (n + 1, "https://e.com/0", None)]
+        expected |= {n, n + 1}
+        n += 2
+        for number, url, at in sorted((r for r in rows if r[1] and r[2]), key=lambda r: r[2]):
+            if url not in last or at >= last[url] + 5 * hour:
+                last[url] = at
+                expected.add(number)
+        df = spark.createDataFrame(rows, "number int, url string, at timestamp")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("number int, url string, at timestamp").option("maxFilesPerTrigger", 1).parquet(
+        str(tmp_path / "in"))
+    got = []
+    query = stream_unique(stream, "at", "5 hours", "12 hours", buckets=4).writeStream.foreachBatch(
+        lambda b, i: got.extend(r.number for r in b.select("number").collect())
+    ).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(got) == len(set(got)) and set(got) == expected
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(states) <= 8
+
+
+def test_every_tick_has_equally_many_files(spark, tmp_path):
+    """Ticks with many rows, one row and none, written by all tasks."""
+    from checks.queries import _tick_files
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") == 0, 3).otherwise(F.lit(5)).alias("tick"))
+    files = _tick_files(spark, rows, str(tmp_path))
+    assert files == spark.sparkContext.defaultParallelism
+    written = sorted((p for p in (tmp_path / "in").glob("*.parquet")), key=lambda p: p.stat().st_mtime_ns)
+    assert len(written) == 10 * files
+    for tick in range(10):
+        part = spark.read.schema("id long").parquet(*[str(p) for p in written[tick * files : (tick + 1) * files]])
+        assert part.count() == {3: 1, 5: 999}.get(tick, 0)
+
+
 def test_one_bad_item_stops_nothing(spark, tmp_path):
     source = tmp_path / "in"
     write_stories(source, 0, 12)
