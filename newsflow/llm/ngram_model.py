@@ -216,7 +216,9 @@ class Model:
             known = place >= 0
             ids[at] = np.where(known, place + first[shard], -1)
             own = place[known]
-            counts[np.flatnonzero(known) + at.start] = (level["sum"].get(own + 1) - level["sum"].get(own)).astype(np.int64)
+            if len(own):
+                low, high = level["sum"].get(np.concatenate([own, own + 1])).astype(np.int64).reshape(2, -1)
+                counts[np.flatnonzero(known) + at.start] = high - low
         return ids, counts
 
     def counts(self, level: int, nodes: np.ndarray) -> np.ndarray:
@@ -238,15 +240,18 @@ class Model:
         span, first = self.span[level - 2], self.first(level)
         for shard, at in self._by_shard(parents // span):
             part = self.level(level, shard)
-            own = parents[at] - shard * span
-            backoff[at] = part["backoff"][own]
-            low = part["pointer"].get(own).astype(np.int64)
-            high = part["pointer"].get(own + 1).astype(np.int64)
-            use = np.flatnonzero((low < high) & (words[at] >= 0))
+            own, of = _runs(parents[at] - shard * span)
+            backoff[at] = part["backoff"][own][of]
+            low, high = part["pointer"].get(np.concatenate([own, own + 1])).astype(np.int64).reshape(2, -1)
+            some, sequence = np.flatnonzero(low < high), part["word"]
+            if not len(some):
+                continue
+            base = np.zeros(len(own), np.uint64)
+            base[some] = np.where(low[some] > 0, sequence.get(np.maximum(low[some] - 1, 0)), 0)
+            use = np.flatnonzero((low < high)[of] & (words[at] >= 0))
             if not len(use):
                 continue
-            low, high, sequence = low[use], high[use], part["word"]
-            base = np.where(low > 0, sequence.get(np.maximum(low - 1, 0)), 0).astype(np.uint64)
+            low, high, base = low[of[use]], high[of[use]], base[of[use]]
             found = sequence.search(base + words[at][use].astype(np.uint64), low, high)
             hit = found >= 0
             target = at.start + use[hit]
@@ -259,6 +264,22 @@ class Model:
         return np.log10((counts + 1) / (self.total + self.vocabulary + 1))
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of sorted values and each one's place among them."""
+    head = np.append(True, values[1:] != values[:-1])
+    return values[head], np.cumsum(head) - 1
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and each one's place among them; only the distinct are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[coded.indices.to_numpy()]
+
+
 def _unique(*columns: np.ndarray):
     """Distinct sorted (a, b) pairs and each row's place among them."""
     key = columns[0].astype(np.uint64) << np.uint64(32) | columns[1].astype(np.uint64)
@@ -267,7 +288,7 @@ def _unique(*columns: np.ndarray):
 
 
 def _identified(model: Model, hashes: np.ndarray):
-    distinct, back = np.unique(hashes, return_inverse=True)
+    distinct, back = _distinct(hashes)
     ids, counts = model.words(distinct)
     return ids[back], counts[back]
 
@@ -332,7 +353,7 @@ def _build_words(model: Model):
         shard = table.column("shard")[0].as_py()
         keys, counts, _ = _gathered(table)
         write_arrays(model.path(1, shard), _stored({
-            "hash": EliasFano.of(keys), "sum": EliasFano.of(np.concatenate([[0], np.cumsum(counts)]))}))
+            "hash": EliasFano.of(keys), "sum": EliasFano.of(np.concatenate([[0], np.cumsum(counts)]), searched=False)}))
         return pa.table({"shard": [shard], "nodes": [len(keys)], "tokens": [int(counts.sum())],
                          "texts": [int(counts[keys == END].sum())]})
 
@@ -389,8 +410,8 @@ def _build_grams(model: Model, level: int, least: int):
         top[full] = word[pointer[full + 1] - 1]
         base = np.cumsum(top) - top
         write_arrays(model.path(level, shard), _stored({
-            "pointer": EliasFano.of(pointer), "word": EliasFano.of(base[parent] + word),
-            "sum": EliasFano.of(np.concatenate([[0], np.cumsum(counts)])),
+            "pointer": EliasFano.of(pointer, searched=False), "word": EliasFano.of(base[parent] + word),
+            "sum": EliasFano.of(np.concatenate([[0], np.cumsum(counts)]), searched=False),
             "probability": quantised(np.log10(probability)),
             "backoff": quantised(np.log10(np.maximum(left, 1e-30)))}))
         return pa.table({"shard": [shard], "nodes": [len(keys)]})

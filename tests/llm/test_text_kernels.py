@@ -53,6 +53,22 @@ def test_elias_fano(seed):
     assert EliasFano.of(np.zeros(0, np.uint64)).search(values[:3], np.zeros(3, int), np.zeros(3, int)).tolist() == [-1] * 3
 
 
+def test_opening_a_mapped_sequence_copies_nothing(tmp_path):
+    """A task opens every shard it touches: what isn't asked for must not be read or copied."""
+    values = np.cumsum(np.random.default_rng(5).integers(0, 900, 3000)).astype(np.uint64)
+    write_arrays(f"{tmp_path}/e", EliasFano.of(values).parts)
+    e = EliasFano(map_arrays(f"{tmp_path}/e"))
+    held = [a for a in vars(e).values() if isinstance(a, np.ndarray)]
+    assert held and all(any(np.shares_memory(a, p) for p in e.parts.values()) for a in held)
+    for kind in (np.uint32, np.uint64):  # counts of short and of very long sequences
+        parts = e.parts | {k: e.parts[k].astype(kind) for k in ("count", "zeros")}
+        assert (EliasFano(parts).get(np.arange(3000)) == values).all()
+        asked = np.concatenate([values[::7], values[-1:] + np.arange(1, 9, dtype=np.uint64), [np.uint64(2**64 - 1)]])
+        place = EliasFano(parts).search(asked, np.zeros(len(asked), np.int64), np.full(len(asked), 3000))
+        assert (place >= 0).tolist() == np.isin(asked, values).tolist()
+    assert "zeros" not in EliasFano.of(values, searched=False).parts
+
+
 def test_array_files(tmp_path):
     arrays = {"a": np.arange(5), "none": np.zeros(0, np.uint16), "b": np.array([7], np.uint8)}
     for uri in (f"file://{tmp_path}/x/y", f"{tmp_path}/x/z"):
